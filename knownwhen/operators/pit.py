@@ -112,30 +112,38 @@ def asof_read(obs: DataFrame, decisions: DataFrame, delay: Column) -> DataFrame:
     return interval_join(seen, decisions, [], "visible_at", "_until", "decision_at").drop("_until")
 
 
-def asof_intervals(obs: DataFrame, delay: Column) -> DataFrame:
-    """Turn revisions into intervals ``[visible_at, visible_to)`` in which a row is the answer.
+def win_intervals(df: DataFrame, keys: Sequence[Column | str], order: Sequence[str], segment: Column) -> DataFrame:
+    """Interval ``[visible_at, visible_to)`` in which a row is the highest-ranked visible one of its key.
 
-    Revisable rows compete per (source, entity, effective) by vintage then id, the rest
-    per locator by id. A row loses from the moment any higher-ranked row is visible, so
-    the collapse costs one pass over the rows, however many decisions read it.
+    A row loses from the moment any higher-ranked row is visible, so collapsing costs one
+    pass over the rows, however many decisions read the result.
     """
-    df = with_visibility(obs, delay).withColumn("_rev", F.col("vintage_at").isNotNull())
-    loc = F.when(~F.col("_rev"), F.col("source_locator"))
-    df = df.withColumn("_key", key_text("source_id", "entity_id", "effective_at", loc, "_rev"))
-    # Vintages cut a revisable history by month; other rows by blocks of ids.
-    months = F.year("vintage_at") * 12 + F.month("vintage_at")
-    segment = F.coalesce(months.cast("bigint"), F.floor(F.col("id") / 1048576))
     out = running(
-        df,
+        df.withColumn("_key", key_text(*keys)),
         ["_key"],
-        ["vintage_at", "id"],
+        order,
         segment,
         {"visible_to": ("min", F.col("visible_at"))},
         exclusive=True,
         reverse=True,
     )
     wins = F.col("visible_to").isNull() | (F.col("visible_to") > F.col("visible_at"))
-    return out.where(wins).drop("_key", "_rev")
+    return out.where(wins).drop("_key")
+
+
+def asof_intervals(obs: DataFrame, delay: Column) -> DataFrame:
+    """Winning intervals of observations.
+
+    Revisable rows compete per (source, entity, effective) by vintage then id, the rest
+    per locator by id.
+    """
+    df = with_visibility(obs, delay)
+    rev = F.col("vintage_at").isNotNull()
+    # Vintages cut a revisable history by month; other rows by blocks of ids.
+    months = F.year("vintage_at") * 12 + F.month("vintage_at")
+    segment = F.coalesce(months.cast("bigint"), F.floor(F.col("id") / 1048576))
+    keys = ["source_id", "entity_id", "effective_at", F.when(~rev, F.col("source_locator")), rev]
+    return win_intervals(df, keys, ["vintage_at", "id"], segment)
 
 
 def asof_latest(obs: DataFrame, decisions: DataFrame, delay: Column) -> DataFrame:

@@ -56,8 +56,8 @@ SQL_VIEWS["sessions"] = """
 select session, row_number() over (order by session) as idx from (select distinct session from bars)"""
 
 SQL_VIEWS["actions"] = """
-select entity_id, 'CASH_DIVIDEND' as kind, min(session) as effective_date, 100.0 as amount, cast(null as double) as ratio
-from bars group by entity_id, date_trunc('quarter', session)
+select distinct entity_id, 'CASH_DIVIDEND' as kind, cast(date_trunc('quarter', session) as date) as effective_date,
+  100.0 as amount, cast(null as double) as ratio from bars
 union all select entity_id, 'SPLIT', min(session), null, 2.0 from bars
 where entity_id in ('LARGE', 'PROMO') and session >= date '1998-01-01' group by entity_id
 union all select entity_id, 'DELISTING', date '2001-06-29', 500.0, null from bars
@@ -153,7 +153,7 @@ class Tables:
                 ratio.alias("ratio"),
             )
 
-        div = b.groupBy("entity_id", F.trunc("session", "quarter").alias("q")).agg(F.min("session").alias("d"))
+        div = b.select("entity_id", F.trunc("session", "quarter").alias("d")).distinct()
         split = (
             b.where(F.col("entity_id").isin("LARGE", "PROMO") & (F.col("session") >= "1998-01-01"))
             .groupBy("entity_id")
@@ -186,3 +186,24 @@ class Tables:
             F.col("l_shipdate").cast("date").alias("session"),
             (F.col("l_extendedprice") * F.col("l_quantity") * 0.0001).alias("fee"),
         )
+
+
+# Views on orders and customers.
+ENTITIES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+_ENT = ", ".join(f"'{e}'" for e in ENTITIES)
+SQL_VIEWS["book_orders"] = f"""
+select o_orderkey as order_id, [{_ENT}][o_custkey % 6 + 1] as entity_id, cast(o_orderdate as date) as decided,
+  cast(ceil(o_totalprice / 1000) as bigint) as quantity, case when o_orderstatus = 'F' then 'SELL' else 'BUY' end as side,
+  o_custkey as cust from orders"""
+
+
+def book_orders(t: Tables) -> DataFrame:
+    ents = F.array(*[F.lit(e) for e in ENTITIES])
+    return t.orders.select(
+        F.col("o_orderkey").alias("order_id"),
+        F.element_at(ents, (F.col("o_custkey") % 6 + 1).cast("int")).alias("entity_id"),
+        F.col("o_orderdate").cast("date").alias("decided"),
+        F.ceil(F.col("o_totalprice") / 1000).alias("quantity"),
+        F.when(F.col("o_orderstatus") == "F", "SELL").otherwise("BUY").alias("side"),
+        F.col("o_custkey").alias("cust"),
+    )
