@@ -76,15 +76,16 @@ def dedupe_actions(rows: DataFrame) -> DataFrame:
     return best.select(*keys, "_r.*", "labels")
 
 
-def timeline(bars: DataFrame, actions: DataFrame, price: str = "close") -> DataFrame:
+def timeline(bars: DataFrame, actions: DataFrame, price: str = "close", keep: Sequence[str] = ()) -> DataFrame:
     """Bars and corporate actions of an entity on one time line, in one shuffle.
 
     Every later step is a window on the same entity partitioning. Rows are either usable
     bars (``is_bar``) or actions; stale, untradable and post-ending bars are gone.
     A delisting ends a series on its date, a merger the day before; delisting wins.
+    ``keep`` names further bar columns to carry along.
     """
     tradable = F.col("tradable") if "tradable" in bars.columns else F.lit(True)
-    b = bars.select("entity_id", "session", F.col(price).alias("price"), tradable.alias("_ok"), F.lit(True).alias("is_bar"))
+    b = bars.select("entity_id", "session", F.col(price).alias("price"), tradable.alias("_ok"), F.lit(True).alias("is_bar"), *keep)
     a = actions.select("entity_id", F.col("effective_date").alias("session"), "kind", "amount", "ratio", F.lit(False).alias("is_bar"))
     whole = Window.partitionBy("entity_id")
     same_day = Window.partitionBy("entity_id", "session")
@@ -164,21 +165,25 @@ def terminal_points(bars: DataFrame, actions: DataFrame) -> DataFrame:
     return _terminal(timeline(bars, actions))
 
 
-def total_return(bars: DataFrame, actions: DataFrame) -> DataFrame:
-    """Total-return index per entity with terminal points; bad inputs become error rows."""
-    line = _with_targets(_with_splits(timeline(bars, actions)))
+def total_return(bars: DataFrame, actions: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Total-return index per entity with terminal points; bad inputs become error rows.
+
+    Columns named in ``keep`` ride along and are null on terminal points.
+    """
+    line = _with_targets(_with_splits(timeline(bars, actions, keep=keep)))
     paid = F.col("kind").isin(*PAYING) & (F.col("session") > F.col("first_bar"))
     landing = Window.partitionBy("entity_id", "target")
     dist = F.coalesce(F.sum(F.when(paid, F.col("amount"))).over(landing), F.lit(0.0)) * F.col("split_scale")
     line = line.withColumn("distribution", dist).where("is_bar")
     # An ended series gains its terminal point in place: the last bar row is emitted twice.
     ends = F.col("ending").isNotNull() & (F.col("session") == F.col("last_bar"))
-    point = F.struct(F.lit(False).alias("terminal"), "session", "adj_close", "distribution")
+    point = F.struct(F.lit(False).alias("terminal"), "session", "adj_close", "distribution", *keep)
     final = F.struct(
         F.lit(True).alias("terminal"),
         F.coalesce("ending.terminal_date", F.date_add("session", 1)).alias("session"),
         F.col("ending.final_price").alias("adj_close"),
         F.lit(0.0).alias("distribution"),
+        *[F.lit(None).cast(line.schema[k].dataType).alias(k) for k in keep],
     )
     pts = line.select("entity_id", F.explode(F.when(ends, F.array(point, final)).otherwise(F.array(point))).alias("p"))
     pts = pts.select("entity_id", "p.*")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -30,3 +32,16 @@ def local_session(app: str = "knownwhen", cpus: str | None = None) -> SparkSessi
     )
     spark.sparkContext.setLogLevel("ERROR")
     return configure(spark)
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut a lineage that several branches read, through the cluster's shared checkpoint folder.
+
+    Only where the session names no folder, as in tests, is a local one set.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return df.checkpoint()
