@@ -55,13 +55,15 @@ def query(name: str, columns: str, sql: str | None = None):
 def with_views(sql: str) -> str:
     """Put the derived views a text names in front of it as common table expressions."""
     need: list[str] = []
+    open_: set[str] = set()
 
     def visit(text: str) -> None:
         for name, body in SQL_VIEWS.items():
-            if name not in need and re.search(rf"\b{name}\b", text):
+            # A recursive view names itself.
+            if name not in need and name not in open_ and re.search(rf"\b{name}\b", text):
+                open_.add(name)
                 visit(body)
-                if name not in need:
-                    need.append(name)
+                need.append(name)
 
     visit(sql)
     if not need:
