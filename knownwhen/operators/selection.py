@@ -212,6 +212,34 @@ def _fold_books(p: dict, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["trial", "decision", "entity_id", "action"])
 
 
+def trial_sweep(ranked: DataFrame, clusters: DataFrame, points: list[dict], forward: DataFrame, base: BookParams) -> DataFrame:
+    """Chain books for every trial and parameter point and score them.
+
+    Features and ranks are shared by all points; the point becomes part of the trial key, so
+    the folds of one trial's points run in parallel. ``forward`` is each name's next return.
+    """
+    opts = F.array(*[F.struct(F.lit(i).alias("point"), *[F.lit(v).alias(k) for k, v in p.items()]) for i, p in enumerate(points)])
+    rows = ranked.where(F.col("rank").isNotNull() | F.col("anchor")).select("trial", "decision", "entity_id", "rank")
+    rows = rows.join(clusters.select("entity_id", "cluster_id", "max_members"), "entity_id", "left")
+    rows = rows.withColumn("_o", F.explode(opts)).select("*", "_o.*").drop("_o")
+    kinds = dict(ranked.dtypes)
+    schema = f"trial {kinds['trial']}, decision {kinds['decision']}, entity_id {kinds['entity_id']}, action string"
+    params = asdict(base)
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = {k: type(v)(pdf[k].iloc[0]) for k, v in points[0].items()}
+        out = _fold_books({**params, **own}, pdf)
+        out.insert(0, "point", pdf["point"].iloc[0])
+        return out
+
+    books = rows.groupBy("trial", "point").applyInPandas(fold, f"point int, {schema}")
+    held = books.where(F.col("action") != "EXIT").join(forward, ["decision", "entity_id"], "left")
+    per = held.groupBy("trial", "point", "decision").agg(F.avg("forward_return").alias("_r"))
+    score = per.groupBy("trial", "point").agg(F.avg("_r").alias("mean_return"), F.count(F.lit(1)).alias("decisions"))
+    moves = books.groupBy("trial", "point").agg(F.count_if(F.col("action") != "HOLD").alias("changes"))
+    return moves.join(score, ["trial", "point"], "left")
+
+
 def hysteresis_scan(ranked: DataFrame, clusters: DataFrame, p: BookParams) -> DataFrame:
     """Books chained over decisions: decision t uses the book left by t-1.
 
