@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,21 +62,34 @@ def chain_report(verified: DataFrame, last_sealed: Column) -> DataFrame:
     )
 
 
+def _seal_days(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Root of each date out of rows that arrive sorted by date and sequence."""
+    day, digest, first, last, n = None, None, None, None, 0
+    for pdf in batches:
+        done = []
+        for d, part in pdf.groupby("day", sort=False):
+            if d != day:
+                if day is not None:
+                    done.append((day, digest.hexdigest(), first, last, n))
+                day, digest, first, n = d, hashlib.sha256(), int(part["seq"].iloc[0]), 0
+            digest.update("".join(part["hash"]).encode())
+            last, n = int(part["seq"].iloc[-1]), n + len(part)
+        if done:
+            yield pd.DataFrame(done, columns=["day", "root", "first_seq", "last_seq", "events"])
+    if day is not None:
+        yield pd.DataFrame([(day, digest.hexdigest(), first, last, n)], columns=["day", "root", "first_seq", "last_seq", "events"])
+
+
 def daily_seals(events: DataFrame) -> DataFrame:
-    """Root over a UTC date's hashes with its first and last sequence.
+    """Root over a UTC date's hashes in sequence, with its first and last sequence.
 
-    Blocks of 4,096 events are hashed first and the date's root is taken over block roots,
-    so no task holds a whole day.
+    The root is one hash over the whole date, which is sequential by definition. Only the
+    hashes are shuffled, Spark sorts them with spilling, and each date is streamed through
+    the digest batch by batch: no date is ever held in memory.
     """
-    block = F.floor(F.col("seq") / 4096).alias("block")
-    pieces = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "hash"))), lambda s: s["hash"]), "")
-    b = events.groupBy(F.col("at").cast("date").alias("day"), block).agg(
-        F.sha2(pieces, 256).alias("_root"), F.min("seq").alias("_lo"), F.max("seq").alias("_hi"), F.count(F.lit(1)).alias("_n")
-    )
-    roots = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "_root"))), lambda s: s["_root"]), "")
-    return b.groupBy("day").agg(
-        F.sha2(roots, 256).alias("root"), F.min("_lo").alias("first_seq"), F.max("_hi").alias("last_seq"), F.sum("_n").alias("events")
-    )
+    rows = events.select(F.col("at").cast("date").alias("day"), "seq", "hash")
+    rows = rows.repartition("day").sortWithinPartitions("day", "seq")
+    return rows.mapInPandas(_seal_days, "day date, root string, first_seq bigint, last_seq bigint, events bigint")
 
 
 def seal_mismatch(seals: DataFrame, stored: DataFrame) -> DataFrame:
