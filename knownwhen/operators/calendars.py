@@ -209,8 +209,9 @@ def positions_release(df: DataFrame, report: str) -> DataFrame:
     """Weekly positions as of Tuesday appear Friday 15:30, or after a holiday from Monday on.
 
     A report date on another weekday uses the next Tuesday and marks the instant estimated.
-    All column arithmetic: no join.
+    The rule runs once per distinct date (bounded by the calendar), not once per row.
     """
+    days = df.select(report).where(F.col(report).isNotNull()).distinct()
     r = F.col(report)
     tuesday = F.date_add(r, (F.lit(8) - F.weekday(r)) % 7)
     week = [F.date_add(tuesday, i) for i in range(4)]
@@ -223,7 +224,8 @@ def positions_release(df: DataFrame, report: str) -> DataFrame:
     flags = F.array_compact(
         F.array(F.when(delayed, F.lit("RELEASE_DELAYED")), F.when(estimated, F.lit("AVAILABLE_AT_ESTIMATED")))
     )
-    return df.withColumn("release_at", ny_instant(day, "15:30")).withColumn("release_flags", flags)
+    days = days.withColumn("release_at", ny_instant(day, "15:30")).withColumn("release_flags", flags)
+    return df.join(F.broadcast(days), report, "left")
 
 
 def bar_release(session: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -290,26 +291,29 @@ def halt_faults(x: DataFrame, *, hold_drawdown: float, halt_drawdown: float, dai
     return out.withColumn("floor_rank", floor).withColumn("demanded", state_of(F.col("floor_rank")))
 
 
-def halt_state_scan(x: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """State after each decision: escalate to the faults, relax one step per owner re-arm, never below them.
+def _fold_states(keys: list[str], order: str, pdf: pd.DataFrame) -> pd.DataFrame:
+    """States of one arm in order: escalate at once, relax one step per re-arm, never below the faults."""
+    pdf = pdf.sort_values(order)
+    rank, out = 0, []
+    for floor, to in zip(pdf["floor_rank"], pdf["rearm_to"], strict=True):
+        nxt = max(rank, floor) if pd.isna(to) else max(floor, int(to), rank - 1)
+        out.append((rank, nxt))
+        rank = nxt
+    res = pdf[[*keys, order]].copy()
+    res["from_rank"], res["rank"] = [x[0] for x in out], [x[1] for x in out]
+    return res
 
-    The next state needs the last one, so each arm's decisions (one row per decision) are
-    folded in order inside the row, on the JVM.
-    """
-    item = F.struct(F.col(order).alias("at"), F.col("floor_rank").cast("int").alias("floor"), F.col("rearm_to").cast("int").alias("to"))
-    packed = x.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_s"))
-    kind = dict(x.dtypes)[order]
-    start = F.struct(
-        F.lit(0).alias("rank"), F.array().cast(f"array<struct<at:{kind},from_rank:int,rank:int>>").alias("out")
-    )
 
-    def move(acc: Column, s: Column) -> Column:
-        nxt = F.when(s["to"].isNotNull(), F.greatest(s["floor"], s["to"], acc["rank"] - 1)).otherwise(F.greatest(acc["rank"], s["floor"]))
-        row = F.struct(s["at"].alias("at"), acc["rank"].alias("from_rank"), nxt.alias("rank"))
-        return F.struct(nxt.alias("rank"), F.concat(acc["out"], F.array(row)).alias("out"))
+def halt_state_scan(x: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """State after each decision of an arm.
 
-    done = packed.withColumn("_f", F.aggregate("_s", start, move))
-    out = done.select(*keys, F.explode("_f.out").alias("r")).select(*keys, F.col("r.at").alias(order), "r.from_rank", "r.rank")
+    The next state needs the last one: one ordered fold per arm, over one small row per
+    decision. Faults are reduced to a rank in Spark before the fold.
+    """
+    kinds, k = dict(x.dtypes), list(keys)
+    rows = x.select(*k, order, F.col("floor_rank").cast("int").alias("floor_rank"), F.col("rearm_to").cast("double").alias("rearm_to"))
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*k, order]) + ", from_rank int, rank int"
+    out = rows.groupBy(*k).applyInPandas(lambda pdf: _fold_states(k, order, pdf), schema)
     return out.withColumn("state", state_of(F.col("rank")))
 
 
