@@ -211,20 +211,26 @@ def positions_release(df: DataFrame, report: str) -> DataFrame:
     A report date on another weekday uses the next Tuesday and marks the instant estimated.
     The rule runs once per distinct date (bounded by the calendar), not once per row.
     """
-    days = df.select(report).where(F.col(report).isNotNull()).distinct()
-    r = F.col(report)
-    tuesday = F.date_add(r, (F.lit(8) - F.weekday(r)) % 7)
-    week = [F.date_add(tuesday, i) for i in range(4)]
-    delayed = F.lit(False)
-    for x in week:
-        delayed = delayed | is_federal_holiday(x)
-    later = F.coalesce(*[F.when(is_federal_business_day(F.date_add(tuesday, k)), F.date_add(tuesday, k)) for k in range(6, 13)])
-    day = F.when(delayed, later).otherwise(week[3])
-    estimated = (delayed & is_federal_holiday(tuesday)) | (F.weekday(r) != 1)
+    r, d = F.col(report), F.col("day")
+    reports = df.select(report).where(r.isNotNull()).distinct()
+    span = reports.agg(F.min(r).alias("first"), F.date_add(F.max(r), 20).alias("last"))
+    w = Window.orderBy("day")
+    table = days_between(span).withColumn("_fed", is_federal_holiday(d))
+    work = F.when((F.weekday(d) < 5) & ~F.col("_fed"), d)
+    table = table.select(
+        d.alias("_tuesday"),
+        F.col("_fed"),
+        F.max("_fed").over(w.rowsBetween(0, 3)).alias("_delayed"),
+        F.first(work, ignorenulls=True).over(w.rowsBetween(6, 12)).alias("_later"),
+    )
+    days = reports.withColumn("_tuesday", F.date_add(r, (F.lit(8) - F.weekday(r)) % 7)).join(F.broadcast(table), "_tuesday")
+    delayed = F.col("_delayed")
+    day = F.when(delayed, F.col("_later")).otherwise(F.date_add("_tuesday", 3))
+    estimated = (delayed & F.col("_fed")) | (F.weekday(r) != 1)
     flags = F.array_compact(
         F.array(F.when(delayed, F.lit("RELEASE_DELAYED")), F.when(estimated, F.lit("AVAILABLE_AT_ESTIMATED")))
     )
-    days = days.withColumn("release_at", ny_instant(day, "15:30")).withColumn("release_flags", flags)
+    days = days.select(report, ny_instant(day, "15:30").alias("release_at"), flags.alias("release_flags"))
     return df.join(F.broadcast(days), report, "left")
 
 
