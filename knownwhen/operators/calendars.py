@@ -28,19 +28,29 @@ ADHOC_CLOSURES = (
 MON, THU, FRI = 0, 3, 4
 
 
-def _easter(y: Column) -> Column:
-    """Gregorian Easter Sunday by the published anonymous algorithm."""
+def with_easter(df: DataFrame, day: str = "day") -> DataFrame:
+    """Add ``_easter``, Easter Sunday of the day's year, by the published anonymous algorithm.
+
+    Steps are columns of their own, so that none is expanded into the next.
+    """
 
     def div(a, b):
         return F.floor(a / b)
 
-    century = div(y, 100)
-    golden = y % 19
-    epact = (golden * 19 + century - div(century, 4) - div(century - div(century + 8, 25) + 1, 3) + 15) % 30
-    wday = ((century % 4) * 2 + div(y % 100, 4) * 2 + 32 - epact - y % 4) % 7
-    late = div(golden + epact * 11 + wday * 22, 451)
-    n = epact + wday - late * 7 + 114
-    return F.make_date(y, div(n, 31).cast("int"), (n % 31 + 1).cast("int"))
+    y, century, golden = F.col("_y"), F.col("_c"), F.col("_g")
+    epact, wday, n = F.col("_h"), F.col("_l"), F.col("_n")
+    steps = {
+        "_y": F.year(day),
+        "_c": div(y, 100),
+        "_g": y % 19,
+        "_h": (golden * 19 + century - div(century, 4) - div(century - div(century + 8, 25) + 1, 3) + 15) % 30,
+        "_l": ((century % 4) * 2 + div(y % 100, 4) * 2 + 32 - epact - y % 4) % 7,
+        "_n": epact + wday - div(golden + epact * 11 + wday * 22, 451) * 7 + 114,
+        "_easter": F.make_date(y, div(n, 31).cast("int"), (n % 31 + 1).cast("int")),
+    }
+    for name, x in steps.items():
+        df = df.withColumn(name, x)
+    return df.drop(*[k for k in steps if k != "_easter"])
 
 
 def _nth(d: Column, month: int, dow: int, nth: int) -> Column:
@@ -63,13 +73,13 @@ def _fixed(d: Column, month: int, day: int, *, saturday_back: bool = True) -> Co
     return hit | ((dow == FRI) & on(F.date_add(d, 1))) if saturday_back else hit
 
 
-def is_exchange_holiday(d: Column) -> Column:
+def is_exchange_holiday(d: Column, easter: Column) -> Column:
     y = F.year(d)
     return (
         _fixed(d, 1, 1, saturday_back=False)
         | _nth(d, 1, MON, 3)
         | _nth(d, 2, MON, 3)
-        | (F.date_add(d, 2) == _easter(y))
+        | (F.date_add(d, 2) == easter)
         | _last(d, 5, MON)
         | ((y >= 2022) & _fixed(d, 6, 19))
         | _fixed(d, 7, 4)
@@ -79,25 +89,6 @@ def is_exchange_holiday(d: Column) -> Column:
     )
 
 
-def is_session(d: Column, adhoc: tuple[str, ...] = ADHOC_CLOSURES) -> Column:
-    closed = d.isin(*[F.lit(x).cast("date") for x in adhoc]) if adhoc else F.lit(False)
-    return (F.weekday(d) < 5) & ~is_exchange_holiday(d) & ~closed
-
-
-def is_early_close(d: Column) -> Column:
-    after_thanksgiving = _nth(F.date_sub(d, 1), 11, THU, 4)
-    eve = ((F.month(d) == 7) & (F.dayofmonth(d) == 3)) | ((F.month(d) == 12) & (F.dayofmonth(d) == 24))
-    return after_thanksgiving | (eve & (F.weekday(d) < 5) & ~is_exchange_holiday(d))
-
-
-def session_open(d: Column) -> Column:
-    return ny_instant(d, "09:30")
-
-
-def session_close(d: Column) -> Column:
-    return F.when(is_early_close(d), ny_instant(d, "13:00")).otherwise(ny_instant(d, "16:00"))
-
-
 def is_federal_holiday(d: Column) -> Column:
     """Observed federal holidays; a Saturday new year falls on the Friday before."""
     return (
@@ -124,33 +115,44 @@ def days_between(span: DataFrame, first: str = "first", last: str = "last") -> D
     return span.select(F.explode(F.sequence(F.col(first), F.col(last), F.expr("interval 1 day"))).alias("day"))
 
 
+def exchange_days(span: DataFrame, adhoc: tuple[str, ...] = ADHOC_CLOSURES) -> DataFrame:
+    """Every calendar day of a span: session or not, early close, open and close instants."""
+    d = F.col("day")
+    x = with_easter(days_between(span))
+    x = x.withColumn("_hol", is_exchange_holiday(d, F.col("_easter")))
+    closed = d.isin(*[F.lit(c).cast("date") for c in adhoc]) if adhoc else F.lit(False)
+    x = x.withColumn("is_session", (F.weekday(d) < 5) & ~F.col("_hol") & ~closed)
+    eve = ((F.month(d) == 7) & (F.dayofmonth(d) == 3)) | ((F.month(d) == 12) & (F.dayofmonth(d) == 24))
+    early = _nth(F.date_sub(d, 1), 11, THU, 4) | (eve & (F.weekday(d) < 5) & ~F.col("_hol"))
+    x = x.withColumn("early_close", F.col("is_session") & early)
+    on = F.col("is_session")
+    close = F.when(F.col("early_close"), ny_instant(d, "13:00")).otherwise(ny_instant(d, "16:00"))
+    return x.select(
+        "day", "is_session", "early_close", F.when(on, ny_instant(d, "09:30")).alias("open_at"), F.when(on, close).alias("close_at")
+    )
+
+
 def session_calendar(span: DataFrame) -> DataFrame:
     """Sessions of a span with dense index, open and close. Bounded: one row per day."""
-    d = F.col("day")
-    s = days_between(span).where(is_session(d))
     idx = F.row_number().over(Window.orderBy("day")).cast("bigint")
-    return s.select(
-        d.alias("session"),
-        idx.alias("idx"),
-        session_open(d).alias("open_at"),
-        session_close(d).alias("close_at"),
-        is_early_close(d).alias("early_close"),
-    )
+    s = exchange_days(span).where("is_session")
+    return s.select(F.col("day").alias("session"), idx.alias("idx"), "open_at", "close_at", "early_close")
+
+
+DAY_COLUMNS = ("day", "is_session", "early_close", "open_at", "close_at", "prev_session", "next_session", "next_close_at", "session_idx")
 
 
 def day_table(span: DataFrame) -> DataFrame:
-    """Every calendar day with its neighbouring sessions (at most 366 rows a year)."""
-    d = F.col("day")
-    days = days_between(span).withColumn("is_session", is_session(d))
-    here = F.when(F.col("is_session"), d)
+    """Every calendar day with its own session and the neighbouring ones (at most 366 rows a year)."""
+    here, close = F.when(F.col("is_session"), F.col("day")), F.col("close_at")
     back = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     ahead = Window.orderBy("day").rowsBetween(1, Window.unboundedFollowing)
     upto = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    return days.select(
-        "day",
-        "is_session",
+    return exchange_days(span).select(
+        "day", "is_session", "early_close", "open_at", "close_at",
         F.last(here, ignorenulls=True).over(back).alias("prev_session"),
         F.first(here, ignorenulls=True).over(ahead).alias("next_session"),
+        F.first(close, ignorenulls=True).over(ahead).alias("next_close_at"),
         F.count(here).over(upto).alias("session_idx"),
     )
 
@@ -164,11 +166,11 @@ def prev_next_session(df: DataFrame, instant: str, days: DataFrame) -> DataFrame
     """Last session closed by an instant and first session that opens after it."""
     at, d = F.col(instant), F.col("day")
     out = on_day(df, days, ny_date(at))
-    closed = F.col("is_session") & (session_close(d) <= at)
-    ahead = F.col("is_session") & (session_open(d) > at)
+    closed = F.coalesce(F.col("close_at") <= at, F.lit(False))
+    ahead = F.coalesce(F.col("open_at") > at, F.lit(False))
     return out.withColumn("previous_session", F.when(closed, d).otherwise(F.col("prev_session"))).withColumn(
         "following_session", F.when(ahead, d).otherwise(F.col("next_session"))
-    ).drop("day", "is_session", "prev_session", "next_session", "session_idx")
+    ).drop(*DAY_COLUMNS)
 
 
 def weekly_decisions(sessions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -185,7 +187,7 @@ def filing_release(df: DataFrame, accepted: str, days: DataFrame) -> DataFrame:
     return (
         out.withColumn("release_at", F.when(same, at).otherwise(ny_instant(F.col("next_session"), "06:00")))
         .withColumn("after_hours", ~same)
-        .drop("day", "is_session", "prev_session", "next_session", "session_idx")
+        .drop(*DAY_COLUMNS)
     )
 
 
@@ -234,8 +236,9 @@ def positions_release(df: DataFrame, report: str) -> DataFrame:
     return df.join(F.broadcast(days), report, "left")
 
 
-def bar_release(session: Column) -> Column:
-    return minutes_after(session_close(session), 60)
+def bar_release(close_at: Column) -> Column:
+    """Daily bars are published an hour after the close."""
+    return minutes_after(close_at, 60)
 
 
 def macro_release(vintage: Column) -> Column:

@@ -184,7 +184,8 @@ def order_limits(
 ) -> DataFrame:
     """Row-level and session-level violations of an order session.
 
-    A sell is priced at the higher of its limit and the bid. Rows are judged in place;
+    A sell is priced at the higher of its limit and the bid. ``held`` is per line and any of
+    the session keys it carries. Rows are judged in place;
     totals are partial aggregations per session and per sold line.
     """
     k = list(keys)
@@ -210,11 +211,12 @@ def order_limits(
         (~sell & quoted & ~valid_quote(), "BAD_QUOTE"),
         (~sell & valid_quote() & (spread > max_spread_bps), "SPREAD"),
     )
-    have = held.select(*k, "entity_id", F.col("held").alias("_held"))
+    by = [c for c in k if c in held.columns]
+    have = held.select(*by, "entity_id", F.col("held").alias("_held"))
     line = x.groupBy(*k, "entity_id").agg(
         F.sum(F.when(sell, F.abs("qty")).otherwise(0)).alias("_sold"), F.max((~sell).cast("int")).alias("_buys")
     )
-    line = line.join(have, [*k, "entity_id"], "left").withColumn("_held", F.coalesce("_held", F.lit(0)))
+    line = line.join(have, [*by, "entity_id"], "left").withColumn("_held", F.coalesce("_held", F.lit(0)))
     over = _violations(line, k, F.col("entity_id"), (F.col("_sold") > F.col("_held"), "SELL_EXCEEDS_HELD"))
     new = line.groupBy(*k).agg(F.count_if((F.col("_buys") == 1) & (F.col("_held") <= 0)).alias("_new"))
     tot = x.groupBy(*k).agg(

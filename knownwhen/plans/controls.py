@@ -260,9 +260,8 @@ def _(t):
         F.when(F.col("l_partkey") % 7 != 0, F.lit(400.0) * (F.col("l_partkey") % 50)).alias("adv"), (F.lit(4000.0) * (F.col("l_suppkey") % 11)).alias("nav"),
     )
     held = li.where("l_quantity > 48").select((F.col("l_suppkey") % 20).alias("account"), "entity_id").distinct().withColumn("held", F.lit(30))
-    dates = orders.select("account", "session", "entity_id").distinct().join(held, ["account", "entity_id"])
     out = ct.order_limits(
-        orders, dates, max_qty=45, max_notional=3500.0, participation=0.2, max_spread_bps=60.0, min_adv=2000.0, min_price=20.0, max_orders=3, max_new=1, max_turnover=0.25
+        orders, held, max_qty=45, max_notional=3500.0, participation=0.2, max_spread_bps=60.0, min_adv=2000.0, min_price=20.0, max_orders=3, max_new=1, max_turnover=0.25
     )
     return out.groupBy("account", "session", "code").agg(F.count(F.lit(1)).alias("n"))
 

@@ -162,7 +162,8 @@ def _(t):
 )
 def _(t):
     s = t.lineitem.groupBy(F.col("l_shipdate").cast("date").alias("session")).agg(F.count(F.lit(1)).alias("n"))
-    return s.where(cal.is_session(F.col("session"))).withColumn("available_at", cal.bar_release(F.col("session")))
+    on = cal.on_day(s, cal.day_table(span(t.lineitem, "l_shipdate")), F.col("session")).where("is_session")
+    return on.withColumn("available_at", cal.bar_release(F.col("close_at")))
 
 
 @query(

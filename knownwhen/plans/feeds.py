@@ -88,5 +88,5 @@ def _(t):
     twice = F.when(n % 19 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
     log = log.withColumn("event_id", F.concat(F.lit("e"), n)).withColumn("copy", F.explode(twice)).drop("copy")
     base = jobs.shared_folder(t.spark)
-    audit = jobs.stream_order_audit(log.withColumn("at", F.timestamp_seconds(n)), "30 days")
+    audit = jobs.stream_order_audit(log.withColumn("at", F.timestamp_seconds(n + 86400)), "30 days")
     return jobs.drain(audit, f"{base}/out", f"{base}/cp")

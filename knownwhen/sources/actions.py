@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from knownwhen.functions.columns import first_true, reasons, sha256_text, text_array
-from knownwhen.operators.calendars import is_session
 from knownwhen.sources.envelope import envelope
 
 # The fields each kind of action reads.
@@ -259,5 +258,7 @@ def split_detect(nav: DataFrame, days: DataFrame, ratios: tuple[float, ...] = ST
     return out.select("entity_id", F.col("_p_session").alias("previous"), "session", "finding", "ratio", "nav_ratio", "shares_ratio", "sessions_missing")
 
 
-def non_sessions(nav: DataFrame) -> DataFrame:
-    return nav.where(~is_session(F.col("session"))).select("entity_id", "session")
+def non_sessions(nav: DataFrame, days: DataFrame) -> DataFrame:
+    """Rows of a NAV history dated off-session."""
+    off = days.where(~F.col("is_session")).select(F.col("day").alias("session"))
+    return nav.join(F.broadcast(off), "session", "left_semi").select("entity_id", "session")

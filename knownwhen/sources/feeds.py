@@ -47,8 +47,8 @@ def _bar_rows(rows: DataFrame, days: DataFrame, source: str, prefix: str) -> Dat
         source_id=F.lit(source),
         locator=F.concat(F.lit(f"{prefix}/"), "symbol", F.lit("/"), F.col("session").cast("string"), suffix),
         entity=F.col("symbol"),
-        observed_at=F.when(on, cal.session_close(F.col("session"))).otherwise(F.col("provider_at")),
-        available_at=F.when(on, cal.bar_release(F.col("session"))).otherwise(cal.bar_release(F.col("next_session"))),
+        observed_at=F.when(on, F.col("close_at")).otherwise(F.col("provider_at")),
+        available_at=cal.bar_release(F.when(on, F.col("close_at")).otherwise(F.col("next_close_at"))),
         value=F.to_json(F.struct("close", "high", "low", "open", F.col("session").cast("string").alias("session"), "symbol", "volume")),
         flags=flags,
     )
