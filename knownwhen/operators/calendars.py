@@ -127,9 +127,10 @@ def exchange_days(span: DataFrame, adhoc: tuple[str, ...] = ADHOC_CLOSURES) -> D
     x = x.withColumn("early_close", F.col("is_session") & early)
     on = F.col("is_session")
     close = F.when(F.col("early_close"), ny_instant(d, "13:00")).otherwise(ny_instant(d, "16:00"))
-    return x.select(
-        "day", "is_session", "early_close", F.when(on, ny_instant(d, "09:30")).alias("open_at"), F.when(on, close).alias("close_at")
-    )
+    x = x.withColumn("open_at", F.when(on, ny_instant(d, "09:30"))).withColumn("close_at", F.when(on, close))
+    # Grouping by day changes nothing but stops a filter on ``is_session`` from being pushed through
+    # these rules into whatever table the calendar is joined with.
+    return x.groupBy("day").agg(*[F.first(c).alias(c) for c in ("is_session", "early_close", "open_at", "close_at")])
 
 
 def session_calendar(span: DataFrame) -> DataFrame:

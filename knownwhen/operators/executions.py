@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from knownwhen.functions.columns import ratio
 from knownwhen.operators.market import by_entity, carry_closes, with_index
 from knownwhen.operators.scan import interval_join, month_of, running
+from knownwhen.session import materialise, small
 
 
 def _slots(bars: DataFrame, delay: int, max_bars: int, participation: float) -> DataFrame:
@@ -119,9 +120,10 @@ def fills_before_decision(fills: DataFrame, delay: int) -> DataFrame:
 def split_factor(df: DataFrame, splits: DataFrame, date: str, name: str = "split_factor") -> DataFrame:
     """Product of the entity's split ratios with ex-date at or before a date.
 
-    Splits come as one short array per entity, so rows are joined once and never multiplied.
+    Splits come as one short array per entity, so rows are joined once and never multiplied;
+    the array table is broadcast if its count allows, so rows are not shuffled by entity.
     """
-    s = splits.groupBy("entity_id").agg(F.collect_list(F.struct("effective_date", "ratio")).alias("_s"))
+    s = small(splits.groupBy("entity_id").agg(F.collect_list(F.struct("effective_date", "ratio")).alias("_s")))
     out = df.join(s, "entity_id", "left")
     hit = F.filter("_s", lambda x: x["effective_date"] <= F.col(date))
     f = F.aggregate(hit, F.lit(1.0), lambda a, x: a * x["ratio"])
@@ -130,6 +132,7 @@ def split_factor(df: DataFrame, splits: DataFrame, date: str, name: str = "split
 
 def split_unit_restatement(fills: DataFrame, splits: DataFrame) -> DataFrame:
     """Fills worked in decision units restated in the units of the session they execute in."""
+    splits = materialise(splits)
     out = split_factor(split_factor(fills, splits, "decided", "_f0"), splits, "session", "_f1")
     out = out.withColumn("factor", F.col("_f1") / F.col("_f0"))
     return (
@@ -218,14 +221,14 @@ def lot_match_fifo(fills: DataFrame, splits: DataFrame) -> DataFrame:
         f.withColumn("_side", F.col("side")), [*PAIR, "_side"], ["session", "fill_id"], month_of("session"),
         {"until": ("sum", F.col("units"))},
     )
-    f = f.withColumn("start", F.col("until") - F.col("units"))
+    f = materialise(f.withColumn("start", F.col("until") - F.col("units")))
     unit_cost = (F.col("price") * F.col("qty") + F.col("fee")) / F.col("units")
     unit_net = (F.col("price") * F.col("qty") - F.col("fee")) / F.col("units")
     lot = F.struct("fill_id", "session", F.col("until").alias("until"), unit_cost.alias("cost"), unit_net.alias("net"))
     b = f.select(*PAIR, F.col("start").alias("pos"), F.col("side"), lot.alias("lot"), F.col("fill_id").alias("_id"))
     w_buy, w_sell = F.when(F.col("side") == "BUY", F.col("lot")), F.when(F.col("side") == "SELL", F.col("lot"))
     block = F.floor(F.col("pos") / 100000)
-    m = running(b, PAIR, ["pos", "side", "_id"], block, {"buy": ("last", w_buy), "sell": ("last", w_sell)})
+    m = materialise(running(b, PAIR, ["pos", "side", "_id"], block, {"buy": ("last", w_buy), "sell": ("last", w_sell)}))
     m = running(m, PAIR, ["pos", "side", "_id"], block, {"next_pos": ("min", F.col("pos"))}, exclusive=True, reverse=True)
     # The last boundary of a side may end before the next start: a match stops at either lot's end.
     qty = F.least(F.col("buy.until"), F.col("sell.until"), F.coalesce("next_pos", F.least("buy.until", "sell.until"))) - F.col("pos")
@@ -322,7 +325,7 @@ def oversell_overspend(fills: DataFrame, initial: float) -> DataFrame:
 
     Fill-level running sums, cut by month so that a hot account is spread over tasks.
     """
-    f = running(fills, PAIR, ["session", "fill_id"], month_of("session"), {"held_after": ("sum", _signed())})
+    f = materialise(running(fills, PAIR, ["session", "fill_id"], month_of("session"), {"held_after": ("sum", _signed())}))
     gross = F.col("price") * F.col("qty")
     flow = F.when(F.col("side") == "BUY", -(gross + F.col("fee"))).otherwise(gross - F.col("fee"))
     f = running(f, ["account"], ["session", "fill_id"], month_of("session"), {"_cash": ("sum", flow.cast("decimal(38,6)"))})
@@ -342,6 +345,7 @@ def book_state_asof(nav: DataFrame) -> DataFrame:
 
 def passive_arm(bars: DataFrame, actions: DataFrame, sessions: DataFrame, cash: float, *, delay: int = 1, adverse_bps: float = 7.0) -> DataFrame:
     """Buy each entity once at its first open after the delay and hold, dividends kept as cash."""
+    actions = materialise(actions)
     b = with_index(bars, sessions)
     entry = b.where(F.col("idx") > delay).groupBy("entity_id").agg(F.min_by(F.struct("session", "idx", "open"), "session").alias("e"))
     price = F.col("e.open") * (1 + adverse_bps / 10000)

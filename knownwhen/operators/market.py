@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from knownwhen.functions.columns import ratio
 from knownwhen.operators.pit import win_intervals
 from knownwhen.operators.scan import asof_join, interval_join, month_of
+from knownwhen.session import materialise
 
 ENDINGS = ("DELISTING", "MERGER")
 
@@ -214,7 +215,8 @@ def series_asof(requests: DataFrame, series: DataFrame, date: str, prefix: str =
 
 def period_return(requests: DataFrame, series: DataFrame, start: str, end: str) -> DataFrame:
     """Return between the as-of points of two dates."""
-    out = series_asof(series_asof(requests, series, start, "start_"), series, end, "end_")
+    series = materialise(series)
+    out = series_asof(materialise(series_asof(requests, series, start, "start_")), series, end, "end_")
     return out.withColumn("period_return", ratio(F.col("end_level"), F.col("start_level")) - 1)
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from knownwhen.functions.columns import c
+from knownwhen.session import small
 
 
 def _fold(kind: str, x: Column) -> Column:
@@ -47,7 +48,8 @@ def running(
     """Add running values per key. ``cols`` maps a name to (kind, column).
 
     Kinds: sum, count, max, min, product, last (last non-null). ``order`` must be
-    total within a key and ``segment`` must rise with it.
+    total within a key and ``segment`` must rise with it. The input is read twice, the
+    second time for few columns; a caller that chains scans materialises in between.
     """
     sort = [F.col(o).desc_nulls_last() if reverse else F.col(o).asc_nulls_first() for o in order]
     stop = -1 if exclusive else 0
@@ -133,8 +135,12 @@ def interval_join(
     """Rows of ``intervals`` with every point in ``[start, end)`` (``closed``: ``[start, end]``).
 
     Both sides meet on an equi-key of calendar buckets, so no nested loop is planned.
-    An open end is a null; it is clipped at the last point.
+    An open end is a null; it is clipped at the last point. Without further keys the points
+    are a side table of instants: counted, and broadcast only if small, so that intervals
+    stay where they are.
     """
+    if not keys:
+        points = small(points)
     first, last = points.agg(F.min(point)).scalar(), points.agg(F.max(point)).scalar()
     lo, hi = F.greatest(F.col(start), first), F.least(F.coalesce(F.col(end), last), last)
     step = F.expr(f"interval 1 {unit}")

@@ -7,6 +7,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -45,3 +46,16 @@ def materialise(df: DataFrame) -> DataFrame:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint()
+
+
+SMALL_ROWS = 200_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """A side table of a join, with a broadcast hint only if a count shows that it is small.
+
+    The side is written to the checkpoint folder once, so the count and the join read it
+    back instead of computing it again. Above the bound the join is left to a shuffle.
+    """
+    df = materialise(df)
+    return F.broadcast(df) if df.count() <= rows else df
