@@ -129,8 +129,13 @@ def risk_limits(
     max_line: float, max_positions: int, max_gross: float, max_net: float, min_cash: float, max_sector: float, max_cluster: float,
     keys: Sequence[str] = ("trial", "decision"),
 ) -> DataFrame:
-    """Every limit a target book breaks, as a long table of (book, code, subject)."""
+    """Every limit a target book breaks, as a long table of (book, code, subject).
+
+    Weights are summed as decimals: a sum that lies exactly on a limit must not depend on
+    the order of its terms.
+    """
     k = list(keys)
+    lines = lines.withColumn("weight", F.col("weight").cast("decimal(20,12)"))
     held = lines.where("weight > 0")
     parts = [
         _violations(lines, k, F.col("entity_id"), (F.col("weight") < 0, "NEGATIVE_WEIGHT"), (F.col("weight") > max_line, "SINGLE_LINE_WEIGHT"))

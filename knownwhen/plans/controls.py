@@ -168,15 +168,15 @@ SQL_VIEWS["book_heads"] = """
 select trial, decision, 1 - sum(greatest(weight, 0)) as cash_weight, case when decision % 5 = 0 then 'HOLD_ONLY' else 'NORMAL' end as halt_state from book_lines group by 1, 2"""
 SQL_VIEWS["line_sectors"] = "select distinct p_brand as entity_id, concat('sector_', p_type) as sector from part where p_size > 46"
 SQL_VIEWS["risk_rows"] = """
-select trial, decision, unnest(list_filter([case when weight < 0 then 'NEGATIVE_WEIGHT' end, case when weight > 0.3 then 'SINGLE_LINE_WEIGHT' end], lambda x: x is not null)) as code, entity_id as subject from book_lines
+select trial, decision, unnest(list_filter([case when cast(weight as decimal(20, 12)) < 0 then 'NEGATIVE_WEIGHT' end, case when cast(weight as decimal(20, 12)) > 0.3 then 'SINGLE_LINE_WEIGHT' end], lambda x: x is not null)) as code, entity_id as subject from book_lines
 union all select trial, decision, unnest(list_filter([case when n > 9 then 'MAX_OPEN_POSITIONS' end, case when g > 1.2 then 'GROSS_EXPOSURE' end, case when g > 1.1 then 'NET_EXPOSURE' end,
   case when cash_weight < 0.02 then 'MIN_CASH' end], lambda x: x is not null)), '*' from (select b.*, coalesce(n, 0) as n, coalesce(g, 0) as g from book_heads b left join
-    (select trial, decision, count(*) as n, sum(weight) as g from book_lines where weight > 0 group by 1, 2) using (trial, decision))
+    (select trial, decision, count(*) as n, sum(cast(weight as decimal(20, 12))) as g from book_lines where weight > 0 group by 1, 2) using (trial, decision))
 union all select trial, decision, case when cast(replace(entity_id, 'Brand#', '') as int) % 9 = 0 then 'NOT_ADMITTED' else 'UNCLASSIFIED_HOLDING' end, entity_id from book_lines where weight > 0
   and (cast(replace(entity_id, 'Brand#', '') as int) % 9 = 0 or entity_id not in (select entity_id from line_sectors))
 union all select trial, decision, 'SECTOR_CONCENTRATION', sector from book_lines join line_sectors using (entity_id) where weight > 0 and cast(replace(entity_id, 'Brand#', '') as int) % 9 <> 0
-  group by 1, 2, 4 having sum(weight) > 0.6
-union all select trial, decision, unnest(list_filter([case when sum(weight) > 0.5 then 'CLUSTER_WEIGHT' end, case when count(*) > 2 then 'CLUSTER_MEMBERS' end], lambda x: x is not null)), cluster_id
+  group by 1, 2, 4 having sum(cast(weight as decimal(20, 12))) > 0.6
+union all select trial, decision, unnest(list_filter([case when sum(cast(weight as decimal(20, 12))) > 0.5 then 'CLUSTER_WEIGHT' end, case when count(*) > 2 then 'CLUSTER_MEMBERS' end], lambda x: x is not null)), cluster_id
   from book_lines join cand_clusters using (entity_id) where weight > 0 group by trial, decision, cluster_id"""
 SQL_VIEWS["liquidity_rows"] = """
 select trial, decision, unnest(list_filter([case when adv is null then 'LIQUIDITY_UNKNOWN' end, case when adv < 300000 then 'MIN_ADV' end,
