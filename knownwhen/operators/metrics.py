@@ -18,6 +18,8 @@ from knownwhen.functions.statistics import EULER_MASCHERONI, PRIME, mix, normal_
 from knownwhen.operators.market import by_entity
 
 YEAR = 252
+# A residual share of the total at or below this is no residual: cross products carry about 1e-15 of error.
+DEGENERATE_FIT = 1e-12
 
 
 def leg(series: DataFrame, entity: str, name: str) -> DataFrame:
@@ -418,7 +420,8 @@ def factor_regression(rows: DataFrame, y: str, xs: list[str], keys=("entity_id",
     """Least squares with standard errors, t-values and R2 per group.
 
     Spark sums the cross products, one row of (k+1)^2 numbers per group; a vectorised step
-    solves the small systems. Fewer than k+2 rows or collinear factors give null estimates.
+    solves the small systems. Too few rows for a residual variance or collinear factors are
+    ``refused``; a fit that leaves no residual is ``degenerate``.
     """
     cols = [F.lit(1.0), *[F.col(x) for x in xs]]
     k = len(cols)
@@ -433,7 +436,7 @@ def factor_regression(rows: DataFrame, y: str, xs: list[str], keys=("entity_id",
         F.sum(y).alias("_sy"),
     )
 
-    @F.pandas_udf("coef array<double>, se array<double>, r2 double, degenerate boolean")
+    @F.pandas_udf("coef array<double>, se array<double>, r2 double, refused boolean, degenerate boolean")
     def solve(n: pd.Series, xx: pd.Series, xy: pd.Series, yy: pd.Series, sy: pd.Series) -> pd.DataFrame:
         out = []
         for m, a, b, q, s in zip(n, xx, xy, yy, sy, strict=True):
@@ -441,16 +444,17 @@ def factor_regression(rows: DataFrame, y: str, xs: list[str], keys=("entity_id",
             scale = np.sqrt(np.diag(a))
             bad = m < k + 1 or bool((scale == 0).any()) or np.linalg.cond(a / np.outer(scale, scale)) > 1e12
             if bad:
-                out.append((None, None, None, True))
+                out.append((None, None, None, True, None))
                 continue
             coef = np.linalg.solve(a, b)
-            rss, tss = max(q - coef @ b, 0.0), q - s * s / m
-            se = np.sqrt(np.diag(np.linalg.inv(a)) * rss / (m - k)) if m > k else np.full(k, np.nan)
-            out.append((coef.tolist(), se.tolist(), 1 - rss / tss if tss > 0 else None, False))
-        return pd.DataFrame(out, columns=["coef", "se", "r2", "degenerate"])
+            rss, tss = max(q - coef @ b, 0.0), max(q - s * s / m, 0.0)
+            se = np.sqrt(np.maximum(np.diag(np.linalg.inv(a)) * rss / (m - k), 0.0))
+            exact = rss <= DEGENERATE_FIT * tss if tss > 0 else rss == 0
+            out.append((coef.tolist(), se.tolist(), 1 - rss / tss if tss > 0 else 0.0, False, bool(exact)))
+        return pd.DataFrame(out, columns=["coef", "se", "r2", "refused", "degenerate"])
 
     out = sums.withColumn("_f", solve("n", "_xx", "_xy", "_yy", "_sy")).select(*keys, "n", "_f.*")
-    return out.withColumn("t", F.zip_with("coef", "se", lambda a, b: F.when(b > 0, a / b)))
+    return out.withColumn("t", F.zip_with("coef", "se", lambda a, b: F.when(b > 0, a / b).otherwise(0.0)))
 
 
 def factor_attribution(monthly: DataFrame, xs: list[str], *, min_months: int = 24, resamples: int = 200, keys=("entity_id",)) -> DataFrame:
@@ -459,7 +463,7 @@ def factor_attribution(monthly: DataFrame, xs: list[str], *, min_months: int = 2
     Groups with fewer months are reported as not performed.
     """
     fit = factor_regression(monthly, "excess", xs, keys)
-    done = fit.where((F.col("n") >= min_months) & ~F.col("degenerate"))
+    done = fit.where((F.col("n") >= min_months) & ~F.col("refused"))
     fitted = F.col("coef")[0]
     for i, x in enumerate(xs):
         fitted = fitted + F.col("coef")[i + 1] * F.col(x)
@@ -471,5 +475,5 @@ def factor_attribution(monthly: DataFrame, xs: list[str], *, min_months: int = 2
     return out.select(
         *keys, "n", F.when(F.col("n") >= min_months, alpha).alias("alpha"), (alpha + F.col("lower")).alias("alpha_lower"),
         (alpha + F.col("upper")).alias("alpha_upper"), "r2",
-        F.when((F.col("n") < min_months) | F.col("degenerate"), "NOT_PERFORMED").otherwise("PERFORMED").alias("status"),
+        F.when((F.col("n") < min_months) | F.col("refused"), "NOT_PERFORMED").otherwise("PERFORMED").alias("status"),
     )

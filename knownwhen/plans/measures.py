@@ -447,12 +447,13 @@ def _(t):
 
 
 _COV = """select entity_id, count(*) as n, regr_slope(strategy, benchmark) as b, regr_intercept(strategy, benchmark) as a, regr_r2(strategy, benchmark) as r2,
-  var_pop(strategy) * count(*) * (1 - regr_r2(strategy, benchmark)) / (count(*) - 2) / (var_pop(benchmark) * count(*)) as vb from paired where entity_id not in ('LARGE', 'STANDARD') group by 1"""
+  var_pop(strategy) * count(*) * (1 - regr_r2(strategy, benchmark)) / nullif(count(*) - 2, 0) / (var_pop(benchmark) * count(*)) as vb from paired where entity_id not in ('LARGE', 'STANDARD') group by 1"""
 
 
 @query(
     "factor_regression", "entity_id:s n:i alpha:f9 beta:f7 r2:f7 beta_t:f4",
-    f"select entity_id, n, a as alpha, b as beta, r2, b / sqrt(vb) as beta_t from ({_COV})",
+    f"""select entity_id, n, case when n > 2 then a end as alpha, case when n > 2 then b end as beta, case when n > 2 then r2 end as r2,
+         case when n > 2 then b / sqrt(vb) end as beta_t from ({_COV})""",
 )
 def _(t):
     out = mt.factor_regression(paired(t).where(~F.col("entity_id").isin(PRIMARY, CASH)), "strategy", ["benchmark"])

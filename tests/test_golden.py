@@ -349,7 +349,10 @@ def test_bootstrap_restarts_at_its_rate():
 def test_collinear_factors_are_degenerate(spark):
     df = spark.createDataFrame([("A", float(i), float(i % 3), 2.0 * (i % 3)) for i in range(20)], "entity_id string, y double, a double, b double")
     r = metrics.factor_regression(df, "y", ["a", "b"]).first()
-    assert r["degenerate"] and r["coef"] is None
+    assert r["refused"] and r["coef"] is None
+    exact = spark.createDataFrame([("A", 2.0 * i, float(i)) for i in range(9)], "entity_id string, y double, a double")
+    fit = metrics.factor_regression(exact, "y", ["a"]).first()
+    assert fit["degenerate"] and not fit["refused"] and fit["coef"][1] == pytest.approx(2.0)
 
 
 def test_portfolio_vol_equals_the_matrix_form(spark):
