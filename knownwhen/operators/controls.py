@@ -432,7 +432,7 @@ def overlay_arms(base: DataFrame, assessments: DataFrame, *, replay: bool) -> Da
     )
     veto = base.join(a, "candidate", "left").where(~F.coalesce(F.col("_against") & ~F.col("_for"), F.lit(False)))
     alone = a.where(F.col("_for") & ~F.col("_against"))
-    label = F.lit("TRAINING_CONTAMINATION" if replay else None).cast("string")
+    label = F.lit("HISTORICAL_REPLAY_CONTAMINATED" if replay else None).cast("string")
     return (
         veto.select(F.lit("C1").alias("arm"), "candidate").unionByName(alone.select(F.lit("D1").alias("arm"), "candidate")).withColumn("label", label)
     )

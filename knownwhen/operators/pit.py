@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from knownwhen.functions.columns import key_text, longest_prefix, minutes_after, reasons, sha256_text, text_array
 from knownwhen.operators.scan import interval_join, month_of, running
+from knownwhen.session import small
 
 # Quality code -> (severity, readable by a decision, usable as promotion evidence).
 QUALITY_RULES = {
@@ -193,11 +194,13 @@ def append_outcome(batch: DataFrame, stored: DataFrame) -> DataFrame:
 
     Same identity and hash as a stored or an earlier batch row is a repeat. A new hash
     under a known identity is kept and flagged CORRECTED. Works on distinct versions,
-    so a hot identity is reduced before anything is joined.
+    so a hot identity is reduced before anything is joined. The stored table is filtered to
+    the batch's identities first, without a shuffle while those are few.
     """
     ident = key_text(*IDENTITY)
     rows = batch.withColumn("_ident", ident)
-    kept = stored.select(ident.alias("_ident"), "value_hash")
+    asked = small(rows.select("_ident").distinct())
+    kept = stored.select(ident.alias("_ident"), "value_hash").join(asked, "_ident", "left_semi")
     versions = rows.groupBy("_ident", "value_hash").agg(F.min("id").alias("_first"))
     firsts = versions.groupBy("_ident").agg(F.min("_first").alias("_origin"))
     old_versions = kept.distinct().withColumn("_old", F.lit(True))

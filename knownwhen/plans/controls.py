@@ -459,8 +459,8 @@ def assessments(t):
 @query(
     "overlay_arms", "arm:s candidate:i label:s",
     """with a as (select conv_id as candidate, count(*) filter (turn % 2 = 0 and conv_id % 4 <> 1) > 0 as f, count(*) filter (turn % 2 = 1 and conv_id % 4 <> 2) > 0 as g, max(turn) % 5 = 4 as abstain from conversations group by 1)
-       select 'C1' as arm, doc_id as candidate, 'TRAINING_CONTAMINATION' as label from labels left join a on candidate = doc_id where not coalesce(not abstain and g and not f, false)
-       union all select 'D1', candidate, 'TRAINING_CONTAMINATION' from a where not abstain and f and not g""",
+       select 'C1' as arm, doc_id as candidate, 'HISTORICAL_REPLAY_CONTAMINATED' as label from labels left join a on candidate = doc_id where not coalesce(not abstain and g and not f, false)
+       union all select 'D1', candidate, 'HISTORICAL_REPLAY_CONTAMINATED' from a where not abstain and f and not g""",
 )
 def _(t):
     base = t.labels.select(F.col("doc_id").alias("candidate"))

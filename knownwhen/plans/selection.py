@@ -245,7 +245,7 @@ def _(t):
 
 
 @query(
-    "share_targets", _K + "target_shares:i achieved_weight:f7",
+    "share_targets", _K + "target_shares:i achieved_weight:f9",
     "select trial, decision, entity_id, target_shares, achieved_weight from share_rows",
 )
 def _(t):

@@ -69,7 +69,7 @@ def tr(t):
     "load_bars_asof",
     "decision_at:t entity_id:s n:i n_tradable:i close_sum:f6",
     """select decision_at, entity_id, count(*) as n, count(*) filter (not flagged and day(session) <> 13) as n_tradable,
-         sum(close) as close_sum from (
+         sum(cast(close as decimal(24, 9))) as close_sum from (
          select *, row_number() over (partition by decision_at, entity_id, session order by id desc) as rn
          from bar_rows join month_decisions on visible_at <= decision_at) where rn = 1 group by all""",
 )
@@ -77,7 +77,7 @@ def _(t):
     stale = t.bars.where(F.dayofmonth("session") == 13)
     out = m.load_bars(bar_rows(t), month_decisions(t), stale)
     return out.groupBy("decision_at", "entity_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("tradable").alias("n_tradable"), F.sum("close").alias("close_sum")
+        F.count(F.lit(1)).alias("n"), F.count_if("tradable").alias("n_tradable"), F.sum(F.col("close").cast("decimal(24,9)")).alias("close_sum")
     )
 
 
