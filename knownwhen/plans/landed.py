@@ -343,9 +343,11 @@ def _(t):
         F.when(F.col("o_orderkey") % 17 == 0, ".").otherwise(F.col("o_totalprice").cast("decimal(18,2)").cast("string")).alias("value"),
     )
     series = F.concat(F.lit("S"), F.substring("o_orderpriority", 1, 1)).alias("series")
-    g = t.orders.groupBy(series, month.alias("m")).agg(F.collect_list(o).alias("observations"))
+    # A page holds the observations of at most a thousand order keys.
+    page = F.floor(F.col("o_orderkey") / 1000).alias("page")
+    g = t.orders.groupBy(series, page).agg(F.collect_list(o).alias("observations"))
     doc = F.to_json(F.struct(F.lit("1990-01-01").alias("realtime_start"), F.lit("9999-12-31").alias("realtime_end"), "observations"))
-    good, _bad = feeds.macro_vintages(with_hash(g.select(F.concat_ws("-", "series", "m").alias("path"), "series", doc.alias("content"))))
+    good, _bad = feeds.macro_vintages(with_hash(g.select(F.concat_ws("-", "series", "page").alias("path"), "series", doc.alias("content"))))
     return good
 
 
@@ -407,14 +409,16 @@ def _(t):
         F.when(k % 10 == 0, "").otherwise(F.date_add(d, (k % 9 - 4).cast("int")).cast("string")).alias("report"),
         F.date_format(F.col("o_orderdate") + F.make_dt_interval(F.lit(0), (k % 24).cast("int")), "yyyy-MM-dd'T'HH:mm:ss'.000Z'").alias("accepted"),
     )
-    g = f.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("k", "form", "filed", "report", "accepted"))).alias("a"))
+    # A filer with very many filings is served in several pages.
+    page = F.floor(F.col("k") / 10000).alias("page")
+    g = f.groupBy("c", page).agg(F.array_sort(F.collect_list(F.struct("k", "form", "filed", "report", "accepted"))).alias("a"))
     report = F.when(F.col("c") % 50 == 7, F.concat(F.col("a.report"), F.array(F.lit("")))).otherwise(F.col("a.report"))
     recent = F.struct(
         F.transform("a.k", lambda x: F.concat(F.lit("A"), x)).alias("accessionNumber"), F.col("a.filed").alias("filingDate"), report.alias("reportDate"),
         F.col("a.accepted").alias("acceptanceDateTime"), F.col("a.form").alias("form"),
     )
     doc = F.to_json(F.struct(F.col("c").cast("string").alias("cik"), F.struct(recent.alias("recent")).alias("filings")))
-    good, _bad = feeds.filing_index(with_hash(g.select(F.concat(F.lit("cik-"), "c").alias("path"), doc.alias("content"))), day_rows(t, "o_orderdate", "orders"))
+    good, _bad = feeds.filing_index(with_hash(g.select(F.concat_ws("-", F.lit("cik"), "c", "page").alias("path"), doc.alias("content"))), day_rows(t, "o_orderdate", "orders"))
     return good.withColumn("flags", F.array_join("quality_flags", ","))
 
 
