@@ -53,9 +53,13 @@ join feature_panel p on p.entity_id = m.entity_id and p.session = c.session"""
 
 
 def weekly(t):
-    d = F.col("l_shipdate").cast("date")
-    span = t.lineitem.where(F.weekday("l_shipdate") < 5).agg(F.min(d).alias("first"), F.max(d).alias("last"))
-    return cal.weekly_decisions(cal.session_calendar(span)).select(F.col("session").alias("decision_session"))
+    """Weekly decisions over the data's span; one short table, kept for the query that asks for it twice."""
+    if "_weekly" not in t.__dict__:
+        d = F.col("l_shipdate").cast("date")
+        span = t.lineitem.where(F.weekday("l_shipdate") < 5).agg(F.min(d).alias("first"), F.max(d).alias("last"))
+        week = cal.weekly_decisions(cal.session_calendar(span))
+        t.__dict__["_weekly"] = materialise(week.select(F.col("session").alias("decision_session")))
+    return t.__dict__["_weekly"]
 
 
 def members(t, names=ENTITIES):
