@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +27,7 @@ def local_session(app: str = "knownwhen", cpus: str | None = None) -> SparkSessi
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
@@ -38,14 +38,23 @@ def local_session(app: str = "knownwhen", cpus: str | None = None) -> SparkSessi
 def materialise(df: DataFrame) -> DataFrame:
     """Cut a lineage that several branches read, through the cluster's shared checkpoint folder.
 
-    Only where the session names no folder, as in tests, is a local one set.
+    Only a local[*] master, as in tests, may do without a named folder.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that driver and executors all see."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint()
+        if not shared:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        sc.setCheckpointDir(shared)
+    return sc.getCheckpointDir()
 
 
 SMALL_ROWS = 200_000
