@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from knownwhen.llm import exact_dedup, sharding
+from knownwhen.llm import bpe, exact_dedup, sharding
 from knownwhen.llm.tables import table
 
 
@@ -18,9 +18,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_bpe": op9_bpe,
 }
 
 ORACLE: dict[str, str] = {
