@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from knownwhen.llm import bpe, exact_dedup, quality, sharding, toxicity
+from knownwhen.llm import bpe, exact_dedup, near_dedup, quality, sharding, toxicity
 from knownwhen.llm.tables import table
 
 
@@ -22,6 +22,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_sharding": op3_sharding,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_near_dedup": op8_near_dedup,
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
 }
