@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from knownwhen.llm import bpe, exact_dedup, near_dedup, quality, sharding, toxicity
+from knownwhen.llm import bpe, exact_dedup, near_dedup, pii, quality, sharding, top_k, toxicity
 from knownwhen.llm.tables import table
 
 
@@ -18,6 +19,14 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii(table(spark, sf_dir, "documents"))
+
+
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -37,6 +46,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_sharding": op3_sharding,
+    "op4_pii": op4_pii,
+    "op5_top_k": op5_top_k,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_near_dedup": op8_near_dedup,
     "op9_bpe": op9_bpe,
@@ -44,5 +55,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op5_top_k": top_k.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
 }
