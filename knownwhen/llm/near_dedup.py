@@ -52,19 +52,17 @@ def _signatures(docs: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, regs array<long>")
 
 
-def _full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """id, set (sorted 64-bit hashes as bytes) of the named documents; of rows that repeat an id, the one that was signed."""
+#: Up to so many ids are broadcast to pick their texts; beyond it the texts are shuffled.
+PICKED = 500_000
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [s.tobytes() for texts in words.pieces(batch.column("text")) for s in H.shingle_sets(texts, width)]
-            d1 = [int.from_bytes(hashlib.sha256(s).digest()[:8], "little", signed=True) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(d1, pa.int64()), pa.array(sets, pa.binary())], names=["id", "d1", "set"])
 
-    texts = doc_texts(docs).join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    sets = texts.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "id long, d1 long, set binary")
-    # A doc_id that stands for several texts is told apart by its set's digest.
-    return sets.join(ids.select("id", "d1"), ["id", "d1"], "left_semi").dropDuplicates(["id", "d1"]).drop("d1")
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, text (bytes) of the named documents, one row for each id and text."""
+    ids = ids.select(F.col("id").alias("doc_id")).distinct()
+    if ids.count() <= PICKED:
+        ids = F.broadcast(ids)
+    texts = doc_texts(docs).join(ids, "doc_id", "left_semi")
+    return texts.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -78,77 +76,97 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def _confirm(percent: int):
-    """Of rows id, hub, regs, set, hub_regs, hub_set those that are links, as a, b."""
+def _confirm(width: int, percent: int):
+    """Of rows id, hub, text, hub_text those that are links, as a, b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, theirs = None, None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            mine, theirs = (np.stack([np.asarray(x, np.int64) for x in batch.column(c).to_pylist()]).view(np.uint16) for c in ("regs", "hub_regs"))
-            near = H.estimate(mine, theirs) >= percent / 100 - MARGIN
             a, b = [], []
-            rows = zip(batch.column("id").to_pylist(), batch.column("hub").to_pylist(), batch.column("set").to_pylist(), batch.column("hub_set").to_pylist(), strict=True)
-            for ok, (i, hub, x, y) in zip(near, rows, strict=True):
-                if (ok or max(len(x), len(y)) <= 8 * SMALL) and similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent):
-                    a.append(min(i, hub))
-                    b.append(max(i, hub))
+            for i, h, text, hub_text in zip(*(batch.column(c).to_pylist() for c in ("id", "hub", "text", "hub_text")), strict=True):
+                if hub != (h, hub_text):
+                    hub, theirs = (h, hub_text), H.shingle_sets([hub_text], width)
+                mine = H.shingle_sets([text], width)
+                near = H.estimate(*H.registers(mine + theirs)) >= percent / 100 - MARGIN
+                if (near or max(len(mine[0]), len(theirs[0])) <= SMALL) and similar(mine[0], theirs[0], percent):
+                    a.append(min(i, h))
+                    b.append(max(i, h))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
-class Block:
-    """Members of a bucket, or of two of its blocks; gives the links between different components."""
-
-    def __init__(self, percent: int) -> None:
-        self.percent = percent
-
-    def links(self, ids: list[int], comps: list[int], part: list[int], regs: np.ndarray, sets: list[bytes], band: int, across: bool) -> Iterator[tuple[int, int]]:
-        """``across``: only pairs of different parts, the others are compared elsewhere."""
-        comp, part_of = np.array(comps), np.array(part)
-        arrays = [np.frombuffer(s, np.uint64) for s in sets]
-        size = np.array([len(a) for a in arrays])
-        registers = regs.view(np.uint16)
-        for i in range(len(ids) - 1):
-            rest = np.arange(i + 1, len(ids))
-            fits = (comp[rest] != comp[i]) & (100 * np.minimum(size[rest], size[i]) >= self.percent * np.maximum(size[rest], size[i]))
-            if across:
-                fits &= part_of[rest] != part_of[i]
-            rest = rest[fits]
-            if len(rest):
-                rest = rest[(regs[rest, :band] != regs[i, :band]).all(axis=1)]
-            if len(rest):
-                near = H.estimate(registers[rest], registers[i]) >= self.percent / 100 - MARGIN
-                rest = rest[near | (np.maximum(size[rest], size[i]) <= SMALL)]
-            for j in rest:
-                if comp[j] != comp[i] and similar(arrays[i], arrays[j], self.percent):
-                    yield min(ids[i], ids[j]), max(ids[i], ids[j])
-                    comp[comp == comp[j]] = comp[i]
-
-
-def _across(percent: int):
-    """Rows come group by group (band, key, left, right); links as a, b."""
+def pairs(comp: np.ndarray, part: np.ndarray, size: np.ndarray, regs: np.ndarray, band: int, across: bool, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Members of a group and the later ones that each must be compared with, by position.
+
+    A pair counts if its components differ, no earlier band is shared, sizes allow the similarity and the
+    estimate does not rule it out. ``across``: only pairs of different parts, the others meet elsewhere.
+    ``comp`` may change while pairs are drawn.
+    """
+    registers = regs.view(np.uint16)
+    for i in range(len(comp) - 1):
+        rest = np.arange(i + 1, len(comp))
+        fits = (comp[rest] != comp[i]) & (100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i]))
+        if across:
+            fits &= part[rest] != part[i]
+        rest = rest[fits]
+        if len(rest):
+            rest = rest[(regs[rest, :band] != regs[i, :band]).all(axis=1)]
+        if len(rest):
+            near = H.estimate(registers[rest], registers[i]) >= percent / 100 - MARGIN
+            rest = rest[near | (np.maximum(size[rest], size[i]) <= SMALL)]
+        if len(rest):
+            yield i, rest
+
+
+GROUP = ("band", "key", "left", "right")
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[tuple, list[list]]]:
+    """Rows come group by group; a group's key and its columns, if it has several rows."""
+    held, current = [], None
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in (*GROUP, *columns)), strict=True):
+            if row[:4] != current:
+                if len(held) > 1:
+                    yield current, list(zip(*held, strict=True))
+                held, current = [], row[:4]
+            held.append(row[4:])
+    if len(held) > 1:
+        yield current, list(zip(*held, strict=True))
+
+
+def _sift(percent: int):
+    """The members of each group that some pair still needs, judged by registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held, current = Block(percent), [], None
+        for (band, key, left, right), (ids, comp, part, size, regs) in _grouped(batches, "id", "comp", "part", "n", "regs"):
+            needed: set[int] = set()
+            for i, rest in pairs(np.array(comp), np.array(part), np.array(size), np.array(regs, np.int64), band, left != right, percent):
+                needed.add(i)
+                needed.update(rest.tolist())
+            on = sorted(needed)
+            pick = lambda values, on=on: [values[i] for i in on]
+            columns = [pa.array([v] * len(on), k) for v, k in ((band, pa.int32()), (key, pa.int64()), (left, pa.int32()), (right, pa.int32()))]
+            columns += [pa.array(pick(ids), pa.int64()), pa.array(pick(comp), pa.int64()), pa.array(pick(part), pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*GROUP, "id", "comp", "part"])
 
-        def out() -> pa.RecordBatch:
-            ids, comps, part, regs, sets = map(list, zip(*held, strict=True))
-            band, _, left, right = current
-            found = list(block.links(ids, comps, part, np.array(regs, np.int64), sets, band, left != right))
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+    return run
 
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("band", "key", "left", "right", "id", "comp", "part", "regs", "set")]
-            for row in zip(*columns, strict=True):
-                if row[:4] != current:
-                    if len(held) > 1:
-                        yield out()
-                    held, current = [], row[:4]
-                held.append(row[4:])
-        if len(held) > 1:
-            yield out()
+
+def _across(width: int, percent: int):
+    """The links of each group across components, as a, b."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (band, _, left, right), (ids, comps, part, texts) in _grouped(batches, "id", "comp", "part", "text"):
+            sets = H.shingle_sets(list(texts), width)
+            comp, found = np.array(comps), []
+            for i, rest in pairs(comp, np.array(part), np.array([len(s) for s in sets]), H.bands(H.registers(sets)), band, left != right, percent):
+                for j in rest:
+                    if comp[i] != comp[j] and similar(sets[i], sets[j], percent):
+                        found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                        comp[comp == comp[j]] = comp[i]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -174,33 +192,33 @@ def components(links: DataFrame) -> DataFrame:
 def near_components(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Signatures of all rows, representatives (d1, d2, n, rep), and rep, component where a representative is linked."""
     signed = materialise(_signatures(docs, width))
-    reps = signed.filter((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("id"), F.first("regs").alias("regs"))
-    reps = materialise(reps)
-    banded = reps.select("id", "n", F.posexplode("regs").alias("band", "key"))
-    sizes = banded.groupBy("band", "key").agg(F.count("*").alias("members"), F.sum("n").alias("total")).filter("members > 1")
-    shared = materialise(banded.join(sizes, ["band", "key"]).select("band", "key", "id", "members", "total"))
+    alike = ["d1", "d2", "n"]
+    reps = materialise(signed.filter((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy(*alike).agg(F.min("doc_id").alias("rep")))
+    # One row for each representative, with its registers.
+    one = signed.withColumnRenamed("doc_id", "rep").join(reps, [*alike, "rep"]).select(F.col("rep").alias("id"), "n", "regs")
+    banded = one.select("id", "n", F.posexplode("regs").alias("band", "key")).select(F.xxhash64("band", "key").alias("key"), "id", "n", "band")
+    counts = banded.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+    shared = materialise(banded.join(counts, "key"))
     popular = shared.groupBy("id").agg(F.sum("members").alias("popular"))
-    hubs = shared.join(popular, "id").groupBy("band", "key").agg(F.max_by(F.col("id"), F.struct("popular", -F.col("id"))).alias("hub"))
-    edges = shared.join(hubs, ["band", "key"]).filter("id <> hub").select("id", "hub").distinct()
-    # Full sets only of what shares a bucket, once for both kinds of comparison.
-    ids = popular.select("id").join(reps.select("id", "d1"), "id")
-    sets = materialise(_full_sets(docs, ids, width).join(reps.select("id", "regs"), "id"))
-    hub_sets = sets.select(F.col("id").alias("hub"), F.col("set").alias("hub_set"), F.col("regs").alias("hub_regs"))
-    pairs = edges.join(sets, "id").join(hub_sets, "hub").select("id", "hub", "regs", "set", "hub_regs", "hub_set")
-    links = materialise(pairs.mapInArrow(_confirm(percent), "a long, b long"))
+    hubs = shared.select("key", "id").join(popular, "id").groupBy("key").agg(F.max_by(F.col("id"), F.struct("popular", -F.col("id"))).alias("hub"))
+    edges = materialise(shared.select("key", "id").join(hubs, "key").filter("id <> hub").select("id", "hub").distinct())
+    hub_texts = _texts(docs, edges.select(F.col("hub").alias("id"))).select(F.col("id").alias("hub"), F.col("text").alias("hub_text"))
+    compared = edges.join(_texts(docs, edges), "id").join(hub_texts, "hub").select("id", "hub", "text", "hub_text")
+    links = materialise(compared.mapInArrow(_confirm(width, percent), "a long, b long"))
     comps = components(links)
     placed = materialise(shared.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
-    mixed = placed.groupBy("band", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("band", "key")
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum("n").alias("total")).filter("low < high").select("key", "total")
     blocks = F.ceil(F.col("total") * 8 / BLOCK_BYTES).cast("int")
-    left = placed.join(mixed, ["band", "key"], "left_semi").withColumn("part", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    left = placed.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    left = left.withColumns({"left": F.least("part", "other"), "right": F.greatest("part", "other")}).join(sets, "id")
-    group = ["band", "key", "left", "right"]
-    dealt = left.select(*group, "id", "comp", "part", "regs", "set").repartition(*group).sortWithinPartitions(*group, "id")
-    more = materialise(dealt.mapInArrow(_across(percent), "a long, b long"))
+    left = left.withColumns({"left": F.least("part", "other"), "right": F.greatest("part", "other")}).select(*GROUP, "id", "comp", "part", "n")
+    met = left.join(one.select("id", "regs"), "id").repartition(*GROUP).sortWithinPartitions(*GROUP, "id")
+    needed = materialise(met.mapInArrow(_sift(percent), "band int, key long, left int, right int, id long, comp long, part int"))
+    dealt = needed.join(_texts(docs, needed), "id").repartition(*GROUP).sortWithinPartitions(*GROUP, "id")
+    more = materialise(dealt.mapInArrow(_across(width, percent), "a long, b long"))
     if not more.isEmpty():
         comps = components(links.union(more))
-    return signed, reps.select("d1", "d2", "n", F.col("id").alias("rep")), comps.select(F.col("id").alias("rep"), "comp")
+    return signed, reps, comps.select(F.col("id").alias("rep"), "comp")
 
 
 def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
