@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from knownwhen.llm import hyperminhash as H
 from knownwhen.llm import words
-from knownwhen.llm.tables import doc_texts, materialise, prepare
+from knownwhen.llm.tables import doc_texts, materialise, prepare, written
 
 #: An estimate this far below the threshold rules a pair out: five standard deviations of 128 registers.
 MARGIN = 0.18
@@ -178,12 +178,12 @@ def components(links: DataFrame) -> DataFrame:
     end when no label falls any more.
     """
     both = materialise(links.union(links.select("b", "a")).toDF("id", "other").distinct())
-    labels = materialise(both.groupBy("id").agg(F.least(F.min("other"), F.col("id")).alias("comp")))
+    labels = written(both.groupBy("id").agg(F.least(F.min("other"), F.col("id")).alias("comp")))
     while True:
         near = both.join(labels.select(F.col("id").alias("other"), F.col("comp").alias("theirs")), "other").groupBy("id").agg(F.min("theirs").alias("theirs"))
         hooked = labels.join(near, "id").select("id", F.col("comp").alias("was"), F.least("comp", "theirs").alias("step"))
         jumped = hooked.join(labels.select(F.col("id").alias("step"), F.col("comp").alias("beyond")), "step")
-        after = materialise(jumped.select("id", "was", F.least("step", "beyond").alias("comp")))
+        after = written(jumped.select("id", "was", F.least("step", "beyond").alias("comp")))
         if after.filter(F.col("comp") < F.col("was")).isEmpty():
             return after.select("id", "comp")
         labels = after.select("id", "comp")

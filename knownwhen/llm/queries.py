@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knownwhen.llm import bpe, exact_dedup, near_dedup, pii, quality, sharding, top_k, toxicity
+from knownwhen.llm import bpe, exact_dedup, licenses, mixing, near_dedup, pii, quality, sharding, top_k, toxicity
 from knownwhen.llm.tables import table
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -31,6 +35,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"), width=2, percent=80)
 
@@ -44,17 +52,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": op1_licenses,
     "op2_quality": op2_quality,
     "op3_sharding": op3_sharding,
     "op4_pii": op4_pii,
     "op5_top_k": op5_top_k,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_mixing": op7_mixing,
     "op8_near_dedup": op8_near_dedup,
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
 }
 
 ORACLE: dict[str, str] = {
+    "op1_licenses": licenses.SQL,
     "op5_top_k": top_k.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
+    "op7_mixing": mixing.SQL,
 }
