@@ -15,7 +15,7 @@ from knownwhen.llm.tables import materialise, prepare, unused, written
 
 DIMENSIONS = ("source", "lang", "topic")
 #: The target share of a value is in proportion to this power of its tokens: 1 keeps the mix, 0 levels it.
-POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
+POWERS = {"source": 0.8, "lang": 0.9, "topic": 0.95}
 ROUNDS = 10
 #: A topic is the first of these kinds that a text's content shows, else prose.
 TOPICS = (("legal", "licen"), ("contact", "@"), ("table", " | "))
