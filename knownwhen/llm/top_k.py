@@ -42,9 +42,11 @@ def _matrix(lists: list[np.ndarray], width: int) -> np.ndarray:
 
 
 def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products of rows of ``a`` with ``b``: in doubles where every partial sum fits, else in long integers."""
+    """Exact integer products of rows of ``a`` with ``b``: in doubles where every partial sum fits, else in integers."""
     most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
-    return (a.astype(np.float64) @ b.astype(np.float64)).astype(np.int64) if most < EXACT else a @ b
+    if most < EXACT:
+        return (a.astype(np.float64) @ b.astype(np.float64)).astype(np.int64)
+    return a @ b if most < 2.0**62 else (a.astype(object) @ b.astype(object)).astype(np.int64)
 
 
 def search(query_ids: np.ndarray, queries: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[list[tuple[int, int, int]], int]:
@@ -78,7 +80,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = SCAL
     Vectors that are null or hold null, NaN or infinite components, and rows without an id, take no part; a
     shorter vector counts zeros for what it lacks. Candidates of a query are all rows of another id. Of rows
     that repeat a query's id the least vector asks, once; repeated candidates each count. Components are
-    taken as 64-bit integers, as is the score. Other columns are not looked at; an empty table, or one without
+    taken as 64-bit integers, as is the score; a score beyond that is an error. Other columns are not looked at; an empty table, or one without
     queries, gives an empty result.
     """
     spark = prepare(vectors.sparkSession)
