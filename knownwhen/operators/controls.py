@@ -458,15 +458,26 @@ def assessment_checks(assessments: DataFrame, packets: DataFrame) -> DataFrame:
 
 
 def evidence_packets(facts: DataFrame, keys: Sequence[str] = ("decision_at", "entity_id")) -> DataFrame:
-    """Facts a decision saw about one candidate, ordered and hashed.
+    """Facts a decision saw about one candidate, ordered and hashed with their content.
 
-    Facts are the collapsed as-of rows, one per fact, so a packet is bounded by the kinds of
-    fact an entity has, not by its history.
+    Facts are the collapsed as-of rows, one per source and effective time; a packet's size is the
+    length of the history that ``facts`` holds, so give it the look-back a packet may have. The hash
+    covers locator, availability, the raw content's hash and the value of every fact.
     """
-    one = F.struct("source_id", F.date_format("effective_at", "yyyy-MM-dd").alias("effective"), "id")
+    available = F.date_format(F.col("available_at").cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("available")
+    one = F.struct(
+        "source_id", F.date_format("effective_at", "yyyy-MM-dd").alias("effective"), "id", "source_locator", available,
+        "raw_content_hash", F.col("value").cast("string").alias("value"),
+    )
     out = facts.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("facts"))
     text = F.array_join(
-        F.transform("facts", lambda f: F.concat_ws("|", f["source_id"], f["effective"], f["id"].cast("string"))), ";"
+        F.transform(
+            "facts",
+            lambda f: F.concat_ws(
+                "|", f["source_id"], f["effective"], f["id"].cast("string"), f["source_locator"], f["available"], f["raw_content_hash"], f["value"]
+            ),
+        ),
+        ";",
     )
     return out.withColumn("packet_hash", sha256_text(text))
 

@@ -457,7 +457,7 @@ def factor_regression(rows: DataFrame, y: str, xs: list[str], keys=("entity_id",
     return out.withColumn("t", F.zip_with("coef", "se", lambda a, b: F.when(b > 0, a / b).otherwise(0.0)))
 
 
-def factor_attribution(monthly: DataFrame, xs: list[str], *, min_months: int = 24, resamples: int = 200, keys=("entity_id",)) -> DataFrame:
+def factor_attribution(monthly: DataFrame, xs: list[str], *, min_months: int = 24, resamples: int = 2000, keys=("entity_id",)) -> DataFrame:
     """Monthly excess on factors, with an alpha interval from bootstrapped residuals.
 
     Groups with fewer months are reported as not performed.

@@ -364,10 +364,10 @@ def _(t):
 
 @query(
     "decision_gate", "trial:i decision:i increased:i uncovered:i not_admitted:i n_violations:i new_risk_allowed:b blocked_by:s",
-    """with e as (select trial, decision, entity_id, not restricted as ok from cand_rows where cents % 7 <> 0),
+    """with e as (select trial, decision, entity_id, not restricted as ok from cand_rows),
          up as (select trial, decision, count(*) as increased, count(*) filter (not exists (select 1 from e where e.trial = l.trial and e.decision = l.decision and e.entity_id = l.entity_id)) as uncovered
            from book_lines l where weight > current_weight group by 1, 2),
-         v as (select trial, decision, count(*) as n from (select trial, decision from risk_rows where code in ('CLUSTER_MEMBERS', 'SINGLE_LINE_WEIGHT') union all select trial, decision from liquidity_rows where code = 'MIN_PRICE') group by 1, 2),
+         v as (select trial, decision, count(*) as n from (select trial, decision from risk_rows union all select trial, decision from liquidity_rows) group by 1, 2),
          c as (select trial, decision, count(*) filter (not ok) as n from e group by 1, 2),
          x as (select h.*, coalesce(increased, 0) as increased, coalesce(uncovered, 0) as uncovered, coalesce(c.n, 0) as not_admitted, coalesce(v.n, 0) as n_violations
            from book_heads h left join up using (trial, decision) left join c using (trial, decision) left join v using (trial, decision))
@@ -376,25 +376,19 @@ def _(t):
 )
 def _(t):
     lines = book_lines(t)
-    p = t.part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("entity_id"))
-    cents = t.lineitem.join(p, "l_partkey").groupBy(
-        (F.col("l_suppkey") % 5).alias("trial"), (F.year("l_shipdate") * 100 + F.month("l_shipdate")).cast("bigint").alias("decision"), "entity_id"
-    ).agg(F.sum(F.round(F.col("l_discount") * 100).cast("bigint")).alias("cents"))
-    e = cand_rows(t).join(cents, ["trial", "decision", "entity_id"]).where("cents % 7 <> 0").select("trial", "decision", "entity_id", (~F.col("restricted")).alias("admitted"))
-    bad = risk_rows(t, lines).where(F.col("code").isin("CLUSTER_MEMBERS", "SINGLE_LINE_WEIGHT")).unionByName(
-        ct.liquidity_limits(lines, 300000.0, 5000.0).where("code = 'MIN_PRICE'")
-    )
+    e = cand_rows(t).select("trial", "decision", "entity_id", (~F.col("restricted")).alias("admitted"))
+    bad = risk_rows(t, lines).unionByName(ct.liquidity_limits(lines, 300000.0, 5000.0))
     return ct.decision_gate(lines, book_heads(lines), e, bad).withColumn("blocked_by", F.array_join("blocked_by", ","))
 
 
 @query(
     "stale_market", "decision_session:d faults:s",
-    """with b as (select * from bars_sparse where day(session) > 2),
+    """with b as (select * from bars_sparse),
          x as (select decision_session, (select max(session) from b where b.session <= decision_session) as a, (select max(session) from b where b.session <= decision_session and entity_id = 'Brand#1') as c from weekly)
        select * from (select decision_session, concat_ws(',', case when a is null then 'NO_MARKET_DATA' when a < decision_session then 'ALL_FEEDS_BEHIND' end, case when a is not null and coalesce(c <> a, true) then 'CASH_LEG_BEHIND' end) as faults from x) where faults <> ''""",
 )
 def _(t):
-    b = t.bars_sparse.where(F.dayofmonth("session") > 2).withColumn("next_session", F.lead("session").over(by_entity()))
+    b = t.bars_sparse.withColumn("next_session", F.lead("session").over(by_entity()))
     last = ft.last_bars(b, weekly(t))
     a = ft.anchor_sessions(last, weekly(t))
     cash = last.where(F.col("entity_id") == "Brand#1").select("decision_session", F.col("session").alias("_c"))
@@ -484,11 +478,12 @@ def _(t):
 
 @query(
     "evidence_packets", "decision_at:t entity_id:s n:i packet_hash:s",
-    """select decision_at, entity_id, count(*) as n, concat('sha256:', sha256(string_agg(concat_ws('|', source_id, strftime(effective_at, '%Y-%m-%d'), id), ';' order by source_id, effective_at, id))) as packet_hash
+    """select decision_at, entity_id, count(*) as n, concat('sha256:', sha256(string_agg(concat_ws('|', source_id, strftime(effective_at, '%Y-%m-%d'), id, source_locator, strftime(available_at, '%Y-%m-%d %H:%M:%S.%f'), sha256(cast(cast(value as decimal(18, 2)) as varchar)), cast(cast(value as decimal(18, 2)) as varchar)), ';' order by source_id, effective_at, id))) as packet_hash
        from collapsed_obs where flag <> 'ARTIFACT_MISSING' group by 1, 2""",
 )
 def _(t):
-    facts = pit.asof_latest(t.obs, t.decisions, delay())
+    text = F.col("value").cast("decimal(18,2)").cast("string")
+    facts = pit.asof_latest(t.obs, t.decisions, delay()).withColumns({"raw_content_hash": F.sha2(text, 256), "value": text})
     return ct.evidence_packets(facts).withColumn("n", F.size("facts"))
 
 

@@ -273,7 +273,7 @@ _SH = "case when stddev_samp({x}) > 0 then avg({x}) / stddev_samp({x}) * sqrt(25
 )
 def _(t):
     pairs = pool_rows(t).where("kind = 'WALK_FORWARD'").select("entity_id", "session", "strategy", "benchmark")
-    out = ev.pooled_primary(pairs, pool_gaps(t), threshold=0.3, resamples=100)
+    out = ev.pooled_primary(pairs, pool_gaps(t), threshold=0.3, resamples=2000)
     return out.withColumn("withheld", F.array_join("withheld", ","))
 
 

@@ -85,10 +85,10 @@ def aligned(t):
     "anchor_session",
     "decision_session:d anchor_session:d anchor_from_data:b",
     """select decision_session, coalesce(a, decision_session) as anchor_session, a is not null as anchor_from_data from (
-         select decision_session, (select max(session) from bars_sparse b where b.session <= decision_session and day(session) > 2) as a from weekly)""",
+         select decision_session, (select max(session) from bars_sparse b where b.session <= decision_session) as a from weekly)""",
 )
 def _(t):
-    b = t.bars_sparse.where(F.dayofmonth("session") > 2).withColumn("next_session", F.lead("session").over(ft.by_entity()))
+    b = t.bars_sparse.withColumn("next_session", F.lead("session").over(ft.by_entity()))
     last = ft.last_bars(b, weekly(t))
     return ft.anchor_sessions(last, weekly(t))
 

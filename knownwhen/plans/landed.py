@@ -423,13 +423,13 @@ def _(t):
 
 
 @query(
-    "ingest_form4_xml", "source_locator:s entity_id:s observed_at:d available_at:t flags:s shares:f2 is10b51:s",
+    "ingest_form4_xml", "source_locator:s entity_id:s observed_at:d available_at:t flags:s shares:f2 is10b51:s owner:s",
     f"""with o as (select f.*, same, nxt from filing_times f where form in ('4', '4/A')),
          l as (select l_orderkey as k, l_quantity as q, l_linenumber as ln, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) as pos from lineitem),
          x as (select o.*, pos, q, filed - cast(ln % 5 as int) as traded, case when ln % 3 = 0 then 'true' when k % 2 = 0 then 'false' end as plan, accepted > {NY_AT.format("(select session from xnys z where z.idx = (select max(idx) from xnys y where y.session <= filed - cast(ln % 5 as int)) + 2)", 1320)} as late
            from o join l using (k))
        select concat('A', k, '/nonDerivativeTransaction/', pos) as source_locator, concat('CIK', lpad(cast(c as varchar), 10, '0')) as entity_id, traded as observed_at, case when same then accepted else {NY_AT.format('nxt', 360)} end as available_at,
-         concat_ws(',', case when not same then 'AFTER_HOURS_ACCEPTANCE' end, case when form like '%/A' then 'AMENDED' end, case when late then 'LATE_FILING' end) as flags, q as shares, plan as is10b51 from x""",
+         concat_ws(',', case when not same then 'AFTER_HOURS_ACCEPTANCE' end, case when form like '%/A' then 'AMENDED' end, case when late then 'LATE_FILING' end) as flags, q as shares, plan as is10b51, lpad(cast(70 + k % 9 as varchar), 10, '0') as owner from x""",
 )
 def _(t):
     k, d = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
@@ -456,15 +456,16 @@ def _(t):
 
     body = F.array_join(F.transform("rows", tx), "")
     doc_plan = F.when(F.col("k") % 2 == 0, "<aff10b5One>0</aff10b5One>").otherwise("")
+    joint = F.when(F.col("k") % 3 == 0, "<reportingOwner><reportingOwnerId><rptOwnerCik>88</rptOwnerCik></reportingOwnerId></reportingOwner>").otherwise("")
     xml = F.concat(
         F.lit("<?xml version=\"1.0\"?><ownershipDocument>"), doc_plan, F.lit("<issuer><issuerCik>"), F.col("c"), F.lit("</issuerCik><issuerTradingSymbol>W</issuerTradingSymbol></issuer>"),
-        F.lit("<reportingOwner><reportingOwnerId><rptOwnerCik>77</rptOwnerCik></reportingOwnerId></reportingOwner><nonDerivativeTable>"), body, F.lit("</nonDerivativeTable></ownershipDocument>"),
+        F.lit("<reportingOwner><reportingOwnerId><rptOwnerCik>"), (70 + F.col("k") % 9).cast("string"), F.lit("</rptOwnerCik></reportingOwnerId></reportingOwner>"), joint, F.lit("<nonDerivativeTable>"), body, F.lit("</nonDerivativeTable></ownershipDocument>"),
     )
     docs = with_hash(g.select(F.concat(F.lit("f4-"), "k").alias("path"), F.concat(F.lit("A"), "k").alias("accession"), "accepted", "form", xml.alias("content")))
     good, _bad = feeds.form4_xml(docs, day_rows(t, "o_orderdate", "orders"))
     return good.select(
         "source_locator", "entity_id", "observed_at", "available_at", F.array_join("quality_flags", ",").alias("flags"), F.get_json_object("value", "$.shares").cast("double").alias("shares"),
-        F.get_json_object("value", "$.is10b51").alias("is10b51"),
+        F.get_json_object("value", "$.is10b51").alias("is10b51"), F.get_json_object("value", "$.owner").alias("owner"),
     )
 
 

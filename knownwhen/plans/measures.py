@@ -16,7 +16,7 @@ from knownwhen.plans.views import SQL_VIEWS
 from knownwhen.session import materialise
 
 PRIMARY, CASH = "LARGE", "STANDARD"
-RESAMPLES = 200
+RESAMPLES = 2000
 
 SQL_VIEWS["shared_levels"] = f"""
 select t.entity_id, t.session, t.tr_index, p.tr_index as primary_level, c.tr_index as cash_level from tr_points t

@@ -270,10 +270,11 @@ def _(t):
 @query(
     "factor_tags", "entity_id:s factors:s classified:b",
     """select m.entity_id, coalesce(string_agg(distinct p_type, ',' order by p_type), '') as factors, count(p_type) > 0 as classified
-       from (select distinct p_brand as entity_id from part) m left join part p on p.p_brand = m.entity_id and p_retailprice > 1080 and p_size > 35
+       from (select distinct p_brand as entity_id from part union select distinct p_type from part) m left join part p on p.p_brand = m.entity_id
        group by 1""",
 )
 def _(t):
-    members = t.part.select(F.col("p_brand").alias("entity_id")).distinct()
-    tags = t.part.where("p_retailprice > 1080 and p_size > 35").select(F.col("p_brand").alias("entity_id"), F.col("p_type").alias("factor"))
+    # Types carry no tags themselves: they are the members without a class.
+    members = t.part.select(F.explode(F.array("p_brand", "p_type")).alias("entity_id")).distinct()
+    tags = t.part.select(F.col("p_brand").alias("entity_id"), F.col("p_type").alias("factor"))
     return sel.factor_tags(members, tags).withColumn("factors", F.array_join("factors", ","))

@@ -219,12 +219,12 @@ def _(t):
     "distorting_sessions",
     "entity_id:s session:d",
     """with held as (select p_brand as entity_id, year(l_shipdate) as y, cast(min(l_shipdate) as date) as a, cast(max(l_shipdate) as date) as z
-         from lineitem join part on p_partkey = l_partkey where l_returnflag = 'R' group by 1, 2)
+         from lineitem join part on p_partkey = l_partkey group by 1, 2)
        select distinct h.entity_id, s.session from held h join sessions s on s.session between a and z
        where not exists (select 1 from bars_sparse b where b.entity_id = h.entity_id and b.session = s.session and volume >= 20)""",
 )
 def _(t):
-    li = t.lineitem.where(F.col("l_returnflag") == "R").join(
+    li = t.lineitem.join(
         t.part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("entity_id")), "l_partkey"
     )
     held = li.groupBy("entity_id", F.year("l_shipdate").alias("y")).agg(

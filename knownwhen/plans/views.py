@@ -67,9 +67,10 @@ SQL_VIEWS["fills"] = """
 select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(l_extendedprice * 100 as bigint),
     cast(l_quantity as bigint)) as fill_id,
   l_suppkey % 20 as account, p_type as entity_id, case when l_returnflag = 'R' then 'SELL' else 'BUY' end as side,
-  cast(l_quantity as bigint) as qty, l_extendedprice as price, cast(l_shipdate as date) as session,
+  cast(l_quantity as bigint) as qty, l_extendedprice as price,
+  cast(l_shipdate as date) + case isodow(l_shipdate) when 6 then 2 when 7 then 1 else 0 end as session,
   l_extendedprice * l_quantity * 0.0001 as fee
-from lineitem join part on p_partkey = l_partkey where isodow(l_shipdate) <= 5"""
+from lineitem join part on p_partkey = l_partkey"""
 
 
 def _bars(t: Tables, entity: str) -> DataFrame:
@@ -169,7 +170,10 @@ class Tables:
     @cached_property
     def fills(self) -> DataFrame:
         ent = self.part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("entity_id"))
-        li = self.lineitem.where(F.weekday("l_shipdate") < 5).join(ent, "l_partkey")
+        li = self.lineitem.join(ent, "l_partkey")
+        day, weekday = F.col("l_shipdate").cast("date"), F.weekday("l_shipdate")
+        # A fill on a weekend belongs to the next session.
+        session = F.date_add(day, F.when(weekday == 5, 2).when(weekday == 6, 1).otherwise(0))
         cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
         return li.select(
             F.concat_ws(
@@ -183,7 +187,7 @@ class Tables:
             F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("side"),
             F.col("l_quantity").cast("bigint").alias("qty"),
             F.col("l_extendedprice").alias("price"),
-            F.col("l_shipdate").cast("date").alias("session"),
+            session.alias("session"),
             (F.col("l_extendedprice") * F.col("l_quantity") * 0.0001).alias("fee"),
         )
 

@@ -260,7 +260,7 @@ def filing_index(payloads: DataFrame, days: DataFrame) -> tuple[DataFrame, DataF
 
 _V = "struct<value:string>"
 FORM4 = (
-    "aff10b5One string, issuer struct<issuerCik:string,issuerTradingSymbol:string>, reportingOwner struct<reportingOwnerId:struct<rptOwnerCik:string>>, "
+    "aff10b5One string, issuer struct<issuerCik:string,issuerTradingSymbol:string>, reportingOwner array<struct<reportingOwnerId:struct<rptOwnerCik:string>>>, "
     f"nonDerivativeTable struct<nonDerivativeTransaction:array<struct<securityTitle:{_V},transactionDate:{_V},aff10b5One:string,"
     f"transactionCoding:struct<transactionCode:string>,transactionAmounts:struct<transactionShares:{_V},transactionPricePerShare:{_V},"
     f"transactionAcquiredDisposedCode:{_V}>,postTransactionAmounts:struct<sharesOwnedFollowingTransaction:{_V}>>>>"
@@ -273,7 +273,7 @@ def _flag(x: Column) -> Column:
 
 
 def form4_xml(payloads: DataFrame, days: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One row per non-derivative transaction of an ownership document.
+    """One row per non-derivative transaction of an ownership document; of joint owners the first counts.
 
     ``payloads`` also carries accession, accepted and form. The plan flag of a row wins over
     the document's.
@@ -281,7 +281,7 @@ def form4_xml(payloads: DataFrame, days: DataFrame) -> tuple[DataFrame, DataFram
     doc = payloads.withColumn("d", F.from_xml("content", FORM4, {"ignoreSurroundingSpaces": "true"}))
     rows = doc.select(
         "path", "raw_content_hash", "accession", "accepted", "form", F.col("d.issuer.issuerCik").alias("cik"),
-        F.col("d.reportingOwner.reportingOwnerId.rptOwnerCik").alias("owner"), _flag(F.col("d.aff10b5One")).alias("_doc_plan"),
+        F.lpad(F.get("d.reportingOwner", F.lit(0))["reportingOwnerId"]["rptOwnerCik"], 10, "0").alias("owner"), _flag(F.col("d.aff10b5One")).alias("_doc_plan"),
         F.posexplode_outer("d.nonDerivativeTable.nonDerivativeTransaction").alias("pos", "x"),
     )
     rows = rows.withColumn("traded", F.try_to_date("x.transactionDate.value"))
