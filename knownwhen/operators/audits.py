@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knownwhen.functions.columns import first_true, minutes_after, reasons
+from knownwhen.operators.pit import PROMOTION_BARRED
 from knownwhen.operators.scan import running
 
 
@@ -43,11 +46,14 @@ def leakage_report(audited: DataFrame) -> DataFrame:
     )
 
 
-def coverage_report(bars: DataFrame, actions: DataFrame, sessions: DataFrame, minimum: float = 0.98) -> DataFrame:
-    """Expected and covered sessions, gaps, stale bars, codes and actions per entity.
+def coverage_report(entities: DataFrame, bars: DataFrame, actions: DataFrame, sessions: DataFrame, minimum: float = 0.98, blocking: Sequence[str] = PROMOTION_BARRED) -> DataFrame:
+    """Expected and covered sessions, gaps, stale bars, codes and actions of every requested entity.
 
-    Two partial aggregations; gaps follow from counts and the session index, without a
-    calendar x entity grid.
+    ``actions`` carries entity_id, kind and quality_flags. An entity without a bar is listed as
+    UNCOVERED. Codes are counted over bars, kinds over actions, as name:count in name order;
+    codes that bar promotion are listed whether a bar or an action carries them. Partial
+    aggregations only; gaps follow from counts and the session index, without a calendar x
+    entity grid.
     """
     n = sessions.agg(F.count(F.lit(1))).scalar()
     b = bars.join(F.broadcast(sessions.select("session", "idx")), "session")
@@ -60,10 +66,25 @@ def coverage_report(bars: DataFrame, actions: DataFrame, sessions: DataFrame, mi
         (lo - 1).alias("leading_absent"),
         hi.alias("_hi"),
         F.count_if(~F.col("tradable")).alias("stale_bars"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("quality_flags")))).alias("codes"),
     )
+
+    def counted(df: DataFrame, name: str, out: str) -> DataFrame:
+        """name:count of each entity; the names are a fixed vocabulary, so the list is short."""
+        n = df.groupBy("entity_id", name).agg(F.count(F.lit(1)).alias("_n"))
+        return n.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.concat_ws(":", name, F.col("_n").cast("string")))).alias(out))
+
+    of_bars = b.select("entity_id", F.explode("quality_flags").alias("code"))
+    of_actions = actions.select("entity_id", F.explode("quality_flags").alias("code"))
+    bars_out = of_bars.unionByName(of_actions).where(F.col("code").isin(*blocking)).groupBy("entity_id").agg(F.array_sort(F.collect_set("code")).alias("blocking"))
     act = actions.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n_actions"))
-    out = cov.join(act, "entity_id", "left").withColumn("expected", n)
+    out = entities.select("entity_id").distinct().join(cov, "entity_id", "left")
+    for side in (counted(of_bars, "code", "codes"), counted(actions, "kind", "kinds"), bars_out, act):
+        out = out.join(side, "entity_id", "left")
+    none = F.array().cast("array<string>")
+    out = out.withColumns({c: F.coalesce(c, none) for c in ("codes", "kinds", "blocking")})
+    zero = ("covered", "interior_gaps", "stale_bars")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in zero}).withColumn("expected", n)
+    out = out.withColumns({"leading_absent": F.coalesce("leading_absent", "expected"), "_hi": F.coalesce("_hi", "expected")})
     out = out.withColumn("coverage", F.col("covered") / F.col("expected"))
     status = first_true((F.col("covered") == 0, "UNCOVERED"), (F.col("coverage") < minimum, "BELOW_MINIMUM"), default=F.lit("OK"))
     return (

@@ -288,18 +288,50 @@ def trial_chain_count(experiments: DataFrame, trials: DataFrame) -> DataFrame:
 
     Every round doubles the distance covered, so a chain of depth d needs log2(d) joins; each
     round is cut through the shared checkpoint folder. A parent that is not registered ends
-    its chain.
+    its chain. A chain that is still open when the distance exceeds the number of experiments
+    runs into a cycle: ``state`` says CYCLE, and each of its experiments counts once. The members
+    of a cycle are told by following it from one of them; what leads into it adds its own path.
     """
     n = trials.groupBy("experiment").agg(F.count(F.lit(1)).alias("n"))
-    x = experiments.select("experiment", "parent").join(n, "experiment", "left")
-    x = materialise(x.select("experiment", "parent", F.coalesce("n", F.lit(0)).cast("bigint").alias("total")))
-    while not x.where(F.col("parent").isNotNull()).isEmpty():
+    base = experiments.select("experiment", "parent").join(n, "experiment", "left")
+    base = materialise(base.select("experiment", "parent", F.coalesce("n", F.lit(0)).cast("bigint").alias("total")))
+    rounds = max(1, base.count()).bit_length()
+    x = base
+    for _ in range(rounds):
+        if x.where(F.col("parent").isNotNull()).isEmpty():
+            break
         up = x.select(F.col("experiment").alias("parent"), F.col("parent").alias("_next"), F.col("total").alias("_more"))
         x = x.join(up, "parent", "left").select(
             "experiment", F.col("_next").alias("parent"), (F.col("total") + F.coalesce("_more", F.lit(0))).alias("total")
         )
         x = materialise(x)
-    return x.select("experiment", F.col("total").alias("chain_trials"))
+    done = x.where(F.col("parent").isNull()).select("experiment", F.col("total").alias("chain_trials"), F.lit("ROOTED").alias("state"))
+    looped = materialise(x.where(F.col("parent").isNotNull()).select("experiment", F.col("parent").alias("_at")))
+    if looped.isEmpty():
+        return done
+    # After so many steps every open chain stands on its cycle; those positions are all of the cycles' members.
+    ring = looped.select(F.col("_at").alias("experiment")).distinct()
+    edges = materialise(base.join(ring, "experiment", "left_semi").select("experiment", "parent", "total"))
+    # Minimum over the 1, 2, 4 ... next members names the cycle.
+    walk = edges.select("experiment", F.col("parent").alias("_next"), F.least("experiment", "parent").alias("_name"))
+    for _ in range(rounds):
+        ahead = walk.select(F.col("experiment").alias("_next"), F.col("_next").alias("_far"), F.col("_name").alias("_theirs"))
+        walk = materialise(walk.join(ahead, "_next").select("experiment", F.col("_far").alias("_next"), F.least("_name", "_theirs").alias("_name")))
+    named = materialise(walk.select("experiment", "_name").join(edges.select("experiment", "total"), "experiment"))
+    sums = named.groupBy("_name").agg(F.sum("total").alias("_ring"))
+    rings = named.join(sums, "_name").select("experiment", F.col("_ring").alias("chain_trials"))
+    # Tails: the same doubling, where a cycle's member is a root that stands for its whole cycle.
+    tail = base.join(looped.select("experiment"), "experiment", "left_semi").join(rings, "experiment", "left")
+    tail = materialise(tail.select("experiment", F.when(F.col("chain_trials").isNull(), F.col("parent")).alias("parent"), F.coalesce("chain_trials", "total").alias("total")))
+    for _ in range(rounds):
+        if tail.where(F.col("parent").isNotNull()).isEmpty():
+            break
+        up = tail.select(F.col("experiment").alias("parent"), F.col("parent").alias("_next"), F.col("total").alias("_more"))
+        tail = tail.join(up, "parent", "left").select(
+            "experiment", F.col("_next").alias("parent"), (F.col("total") + F.coalesce("_more", F.lit(0))).alias("total")
+        )
+        tail = materialise(tail)
+    return done.unionByName(tail.select("experiment", F.col("total").alias("chain_trials"), F.lit("CYCLE").alias("state")))
 
 
 def promotion_eligibility(experiments: DataFrame, trials: DataFrame) -> DataFrame:

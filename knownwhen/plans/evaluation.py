@@ -387,13 +387,17 @@ def exp_trials(t):
 
 
 @query(
-    "trial_chain_count", "experiment:i chain_trials:i",
-    """with recursive up as (select e.experiment, e.experiment as node, e.parent, 0 as d from exps e),
-       chain as (select * from up union all select c.experiment, e.experiment, e.parent, d + 1 from chain c join exps e on e.experiment = c.parent where d < 60)
-       select experiment, sum(coalesce(n, 0)) as chain_trials from chain left join (select o_custkey as node, count(*) as n from orders group by 1) using (node) group by 1""",
+    "trial_chain_count", "experiment:i chain_trials:i state:s",
+    """with recursive x as (select experiment, case when experiment = 5 then 23 when experiment = 7 then 7 else parent end as parent from exps),
+       chain as (select experiment, experiment as node, parent from x union select c.experiment, x.experiment, x.parent from chain c join x on x.experiment = c.parent)
+       select experiment, cast(sum(coalesce(n, 0)) as bigint) as chain_trials, case when count(*) filter (parent is null or parent not in (select experiment from x)) = 0 then 'CYCLE' else 'ROOTED' end as state
+       from chain left join (select o_custkey as node, count(*) as n from orders group by 1) using (node) group by 1""",
 )
 def _(t):
-    return ev.trial_chain_count(exps(t), exp_trials(t))
+    # Two planted cycles: 5 -> 23 -> 11 -> 5, and 7 is its own parent.
+    k = F.col("experiment")
+    e = exps(t).withColumn("parent", F.when(k == 5, F.lit(23)).when(k == 7, F.lit(7)).otherwise(F.col("parent")))
+    return ev.trial_chain_count(e, exp_trials(t))
 
 
 @query(

@@ -514,20 +514,33 @@ def _(t):
 
 @query(
     "coverage_report",
-    "entity_id:s first_session:d last_session:d expected:i covered:i interior_gaps:i leading_absent:i trailing_absent:i stale_bars:i codes:s n_actions:i coverage:f6 status:s",
+    "entity_id:s first_session:d last_session:d expected:i covered:i interior_gaps:i leading_absent:i trailing_absent:i stale_bars:i codes:s kinds:s blocking:s n_actions:i coverage:f6 status:s",
     """with n as (select count(*) as n from sessions), b as (select b.*, idx, volume % 9 <> 0 as tradable, case when volume % 9 = 0 then 'STALE_BAR' when volume % 50 = 1 then 'GAP' end as flag
          from bars_sparse b join sessions using (session)),
-       a as (select p_brand as entity_id, count(distinct date_trunc('quarter', l_shipdate)) as k from lineitem join part on p_partkey = l_partkey group by 1)
-       select b.entity_id, min(session) as first_session, max(session) as last_session, max(n) as expected, count(*) as covered, max(idx) - min(idx) + 1 - count(*) as interior_gaps,
-         min(idx) - 1 as leading_absent, max(n) - max(idx) as trailing_absent, count(*) filter (not tradable) as stale_bars,
-         coalesce(string_agg(distinct flag, ',' order by flag), '') as codes, max(k) as n_actions, count(*) / cast(max(n) as double) as coverage,
-         case when count(*) / cast(max(n) as double) < 0.98 then 'BELOW_MINIMUM' else 'OK' end as status
-       from b, n, a where a.entity_id = b.entity_id group by 1""",
+       q as (select distinct p_brand as entity_id, cast(date_trunc('quarter', l_shipdate) as date) as d from lineitem join part on p_partkey = l_partkey),
+       a as (select entity_id, case when month(d) = 1 then 'SPLIT' else 'CASH_DIVIDEND' end as kind, case when d = date '1997-04-01' then 'SURVIVORSHIP_BIASED' end as flag from q),
+       e as (select distinct p_brand as entity_id from part union select n_name from nation),
+       cov as (select entity_id, min(session) as first_session, max(session) as last_session, count(*) as covered, max(idx) - min(idx) + 1 - count(*) as interior_gaps, min(idx) - 1 as lead, max(idx) as hi,
+         count(*) filter (not tradable) as stale_bars from b group by 1),
+       codes as (select entity_id, string_agg(concat(flag, ':', k), ',' order by concat(flag, ':', k)) as codes from (select entity_id, flag, count(*) as k from b where flag is not null group by 1, 2) group by 1),
+       kinds as (select entity_id, string_agg(concat(kind, ':', k), ',' order by concat(kind, ':', k)) as kinds, sum(k) as n_actions from (select entity_id, kind, count(*) as k from a group by 1, 2) group by 1),
+       bar as (select entity_id, string_agg(distinct flag, ',' order by flag) as blocking from (select entity_id, flag from a union all select entity_id, flag from b) where flag = 'SURVIVORSHIP_BIASED' group by 1)
+       select e.entity_id, first_session, last_session, n as expected, coalesce(covered, 0) as covered, coalesce(interior_gaps, 0) as interior_gaps, coalesce(lead, n) as leading_absent,
+         n - coalesce(hi, n) as trailing_absent, coalesce(stale_bars, 0) as stale_bars, coalesce(codes, '') as codes, coalesce(kinds, '') as kinds, coalesce(blocking, '') as blocking,
+         coalesce(n_actions, 0) as n_actions, coalesce(covered, 0) / cast(n as double) as coverage,
+         case when covered is null then 'UNCOVERED' when covered / cast(n as double) < 0.98 then 'BELOW_MINIMUM' else 'OK' end as status
+       from e cross join n left join cov using (entity_id) left join codes using (entity_id) left join kinds using (entity_id) left join bar using (entity_id)""",
 )
 def _(t):
     v = F.col("volume")
     flag = F.when(v % 9 == 0, "STALE_BAR").when(v % 50 == 1, "GAP")
     b = t.bars_sparse.withColumn("tradable", v % 9 != 0).withColumn("quality_flags", F.array_compact(F.array(flag)))
     p = t.part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("entity_id"))
-    acts = t.lineitem.join(p, "l_partkey").select("entity_id", F.trunc(F.col("l_shipdate").cast("date"), "quarter").alias("q")).distinct()
-    return audits.coverage_report(b, acts, t.sessions).withColumn("codes", F.array_join("codes", ","))
+    quarter = F.trunc(F.col("l_shipdate").cast("date"), "quarter")
+    acts = t.lineitem.join(p, "l_partkey").select("entity_id", quarter.alias("q")).distinct()
+    barred = F.when(F.col("q") == "1997-04-01", F.lit("SURVIVORSHIP_BIASED"))
+    acts = acts.select("entity_id", F.when(F.month("q") == 1, "SPLIT").otherwise("CASH_DIVIDEND").alias("kind"), F.array_compact(F.array(barred)).alias("quality_flags"))
+    # Nations have no bars: requested entities that nothing covers.
+    asked = t.part.select(F.col("p_brand").alias("entity_id")).unionByName(t.nation.select(F.col("n_name").alias("entity_id")))
+    out = audits.coverage_report(asked, b, acts, t.sessions)
+    return out.withColumns({c: F.array_join(c, ",") for c in ("codes", "kinds", "blocking")})
