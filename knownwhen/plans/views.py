@@ -63,14 +63,17 @@ where entity_id in ('LARGE', 'PROMO') and session >= date '1998-01-01' group by
 union all select entity_id, 'DELISTING', date '2001-06-29', 500.0, null from bars
 where entity_id = 'SMALL' group by entity_id"""
 
+SQL_VIEWS["fill_days"] = """
+select day, coalesce((select min(session) from sessions s where s.session >= day), (select max(session) from sessions)) as session
+from (select distinct cast(l_shipdate as date) as day from lineitem)"""
+
 SQL_VIEWS["fills"] = """
 select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(l_extendedprice * 100 as bigint),
     cast(l_quantity as bigint)) as fill_id,
   l_suppkey % 20 as account, p_type as entity_id, case when l_returnflag = 'R' then 'SELL' else 'BUY' end as side,
-  cast(l_quantity as bigint) as qty, l_extendedprice as price,
-  cast(l_shipdate as date) + case isodow(l_shipdate) when 6 then 2 when 7 then 1 else 0 end as session,
+  cast(l_quantity as bigint) as qty, l_extendedprice as price, session,
   l_extendedprice * l_quantity * 0.0001 as fee
-from lineitem join part on p_partkey = l_partkey"""
+from lineitem join part on p_partkey = l_partkey join fill_days on day = cast(l_shipdate as date)"""
 
 
 def _bars(t: Tables, entity: str) -> DataFrame:
@@ -170,10 +173,12 @@ class Tables:
     @cached_property
     def fills(self) -> DataFrame:
         ent = self.part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("entity_id"))
-        li = self.lineitem.join(ent, "l_partkey")
-        day, weekday = F.col("l_shipdate").cast("date"), F.weekday("l_shipdate")
-        # A fill on a weekend belongs to the next session.
-        session = F.date_add(day, F.when(weekday == 5, 2).when(weekday == 6, 1).otherwise(0))
+        # A fill on a day without a session belongs to the next one, after the last session to that; one row per day.
+        days = self.lineitem.select(F.col("l_shipdate").cast("date").alias("day")).distinct()
+        days = days.join(F.broadcast(self.sessions.select("session")), F.col("day") == F.col("session"), "left")
+        ahead, whole = Window.orderBy("day").rowsBetween(0, Window.unboundedFollowing), Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        days = days.select("day", F.coalesce(F.first("session", ignorenulls=True).over(ahead), F.max("session").over(whole)).alias("session"))
+        li = self.lineitem.withColumn("day", F.col("l_shipdate").cast("date")).join(F.broadcast(days), "day").join(ent, "l_partkey")
         cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
         return li.select(
             F.concat_ws(
@@ -187,7 +192,7 @@ class Tables:
             F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("side"),
             F.col("l_quantity").cast("bigint").alias("qty"),
             F.col("l_extendedprice").alias("price"),
-            session.alias("session"),
+            "session",
             (F.col("l_extendedprice") * F.col("l_quantity") * 0.0001).alias("fee"),
         )
 
