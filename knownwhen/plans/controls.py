@@ -525,20 +525,33 @@ def ledger_events(t):
     return t.events.select(n.alias("seq"), F.col("ts").alias("at"), F.sha2(F.concat(F.lit("h"), n), 256).alias("hash"))
 
 
-@query(
-    "hash_chain_verify", "seq:i breaks:s",
-    """with recursive e as (select event_id as seq, concat_ws('|', event_type, user_id) as body, event_id // 200 as blk from events),
+CHAIN = """with recursive e as (select event_id as seq, concat_ws('|', event_type, user_id) as body, event_id // 200 as blk from events),
          c as (select seq, body, blk, cast(null as varchar) as prev_hash, sha256(concat_ws('|', seq, '', body)) as h from e where seq % 200 = 0
            union all select e.seq, e.body, e.blk, c.h, sha256(concat_ws('|', e.seq, c.h, e.body)) from c join e on e.seq = c.seq + 1 and e.blk = c.blk),
          d as (select seq, body, case when seq % 991 = 5 then 'x' else prev_hash end as prev_hash, case when seq % 997 = 7 then 'y' else h end as hash from c where seq % 983 <> 11),
-         v as (select d.*, p.hash as before, p.seq is not null as has from d left join d p on p.seq = d.seq - 1)
-       select * from (select seq, concat_ws(',', case when not has and seq <> (select min(seq) from d) then 'SEQUENCE_GAP' end, case when has and prev_hash is distinct from before then 'PREV_HASH_MISMATCH' end,
-         case when hash <> sha256(concat_ws('|', seq, coalesce(prev_hash, ''), body)) then 'HASH_MISMATCH' end) as breaks from v) where breaks <> ''""",
-)
+         v as (select d.*, p.hash as before, p.seq is not null as has from d left join d p on p.seq = d.seq - 1)"""
+BREAKS = """select seq, concat_ws(',', case when not has and seq <> (select min(seq) from d) then 'SEQUENCE_GAP' end, case when has and prev_hash is distinct from before then 'PREV_HASH_MISMATCH' end,
+         case when hash <> sha256(concat_ws('|', seq, coalesce(prev_hash, ''), body)) then 'HASH_MISMATCH' end) as breaks from v"""
+
+
+@query("hash_chain_verify", "seq:i breaks:s", f"{CHAIN} select * from ({BREAKS}) where breaks <> ''")
 def _(t):
     return lg.hash_chain_verify(chained(t), F.col("body")).where(F.size("breaks") > 0).withColumn("breaks", F.array_join("breaks", ","))
 
 
+SEALED_BEFORE = "2024-01-29"
+
+
+@query(
+    "chain_report", "events:i broken:i first_break:i tail:i",
+    f"""{CHAIN} select count(*) as events, count(*) filter (breaks <> '') as broken, min(case when breaks <> '' then seq end) as first_break,
+         count(*) filter (seq > (select max(event_id) from events where ts < timestamp '{SEALED_BEFORE}')) as tail from ({BREAKS})""",
+)
+def _(t):
+    sealed = t.events.where(F.col("ts") < F.lit(SEALED_BEFORE).cast("timestamp_ntz")).agg(F.max("event_id")).scalar()
+    return lg.chain_report(lg.hash_chain_verify(chained(t), F.col("body")), sealed)
+
+
 def chained(t):
     """Events linked in blocks of 200, with a few links, hashes and rows damaged on purpose."""
     n = F.col("event_id")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from knownwhen.operators import executions as ex
 from knownwhen.plans.catalog import query
+from knownwhen.plans.selection import cand_rows, targets
 from knownwhen.plans.views import SQL_VIEWS, book_orders
 
 PART, CASH = 0.5, 1.0e9
@@ -181,6 +182,17 @@ def _(t):
     return ex.gate_suppression(o.withColumn("delta_shares", F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(-F.col("quantity"))), v)
 
 
+@query(
+    "frozen_exits", "trial:i decision:i entity_id:s",
+    """select trial, decision, entity_id from cand_rows where held and decision % 3 = 0 and (trial, decision, entity_id) not in (select (trial, decision, entity_id) from share_rows)""",
+)
+def _(t):
+    held = cand_rows(t).where("held").select("trial", "decision", "entity_id")
+    state = F.when(F.col("decision") % 3 == 0, "HOLD_ONLY").otherwise("NORMAL").alias("halt_state")
+    verdicts = held.select("decision").distinct().select("decision", state)
+    return ex.frozen_exits(held, targets(t), verdicts)
+
+
 @query(
     "fill_window_observed", "order_id:i observed:b",
     """select order_id, a.n_bars - a.i >= 5 as observed from book_orders o asof join idx_bars a on a.entity_id = o.entity_id and a.session <= o.decided""",
