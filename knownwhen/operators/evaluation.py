@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -382,8 +381,3 @@ def holdout_status(experiments: DataFrame, trials: DataFrame) -> DataFrame:
         F.count("holdout_opened_at").alias("opened"),
         F.count_if("claimed").alias("claimed"),
     )
-
-
-def sweep_points(**dims: Sequence) -> list[dict]:
-    """Parameter points of a sweep in declared order."""
-    return [dict(zip(dims, v, strict=True)) for v in product(*dims.values())]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -164,48 +163,6 @@ def frozen_exits(held: DataFrame, targets: DataFrame, verdicts: DataFrame) -> Da
     return held.join(frozen, "decision", "left_semi").join(targets.select(*keys), keys, "left_anti")
 
 
-def _apply_steps(pdf: pd.DataFrame, initial: float) -> pd.DataFrame:
-    cash, held, out = initial, {}, []
-    for r in pdf.sort_values(["session", "rank", "entity_id"]).itertuples(index=False):
-        have, q, fees, why = held.get(r.entity_id, 0), r.qty, r.fees, None
-        if r.side == "BUY":
-            unit = r.price + r.fees / r.qty
-            if q * unit > cash:
-                q, why = max(int(cash // unit), 0), "CASH"
-            fees = r.fees * q / r.qty
-            cash -= r.price * q + fees
-            held[r.entity_id] = have + q
-        else:
-            if q > have:
-                q, why = have, "HELD"
-            fees = r.fees * q / r.qty
-            cash += r.price * q - fees
-            held[r.entity_id] = have - q
-        out.append((r.account, r.session, r.entity_id, r.side, r.qty, q, fees, cash, why))
-    cols = ["account", "session", "entity_id", "side", "wanted", "applied", "fees", "cash_after", "clamped"]
-    return pd.DataFrame(out, columns=cols)
-
-
-def cash_clamped_application(fills: DataFrame, initial_cash: float) -> DataFrame:
-    """Apply sells before buys per session; buys clamp to whole shares cash covers, sells to held.
-
-    Cash after one step decides the next, so this is one ordered fold per account. Fills of
-    a session are first summed per entity and side: a fold sees at most sessions x entities
-    x 2 rows, whatever the number of fills.
-    """
-    step = fills.groupBy("account", "session", "entity_id", "side").agg(
-        F.sum("qty").alias("qty"),
-        (F.sum(F.col("price") * F.col("qty")) / F.sum("qty")).alias("price"),
-        F.sum("fee").alias("fees"),
-        F.max(F.when(F.col("side") == "SELL", 1).otherwise(2)).alias("rank"),
-    )
-    schema = (
-        "account bigint, session date, entity_id string, side string, wanted bigint, applied bigint, "
-        "fees double, cash_after double, clamped string"
-    )
-    return step.groupBy("account").applyInPandas(lambda pdf: _apply_steps(pdf, initial_cash), schema)
-
-
 PAIR = ["account", "entity_id"]
 
 

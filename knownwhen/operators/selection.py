@@ -1,15 +1,13 @@
 """Eligibility, ranking, book filling, sizing and orders for many trials and decisions.
 
 Rows are (trial, decision, entity); a (trial, decision) group is one universe, so the
-windows here are bounded by its size. Only the chain from one book to the next
-(``hysteresis_scan``) is a fold, and it runs per trial.
+windows here are bounded by its size.
 """
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -169,98 +167,6 @@ def exits(held: DataFrame, log: DataFrame) -> DataFrame:
     return held.join(kept, [*GROUP, "entity_id"], "left_anti")
 
 
-def _fold_books(p: dict, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Chain of books of one trial: each decision starts from the book before it."""
-    held: set = set()
-    out = []
-    for decision, rows in pdf.sort_values(["decision", "rank"]).groupby("decision", sort=True):
-        used: dict = {}
-        rows = rows.sort_values("rank", na_position="last")
-        ranked = rows[rows["rank"].notna()]
-        cleared, skipped, waiting = [], False, []
-        for r in ranked.itertuples(index=False):
-            if r.rank > (p["hold_rank"] if r.entity_id in held else p["entry_rank"]):
-                if r.entity_id not in held:
-                    waiting.append(r)
-                continue
-            if r.cluster_id is not None and used.get(r.cluster_id, 0) >= r.max_members:
-                skipped = True
-                continue
-            if r.cluster_id is not None:
-                used[r.cluster_id] = used.get(r.cluster_id, 0) + 1
-            cleared.append(r)
-        book = [r.entity_id for r in cleared if r.entity_id in held][: p["max_positions"]]
-        new = 0
-        later = waiting if skipped else []
-        for r in [r for r in cleared if r.entity_id not in held] + later:
-            backfill = r.rank > p["entry_rank"]
-            if len(book) >= p["max_positions"] or (backfill and r.rank > p["hold_rank"]):
-                continue
-            if backfill and r.cluster_id is not None and used.get(r.cluster_id, 0) >= r.max_members:
-                continue
-            if new >= p["max_new"]:
-                continue
-            if backfill and r.cluster_id is not None:
-                used[r.cluster_id] = used.get(r.cluster_id, 0) + 1
-            book.append(r.entity_id)
-            new += 1
-        now = set(book)
-        for e in sorted(now | held):
-            action = "HOLD" if e in now and e in held else "ENTER" if e in now else "EXIT"
-            out.append((pdf["trial"].iloc[0], decision, e, action))
-        held = now
-    return pd.DataFrame(out, columns=["trial", "decision", "entity_id", "action"])
-
-
-def trial_sweep(ranked: DataFrame, clusters: DataFrame, points: list[dict], forward: DataFrame, base: BookParams) -> DataFrame:
-    """Chain books for every trial and parameter point and score them.
-
-    Features and ranks are shared by all points; the point becomes part of the trial key, so
-    the folds of one trial's points run in parallel. ``forward`` is each name's next return.
-    """
-    opts = F.array(*[F.struct(F.lit(i).alias("point"), *[F.lit(v).alias(k) for k, v in p.items()]) for i, p in enumerate(points)])
-    rows = ranked.where(F.col("rank").isNotNull() | F.col("anchor")).select("trial", "decision", "entity_id", "rank")
-    rows = rows.join(clusters.select("entity_id", "cluster_id", "max_members"), "entity_id", "left")
-    rows = rows.withColumn("_o", F.explode(opts)).select("*", "_o.*").drop("_o")
-    kinds = dict(ranked.dtypes)
-    schema = f"trial {kinds['trial']}, decision {kinds['decision']}, entity_id {kinds['entity_id']}, action string"
-    params = asdict(base)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = {k: type(v)(pdf[k].iloc[0]) for k, v in points[0].items()}
-        out = _fold_books({**params, **own}, pdf)
-        out.insert(0, "point", pdf["point"].iloc[0])
-        return out
-
-    books = rows.groupBy("trial", "point").applyInPandas(fold, f"point int, {schema}")
-    held = books.where(F.col("action") != "EXIT").join(forward, ["decision", "entity_id"], "left")
-    per = held.groupBy("trial", "point", "decision").agg(F.avg("forward_return").alias("_r"))
-    score = per.groupBy("trial", "point").agg(F.avg("_r").alias("mean_return"), F.count(F.lit(1)).alias("decisions"))
-    moves = books.groupBy("trial", "point").agg(F.count_if(F.col("action") != "HOLD").alias("changes"))
-    return moves.join(score, ["trial", "point"], "left")
-
-
-def hysteresis_scan(ranked: DataFrame, clusters: DataFrame, p: BookParams) -> DataFrame:
-    """Books chained over decisions: decision t uses the book left by t-1.
-
-    True sequential state, so one ordered fold per trial. Ranks are computed in Spark first
-    and only ranked rows enter the fold: decisions x ranked names per trial.
-    """
-    cols = ["trial", "decision", "entity_id", "rank"]
-    rows = ranked.where(F.col("rank").isNotNull() | F.col("anchor")).select(*cols)
-    rows = rows.join(clusters.select("entity_id", "cluster_id", "max_members"), "entity_id", "left")
-    kinds = dict(ranked.dtypes)
-    schema = f"trial {kinds['trial']}, decision {kinds['decision']}, entity_id {kinds['entity_id']}, action string"
-    params = asdict(p)
-    return rows.groupBy("trial").applyInPandas(lambda pdf: _fold_books(params, pdf), schema)
-
-
-def with_anchor(ranked: DataFrame) -> DataFrame:
-    """Mark one row per decision so that a decision without ranked names still empties the book."""
-    w = Window.partitionBy(*GROUP).orderBy("entity_id")
-    return ranked.withColumn("anchor", F.row_number().over(w) == 1)
-
-
 def inverse_vol_weights(book: DataFrame) -> DataFrame:
     """1/vol normalised over sizable names; a missing or zero vol leaves a name unsized."""
     ok = F.coalesce(F.col("vol") > 0, F.lit(False))

@@ -3,11 +3,9 @@
 from pyspark.sql import functions as F
 
 from knownwhen.operators import evaluation as ev
-from knownwhen.operators import selection as sel
 from knownwhen.plans.catalog import query
 from knownwhen.plans.measures import _boot_view
-from knownwhen.plans.selection import P as BOOK
-from knownwhen.plans.selection import brand_days, cand_rows, clusters
+from knownwhen.plans.selection import cand_rows
 from knownwhen.plans.views import SQL_VIEWS
 
 SQL_VIEWS["ranges"] = """
@@ -177,13 +175,6 @@ def _(t):
     return ev.missing_data_injection(cand_rows(t), 0.05, ["mom", "trend", "vol"])
 
 
-@query("trial_sweep", "trial:i point:i changes:i decisions:i mean_return:f9")
-def _(t):
-    ranked = sel.with_anchor(sel.momentum_rank(sel.eligibility(cand_rows(t), BOOK)))
-    fwd = brand_days(t).groupBy("decision", "entity_id").agg(F.avg("log_return").alias("forward_return"))
-    return sel.trial_sweep(ranked, clusters(t), ev.sweep_points(entry_rank=[3, 5], hold_rank=[6, 8], max_new=[1, 2]), fwd, BOOK)
-
-
 SQL_VIEWS["pool_rows"] = """
 select entity_id, concat('Y', year(session)) as split_id, session, (volume % 41 - 20) / 1000.0 as strategy, (volume % 37 - 18) / 1000.0 as benchmark,
   case when year(session) = 1995 then 'DESIGN' else 'WALK_FORWARD' end as kind from bars_sparse"""

@@ -162,11 +162,6 @@ def _(t):
     return ex.split_unit_restatement(fills_of_orders(t), splits(t))
 
 
-@query("cash_clamped_application", "account:i session:d entity_id:s side:s wanted:i applied:i clamped:s")
-def _(t):
-    return ex.cash_clamped_application(t.fills, 5.0e7)
-
-
 @query(
     "gate_suppression", "order_id:i decision:d status:s",
     """select order_id, decided as decision, case when q then case when side = 'BUY' then 'SUPPRESSED_ENTRY' else 'SUPPRESSED_EXIT' end

@@ -215,12 +215,6 @@ def _(t):
     return sel.exits(rows.where("held").select("trial", "decision", "entity_id"), picked)
 
 
-@query("hysteresis_scan", _K + "action:s")
-def _(t):
-    ranked = sel.with_anchor(sel.momentum_rank(sel.eligibility(cand_rows(t), P)))
-    return sel.hysteresis_scan(ranked, clusters(t), P)
-
-
 @query("inverse_vol_weights", _K + "raw_weight:f8", "select trial, decision, entity_id, raw_weight from raw_weights")
 def _(t):
     return sel.inverse_vol_weights(book(t))

@@ -270,18 +270,6 @@ def test_lot_matching_against_a_loop(spark):
     assert all(r["term"] == "SHORT_TERM" for r in got)
 
 
-def test_cash_clamp(spark):
-    rows = [
-        ("a", 1, "A", "BUY", 10, 10.0, D(2024, 1, 1), 1.0), ("b", 1, "B", "BUY", 5, 10.0, D(2024, 1, 2), 0.0), ("c", 1, "A", "SELL", 20, 11.0, D(2024, 1, 2), 2.0),
-    ]
-    df = spark.createDataFrame(rows, "fill_id string, account bigint, entity_id string, side string, qty bigint, price double, session date, fee double")
-    got = {(r["entity_id"], r["side"]): r for r in executions.cash_clamped_application(df, 80.0).collect()}
-    assert got[("A", "BUY")]["applied"] == 7 and got[("A", "BUY")]["clamped"] == "CASH"
-    # The sale comes first in its session, is clamped to what is held and funds the purchase.
-    assert got[("A", "SELL")]["applied"] == 7 and got[("A", "SELL")]["clamped"] == "HELD"
-    assert got[("B", "BUY")]["applied"] == 5
-
-
 def test_untradable_bars_use_up_slots(spark):
     b = [("A", D(2024, 1, 1 + i), 10.0, 10.0, 100, i != 2) for i in range(6)]
     df = spark.createDataFrame(b, "entity_id string, session date, open double, close double, volume bigint, tradable boolean")
@@ -290,44 +278,6 @@ def test_untradable_bars_use_up_slots(spark):
     assert [(r["session"].day, r["filled"]) for r in got] == [(2, 25), (4, 25)]
 
 
-def candidates(spark, seed=2):
-    rng = random.Random(seed)
-    rows = []
-    for trial in range(3):
-        for d in range(8):
-            for e in range(12):
-                rows.append((trial, d, f"E{e:02d}", rng.random(), rng.random() > 0.2, 0.1 + rng.random(), 1e6, 10.0, False, False, 0.1))
-    cols = "trial int, decision int, entity_id string, mom double, trend boolean, vol double, adv double, px double, restricted boolean, held boolean, cash_mom double"
-    cl = [(f"E{e:02d}", f"C{e % 3}", 2) for e in range(9)]
-    return spark.createDataFrame(rows, cols), spark.createDataFrame(cl, "entity_id string, cluster_id string, max_members int")
-
-
-def test_chained_books_agree_with_the_windowed_rules(spark):
-    """Every decision of the fold, given its own incumbents, is what the windowed selection picks."""
-    rows, clusters = candidates(spark)
-    p = selection.BookParams(entry_rank=4, hold_rank=7, max_positions=5, max_new=2)
-    ranked = selection.with_anchor(selection.momentum_rank(selection.eligibility(rows, p)))
-    books = selection.hysteresis_scan(ranked, clusters, p).cache()
-    before = books.where("action in ('HOLD', 'EXIT')").select("trial", "decision", "entity_id").withColumn("held", F.lit(True))
-    again = rows.drop("held").join(before, ["trial", "decision", "entity_id"], "left").na.fill(False, ["held"])
-    log = selection.candidate_log(selection.select_candidates(again, clusters, p))
-    picked = {(r["trial"], r["decision"], r["entity_id"], r["action"]) for r in log.where("action in ('HOLD', 'ENTER')").collect()}
-    folded = {(r["trial"], r["decision"], r["entity_id"], r["action"]) for r in books.where("action <> 'EXIT'").collect()}
-    assert picked == folded and any(a == "HOLD" for *_, a in folded)
-
-
-def test_sweep_repeats_the_scan(spark):
-    rows, clusters = candidates(spark, 4)
-    p = selection.BookParams(entry_rank=4, hold_rank=7, max_positions=5, max_new=2)
-    ranked = selection.with_anchor(selection.momentum_rank(selection.eligibility(rows, p)))
-    fwd = rows.select("decision", "entity_id", F.lit(0.01).alias("forward_return")).distinct()
-    pts = evaluation.sweep_points(entry_rank=[3, 4], max_new=[2])
-    sweep = selection.trial_sweep(ranked, clusters, pts, fwd, p)
-    changes = {r["trial"]: r["changes"] for r in sweep.where("point = 1").collect()}
-    scan = selection.hysteresis_scan(ranked, clusters, p).where("action <> 'HOLD'").groupBy("trial").count()
-    assert changes == {r["trial"]: r["count"] for r in scan.collect()}
-
-
 def test_attribution_needs_two_years(spark):
     rng = random.Random(1)
     rows = [(e, D(2020 + i // 12, i % 12 + 1, 1), 0.01 + 0.5 * x, x) for e, n in (("long", 36), ("short", 10)) for i in range(n) for x in [rng.gauss(0, 0.02)]]
