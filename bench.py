@@ -17,7 +17,7 @@ HEADLINE = """
 asof_read asof_latest_vintage asof_single_decision append_dedup_conflict pit_revision_history session_calendar lag_filings
 load_bars_asof total_return_index series_asof_point close_as_of_session resolve_symbol reconcile_actions feature_set covariance_matrix
 portfolio_vol candidate_log cap_redistribute participation_fill lot_match_fifo nav_by_session arm_metrics block_bootstrap_paired
-walk_forward_splits pooled_primary order_limits hash_chain_verify order_transition_audit redaction_scan ingest_bars_keyed_json
+walk_forward_splits pooled_primary order_limits risk_limits decision_gate turnover holdings_asof hash_chain_verify order_transition_audit redaction_scan ingest_bars_keyed_json
 """.split()
 
 

@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from knownwhen.functions.columns import key_text, longest_prefix, minutes_after, reasons, sha256_text, text_array
 from knownwhen.operators.scan import interval_join, month_of, running
@@ -113,6 +114,42 @@ def asof_read(obs: DataFrame, decisions: DataFrame, delay: Column) -> DataFrame:
     return interval_join(seen, decisions, [], "visible_at", "_until", "decision_at").drop("_until")
 
 
+def first_decision(seen: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Each row with the first decision at or after its ``visible_at``; rows that no decision sees go.
+
+    A row meets one small table by calendar day: the day's decisions and the first one after that
+    day. Nothing is exploded and the rows stay where they are.
+    """
+    at = F.col("decision_at")
+    per_day = decisions.select("decision_at").distinct().groupBy(at.cast("date").alias("_day")).agg(F.array_sort(F.collect_list(at)).alias("_at"))
+    ends = per_day.agg(F.sequence(F.min("_day"), F.max("_day")).alias("_days"))
+    # One row per calendar day from the first decision to the last.
+    days = ends.select(F.explode("_days").alias("_day")).join(per_day, "_day", "left")
+    later = Window.orderBy("_day").rowsBetween(1, Window.unboundedFollowing)
+    days = days.withColumn("_later", F.first(F.element_at("_at", 1), ignorenulls=True).over(later))
+    first = per_day.agg(F.min("_day")).scalar()
+    met = seen.withColumn("_day", F.greatest(F.col("visible_at").cast("date"), first)).join(F.broadcast(days), "_day")
+    today = F.array_min(F.filter("_at", lambda d: d >= F.col("visible_at")))
+    return met.withColumn("first_decision", F.coalesce(today, "_later")).where(F.col("first_decision").isNotNull()).drop("_day", "_at", "_later")
+
+
+def asof_totals(obs: DataFrame, decisions: DataFrame, delay: Column, keys: Sequence[str], totals: Mapping[str, tuple[str, Column]]) -> DataFrame:
+    """Sums and maxima over all rows that each decision may see, without pairing rows and decisions.
+
+    Rows are summed by the decision that sees them first; running totals over the decisions do the
+    rest. ``totals``: name to ("sum" or "max", column).
+    """
+    kinds = {"sum": F.sum, "max": F.max}
+    seen = first_decision(with_visibility(obs, delay), decisions)
+    part = seen.groupBy(*keys, "first_decision").agg(*[kinds[k](x).alias(n) for n, (k, x) in totals.items()])
+    order = Window.partitionBy(*keys).orderBy("first_decision")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = part.select(
+        *keys, "first_decision", F.lead("first_decision").over(order).alias("_next"), *[kinds[k](n).over(so_far).alias(n) for n, (k, _) in totals.items()]
+    )
+    return interval_join(steps, decisions, [], "first_decision", "_next", "decision_at").select("decision_at", *keys, *totals)
+
+
 def win_intervals(df: DataFrame, keys: Sequence[Column | str], order: Sequence[str], segment: Column) -> DataFrame:
     """Interval ``[visible_at, visible_to)`` in which a row is the highest-ranked visible one of its key.
 

@@ -45,10 +45,8 @@ def stored(t):
     "select decision_at, source_id, count(*) as n, sum(value) as value_sum, max(id) as last_id from visible_obs group by all",
 )
 def _(t):
-    out = pit.asof_read(t.obs, t.decisions, delay())
-    return out.groupBy("decision_at", "source_id").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("value").alias("value_sum"), F.max("id").alias("last_id")
-    )
+    totals = {"n": ("sum", F.lit(1)), "value_sum": ("sum", F.col("value")), "last_id": ("max", F.col("id"))}
+    return pit.asof_totals(t.obs, t.decisions, delay(), ["source_id"], totals)
 
 
 @query(
