@@ -6,6 +6,7 @@ State is keyed and bounded by watermarks or by one small record per key.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
+from knownwhen import session
 from knownwhen.operators import pit
 from knownwhen.operators.ledger import TRANSITIONS
 
@@ -34,13 +36,15 @@ def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") ->
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
-def append_batch(batch: DataFrame, table: str, rejected: str) -> None:
+def append_batch(batch: DataFrame, table: str, rejected: str, batch_id: int = 0) -> None:
     """One micro-batch of the append rules: refuse, deduplicate, flag conflicts, append.
 
     Only identities of the batch are looked up in the table, by semi join. A retried batch
-    finds its own rows and appends nothing.
+    finds its own rows and appends nothing; its refused rows replace those of the first try.
+    The batch is read several times, so it is kept for the length of the call.
     """
     spark = batch.sparkSession
+    batch = batch.persist()
     checked = pit.rejections(batch.withColumn("value_hash", pit.value_hash(F.col("value"), F.col("raw_content_hash"), F.col("quality_flags"))))
     good, bad = checked.where(F.size("rejected") == 0).drop("rejected"), checked.where(F.size("rejected") > 0)
     try:
@@ -51,12 +55,13 @@ def append_batch(batch: DataFrame, table: str, rejected: str) -> None:
         stored = spark.createDataFrame([], good.schema)
     out = pit.append_outcome(good, stored).where(F.col("outcome") != "deduplicated").drop("outcome")
     out.select(*good.columns).write.mode("append").parquet(table)
-    bad.write.mode("append").parquet(rejected)
+    bad.write.mode("overwrite").parquet(f"{rejected}/batch={batch_id}")
+    batch.unpersist()
 
 
 def stream_append(stream: DataFrame, table: str, rejected: str, checkpoint: str):
     """Start the append job; a stream of landed observations into the store."""
-    q = stream.writeStream.foreachBatch(lambda df, _n: append_batch(df, table, rejected))
+    q = stream.writeStream.foreachBatch(lambda df, n: append_batch(df, table, rejected, n))
     return q.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
@@ -138,9 +143,5 @@ def stream_order_audit(events: DataFrame, lateness: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for stream output and checkpoints: the cluster's shared one, a local one only where none is named."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{base}/stream-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A new folder for stream output and checkpoints below the one that all executors see."""
+    return f"{session.shared_folder(spark)}/stream-{uuid.uuid4().hex}"

@@ -338,3 +338,44 @@ def test_halt_state_relaxes_one_step(spark):
     df = spark.createDataFrame(rows, "arm string, session date, floor_rank int, rearm_to int")
     got = controls.halt_state_scan(df, ["arm"], "session").orderBy("session").collect()
     assert [r["rank"] for r in got] == [0, 2, 2, 1, 0, 1]
+
+
+def test_totals_equal_the_pairing_of_rows_and_decisions(spark):
+    rng = random.Random(8)
+    rows = [obs_row(i, rng.randint(1, 28), value=i, entity=rng.choice("EF")) for i in range(60)]
+    obs = spark.createDataFrame(rows, OBS)
+    days = [dt.datetime(2024, 1, d, h) for d, h in ((3, 9), (3, 18), (4, 0), (11, 7), (20, 1))]
+    dec = spark.createDataFrame([(d,) for d in days], "decision_at timestamp_ntz")
+    paired = pit.asof_read(obs, dec, F.lit(60)).groupBy("decision_at", "entity_id").agg(F.count("*").alias("n"), F.max("id").alias("top"))
+    got = pit.asof_totals(obs, dec, F.lit(60), ["entity_id"], {"n": ("sum", F.lit(1)), "top": ("max", F.col("id"))})
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, paired.collect())) != []
+
+
+def test_chains_with_cycles(spark):
+    parents = {1: None, 2: 1, 3: 2, 4: 99, 5: 5, 6: 5, 7: 8, 8: 9, 9: 7, 10: 7, 11: 10}
+    e = spark.createDataFrame(list(parents.items()), "experiment long, parent long")
+    t = spark.createDataFrame([(k, i) for k in parents for i in range(k)], "experiment long, trial_id long")
+
+    def chain(k):
+        seen = []
+        while k is not None and k in parents and k not in seen:
+            seen.append(k)
+            k = parents[k]
+        return sum(seen), "CYCLE" if k in seen else "ROOTED"
+
+    got = {r[0]: (r["chain_trials"], r["state"]) for r in evaluation.trial_chain_count(e, t).collect()}
+    assert got == {k: chain(k) for k in parents}
+
+
+def test_a_retried_batch_changes_nothing(spark, tmp_path):
+    from knownwhen.streaming import jobs
+
+    rows = [(*obs_row(1, 2, 2, 10), "sha256:a", "p1"), (*obs_row(2, 3, 3, -1, entity=""), "sha256:b", "p1")]
+    df = spark.createDataFrame(rows, OBS + ", raw_content_hash string, parser_version string")
+    df = df.withColumn("value", F.col("value").cast("string")).withColumn("observed_at", F.col("available_at"))
+    table, rejected = f"{tmp_path}/store", f"{tmp_path}/rejected"
+    counts = []
+    for _ in range(2):
+        jobs.append_batch(df, table, rejected, 4)
+        counts.append((spark.read.parquet(table).count(), spark.read.parquet(rejected).count()))
+    assert counts[0] == counts[1] and sum(counts[0]) == 2
