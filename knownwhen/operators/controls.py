@@ -492,11 +492,20 @@ SECRETS = {
 }
 
 
-def redaction_scan(texts: DataFrame, column: str = "text", extra: dict[str, str] | None = None) -> DataFrame:
-    """Currency totals and secrets found anywhere in the whole text."""
+def redaction_scan(texts: DataFrame, column: str = "text", extra: dict[str, str] | None = None, excerpt: Column | None = None) -> DataFrame:
+    """Currency totals and secrets found anywhere in the whole text.
+
+    Where ``excerpt`` holds the text is quoted from a source, which may name amounts: only the
+    currency rule leaves it out. One alternation of all patterns decides first; the single ones
+    run only on its hits.
+    """
     t = F.col(column)
     rules = {"CURRENCY_TOTAL": CURRENCY_TOTAL, **SECRETS, **(extra or {})}
-    return texts.withColumn("findings", reasons(*[(t.rlike(p), n) for n, p in rules.items()]))
+    found = {n: t.rlike(p) for n, p in rules.items()}
+    if excerpt is not None:
+        found["CURRENCY_TOTAL"] &= ~F.coalesce(excerpt, F.lit(False))
+    some = t.rlike("|".join(f"(?:{p})" for p in rules.values()))
+    return texts.withColumn("findings", F.when(some, reasons(*[(x, n) for n, x in found.items()])).otherwise(F.array().cast("array<string>")))
 
 
 def call_spend(calls: DataFrame) -> DataFrame:

@@ -492,7 +492,7 @@ EXTRA = {"TOKEN": r'token\s*=\s*"[0-9a-f]+"', "CARD_NUMBER": r"\b\d{16}\b"}
 
 @query(
     "redaction_scan", "origin:s id:i findings:s",
-    r"""select * from (select origin, id, concat_ws(',', case when regexp_matches(text, '\$\s?\d{1,3}(,\d{3})+(\.\d+)?') then 'CURRENCY_TOTAL' end, case when regexp_matches(text, '(?i)sk-[a-z0-9]') then 'API_KEY' end,
+    r"""select * from (select origin, id, concat_ws(',', case when origin <> 'documents' and regexp_matches(text, '\$\s?\d{1,3}(,\d{3})+(\.\d+)?') then 'CURRENCY_TOTAL' end, case when regexp_matches(text, '(?i)sk-[a-z0-9]') then 'API_KEY' end,
          case when regexp_matches(text, '(?i)bearer\s+[a-z0-9._-]+') then 'BEARER' end, case when regexp_matches(text, '\bAKIA[0-9A-Z]{16}\b') then 'ACCESS_KEY_ID' end,
          case when regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----') then 'PRIVATE_KEY' end, case when regexp_matches(text, 'token\s*=\s*"[0-9a-f]+"') then 'TOKEN' end,
          case when regexp_matches(text, '\b\d{16}\b') then 'CARD_NUMBER' end) as findings
@@ -505,7 +505,8 @@ def _(t):
         .union(t.conversations.select(F.lit("conversations"), F.col("conv_id") * 1000 + F.col("turn"), "text"))
         .union(t.pages.select(F.lit("pages"), "page_id", "html"))
     )
-    out = ct.redaction_scan(texts, extra=EXTRA).where(F.size("findings") > 0)
+    # Documents stand for excerpts of sources.
+    out = ct.redaction_scan(texts, extra=EXTRA, excerpt=F.col("origin") == "documents").where(F.size("findings") > 0)
     return out.withColumn("findings", F.array_join("findings", ","))
 
 

@@ -379,3 +379,10 @@ def test_a_retried_batch_changes_nothing(spark, tmp_path):
         jobs.append_batch(df, table, rejected, 4)
         counts.append((spark.read.parquet(table).count(), spark.read.parquet(rejected).count()))
     assert counts[0] == counts[1] and sum(counts[0]) == 2
+
+
+def test_excerpts_may_name_amounts(spark):
+    rows = [(1, "paid $1,200", True), (2, "paid $1,200", False), (3, "sk-abc and $1,200", True), (4, "nothing", None)]
+    df = spark.createDataFrame(rows, "id int, text string, quoted boolean")
+    got = {r["id"]: r["findings"] for r in controls.redaction_scan(df, excerpt=F.col("quoted")).collect()}
+    assert got == {1: [], 2: ["CURRENCY_TOTAL"], 3: ["API_KEY"], 4: []}
