@@ -156,20 +156,20 @@ def window_rows(pan: DataFrame, members: DataFrame, p: FeatureParams, cols: list
 def aligned_returns(pan: DataFrame, members: DataFrame, p: FeatureParams) -> DataFrame:
     """Returns on the last V sessions on which every eligible member of a decision has one.
 
-    Decisions with fewer than V such sessions have no window. One join, then windows
-    over a decision's members x sessions.
+    Decisions with fewer than V such sessions have no window. Members are counted by session
+    before they are shuffled; only a decision's some 300 counts are ranked, and the last V
+    sessions pick their rows.
     """
     by = Window.partitionBy("decision_session")
-    m = members.withColumn("n_members", F.count(F.lit(1)).over(by))
-    m = m.select("decision_session", "entity_id", "anchor_session", "n_members")
+    n = members.groupBy("decision_session").agg(F.count(F.lit(1)).alias("n_members"))
+    m = members.join(n, "decision_session").select("decision_session", "entity_id", "anchor_session", "n_members")
     r = window_rows(pan.where(F.col("log_return").isNotNull()), m, p, ["log_return"])
     r = r.where(F.col("prev_session") >= F.col("_lo"))
-    have = F.count(F.lit(1)).over(Window.partitionBy("decision_session", "session"))
-    full = r.withColumn("_have", have).where(F.col("_have") == F.col("n_members"))
-    place = F.dense_rank().over(by.orderBy(F.col("session").desc()))
-    top = full.withColumn("_place", place).where(F.col("_place") <= p.vol)
-    top = top.withColumn("_depth", F.max("_place").over(by)).where(F.col("_depth") == p.vol)
-    return top.select("decision_session", "session", "entity_id", "log_return", "n_members")
+    days = r.groupBy("decision_session", "session").agg(F.count(F.lit(1)).alias("_have"), F.first("n_members").alias("_all"))
+    place = F.row_number().over(by.orderBy(F.col("session").desc()))
+    top = days.where(F.col("_have") == F.col("_all")).withColumn("_place", place).where(F.col("_place") <= p.vol)
+    top = top.withColumn("_depth", F.max("_place").over(by)).where(F.col("_depth") == p.vol).select("decision_session", "session")
+    return r.join(top, ["decision_session", "session"]).select("decision_session", "session", "entity_id", "log_return", "n_members")
 
 
 def common_window(aligned: DataFrame) -> DataFrame:
