@@ -2,20 +2,22 @@
 
 Texts are brought to a canonical form: letter case, punctuation and spacing are levelled,
 copyright lines dropped, equivalent spellings replaced. Digests of the forms are hash-joined to
-the digests of known licences: of a document's entire text, and of each of its lines, as notices
-are mostly a line of their own.
+the digests of known licences: of a document's entire text, and of each run of its lines that
+begins like a known form and is as long, however the lines are wrapped.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from knownwhen.llm.tables import doc_texts, prepare
+from knownwhen.llm.tables import doc_texts, materialise, prepare
 
-#: Usual one-line notices. Whole licences are given by the caller in the same form.
+#: Usual one-line notices.
 NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
@@ -30,8 +32,41 @@ NOTICES = (
     ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0."),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
 )
+#: Whole licences, in known_licenses: the words at which a known form may begin and before which it may end ("": where the file does).
+TEXTS = {
+    "Apache-2.0": (("", "TERMS AND CONDITIONS FOR USE"), ("", "APPENDIX: How to apply", "END OF TERMS AND CONDITIONS")),
+    "BSD-2-Clause": (("",), ("",)),
+    "BSD-3-Clause": (("",), ("",)),
+    "CC0-1.0": (("", "CC0 1.0 Universal", "Statement of Purpose"), ("",)),
+    "GPL-2.0": (("", "Everyone is permitted to copy", "Preamble"), ("", "How to Apply These Terms", "END OF TERMS AND CONDITIONS")),
+    "GPL-3.0": (("", "Everyone is permitted to copy", "Preamble"), ("", "How to Apply These Terms", "END OF TERMS AND CONDITIONS")),
+    "ISC": (("",), ("",)),
+    "LGPL-2.1": (("", "Everyone is permitted to copy", "Preamble"), ("", "How to Apply These Terms", "END OF TERMS AND CONDITIONS")),
+    "LGPL-3.0": (("", "Everyone is permitted to copy", "This version of the GNU Lesser"), ("",)),
+    "MIT": (("",), ("",)),
+    "MPL-2.0": (("", "1. Definitions"), ("", "Exhibit A - ")),
+    "Unlicense": (("",), ("", "For more information")),
+}
+#: Standard headers as the same files have them.
+HEADERS = {
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0 (the", ("",)),
+    "GPL-2.0": ("This program is free software; you can redistribute", ("Also add information", "You should have received", "This program is distributed in")),
+    "GPL-3.0": ("This program is free software: you can redistribute", ("Also add information", "You should have received", "This program is distributed in")),
+    "LGPL-2.1": ("This library is free software; you can redistribute", ("Also add information", "You should have received", "This library is distributed in")),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of", ("If it is not possible",)),
+}
+#: Titles that stand above the text.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License"),
+    "ISC": ("ISC License", "The ISC License"),
+    "Unlicense": ("The Unlicense",),
+}
 #: A table of known licences is broadcast up to this many digests.
 BROADCAST = 100_000
+#: A run is looked at if its first words are those of a known form. Up to so many beginnings are told before rows are made of lines.
+ANCHOR, LISTED = 4, 2_000
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Signs that count as a space, and those that stand for a letter.
@@ -43,55 +78,124 @@ SPELLINGS = (("licence", "license"), ("licencing", "licensing"), ("non commercia
 #: The same for patterns: v2, v 2 and version 2; 2.0 and 2.
 PATTERNS = ((r"(^|[ \n])v ?([0-9])", (1, "version ", 2)), (r"version ([0-9]+) 0($|[ \n])", ("version ", 1, 2)))
 COPYRIGHT = r"^(copyright |copyright$|c [12][0-9]{3}( |$)|all rights reserved$)"
+#: In runs a line that goes on with a licence's own sentence stays: where lines are wrapped must not matter.
+RUN_COPYRIGHT = COPYRIGHT.replace("copyright |copyright$", "copyright (?!(notices?|holders?|owners?|licenses?|laws?|statements?|disclaimers?|interests?|treaty|infringement|permission|rights?|and|or|on|in|is|the|also|to|for)( |$))")
 
+WRAPPED_VERSION = r"(?i)\b(v|ver|version)\.?[ \t]*\n[ \t#*/;-]*(?=[0-9])"
 
-def canonical_lines(text: Column) -> Column:
-    """The lines of the canonical form: none of them empty, none about copyright."""
+
+def all_lines(text: Column) -> Column:
+    """The lines of the canonical form, empty ones and those about copyright too."""
     out = F.regexp_replace(F.translate(text, _FROM, _TO), " {2,}", " ")
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))
     for pattern, parts in PATTERNS:
         out = F.regexp_replace(out, pattern, "".join(f"${p}" if isinstance(p, int) else p for p in parts))
-    lines = F.transform(F.split(out, "\n"), lambda x: F.trim(x))
-    return F.filter(lines, lambda x: (x != "") & ~x.rlike(COPYRIGHT))
+    return F.transform(F.split(out, "\n"), lambda x: F.trim(x))
+
+
+def canonical_lines(text: Column) -> Column:
+    """The lines of the canonical form: none of them empty, none about copyright."""
+    return F.filter(all_lines(text), lambda x: (x != "") & ~x.rlike(COPYRIGHT))
+
+
+def run_lines(text: Column) -> Column:
+    """The same for runs; a line that ends before a version's number goes on with the next."""
+    text = F.regexp_replace(F.translate(text, "\r", ""), WRAPPED_VERSION, "$1 ")
+    return F.filter(all_lines(text), lambda x: (x != "") & ~x.rlike(RUN_COPYRIGHT))
 
 
 def digest(lines: Column) -> Column:
     return F.sha2(F.array_join(lines, " ").cast("binary"), 256)
 
 
-def known(spark: SparkSession, notices: Sequence[tuple[str, str]] = NOTICES) -> DataFrame:
-    """license_id, sha: one row for each canonical form; of several ids of a form the least."""
-    rows = spark.createDataFrame(list(notices), "license_id string, text string")
-    return with_digests(rows)
+def forms() -> list[tuple[str, str]]:
+    """license_id, text of all that is known: notices, whole licences with and without their titles and ends, headers."""
+    out = list(NOTICES)
+    for name, (starts, ends) in TEXTS.items():
+        text = (Path(__file__).parent / "known_licenses" / f"{name}.txt").read_text()
+        cuts = [(text.index(a), text.index(b, text.index(a)) if b else len(text)) for a in starts for b in ends]
+        if name in HEADERS:
+            a, header_ends = HEADERS[name]
+            at = text.index(a)
+            cuts += [(at, text.index(b, at) if b else len(text)) for b in header_ends]
+        for a, b in cuts:
+            # Conditions are numbered, or have bullets.
+            for body in {text[a:b], re.sub(r"(?m)^ *[0-9]\. ", "", text[a:b]) if name.startswith("BSD") else text[a:b]}:
+                out += [(name, f"{title}\n{body}") for title in ("", *TITLES.get(name, ()))]
+    return out
+
+
+def known(spark: SparkSession, notices: Sequence[tuple[str, str]] | None = None) -> DataFrame:
+    """A row for each known form, see with_digests()."""
+    return with_digests(spark.createDataFrame(forms() if notices is None else list(notices), "license_id string, text string"))
 
 
 def with_digests(licenses: DataFrame) -> DataFrame:
-    """The same from a table (license_id, text) of any size."""
-    own = licenses.select(F.col("license_id"), canonical_lines(F.coalesce(F.col("text"), F.lit(""))).alias("lines"))
-    return own.filter(F.size("lines") > 0).groupBy(digest(F.col("lines")).alias("sha")).agg(F.min("license_id").alias("license_id"))
+    """sha, license_id (of several of a form the least), whole, and for runs anchor, n_words, n_chars; from a table (license_id, text) of any size."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    own = licenses.select("license_id", F.explode(F.array(F.struct(canonical_lines(text).alias("lines"), F.lit(True).alias("whole")), F.struct(run_lines(text).alias("lines"), F.lit(False).alias("whole")))).alias("x"))
+    own = own.select("license_id", "x.whole", F.array_join("x.lines", " ").alias("form")).filter("form <> ''")
+    own = own.groupBy("whole", F.sha2(F.col("form").cast("binary"), 256).alias("sha")).agg(
+        F.min("license_id").alias("license_id"), F.min(F.substring_index("form", " ", ANCHOR)).alias("anchor"), F.min(F.size(F.split("form", " "))).alias("n_words"), F.min(F.char_length("form")).alias("n_chars"))
+    return own
+
+
+def runs(docs: DataFrame, table: DataFrame, small: bool) -> DataFrame:
+    """doc_id, license_id, n: runs of lines that are a known form and lie in no longer such run, counted."""
+    hint = F.broadcast if small else lambda df: df
+    starts = hint(table.select("anchor", "n_words", "n_chars").distinct())
+    anchors = [r[0] for r in table.select("anchor").distinct().limit(LISTED + 1).collect()]
+    own = docs.select("doc_id", run_lines(F.col("text")).alias("lines"))
+    heads = own.withColumn("heads", F.transform("lines", lambda x: F.substring_index(x, " ", ANCHOR)))
+    first = lambda i, n: F.substring_index(F.array_join(F.slice(F.col("heads"), i + 1, n), " "), " ", n)
+    begin = lambda x, i: first(i, ANCHOR)
+    if len(anchors) <= LISTED:
+        words = sorted({a.split(" ")[0] for a in anchors})
+        begin = lambda x, i: F.when(F.substring_index(x, " ", 1).isin(words), first(i, ANCHOR))
+    at = heads.withColumn("begins", F.transform("heads", lambda x, i: F.struct((i + 1).alias("at"), begin(x, i).alias("anchor"))))
+    short = sorted({len(a.split(" ")) for a in anchors} - {ANCHOR}) if len(anchors) <= LISTED else list(range(1, ANCHOR))
+    # Forms of fewer words are told by all of their words.
+    fits = F.explode(F.filter("begins", lambda b: b["anchor"].isin(anchors) if len(anchors) <= LISTED and not short else b["anchor"].isNotNull()))
+    at = at.select("doc_id", "lines", fits.alias("b")).select("doc_id", "lines", "b.at", F.explode(F.array_distinct(F.array(F.col("b.anchor"), *[F.substring_index("b.anchor", " ", n) for n in short]))).alias("anchor"))
+    if len(anchors) <= LISTED:
+        at = at.filter(F.col("anchor").isin(anchors))
+    text = F.array_join(F.slice("lines", F.col("at"), F.col("n_words")), "\n")
+    found = at.join(starts, "anchor").withColumn("run", text)
+    found = found.filter(F.substring("run", F.col("n_chars") + 1, F.lit(1)).isin("", "\n") & (F.char_length("run") >= F.col("n_chars")))
+    found = found.withColumn("sha", F.sha2(F.translate(F.substring("run", F.lit(1), F.col("n_chars")), "\n", " ").cast("binary"), 256))
+    # Columns of one line are kept apart by the document's own digest, as several rows may share a doc_id.
+    found = found.join(hint(table.select("sha", "license_id")), "sha").select("doc_id", digest(F.col("lines")).alias("of"), "license_id", "at", (F.col("at") + F.size(F.split(F.substring("run", F.lit(1), F.col("n_chars")), "\n"))).alias("end"))
+    found = found.groupBy("doc_id", "of", "license_id", "at", "end").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("doc_id", "of").orderBy("at", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    return found.withColumn("reached", F.max("end").over(before)).filter("reached is null or reached < end").select("doc_id", "license_id", "n")
 
 
 def scan(docs: DataFrame, licenses: DataFrame | None = None) -> DataFrame:
     """Returns doc_id, canonical_sha256, license_id (entire text; null: unknown), n_notices long, notices (ids, sorted, comma-joined).
 
     A row for each row of ``docs``. A null text is an empty one; texts without canonical lines have no licence.
-    n_notices counts the lines that are a known licence, notices their distinct ids. Rows of one doc_id
+    n_notices counts the runs of whole lines that are a known form, notices their distinct ids; a run within a
+    longer one does not count again. Rows of one doc_id
     (null is one too) share their notices, counted over all of them. Columns other than doc_id and text are
     not looked at; an empty table gives an empty result.
     """
     spark = prepare(docs.sparkSession)
-    table = with_digests(licenses) if licenses is not None else known(spark)
-    if table.count() <= BROADCAST:
-        table = F.broadcast(table)
-    forms = doc_texts(docs).select("doc_id", canonical_lines(F.col("text")).alias("lines"))
-    # A notice is told by its digest; only digests go through the join.
-    lines = forms.select("doc_id", F.explode("lines").alias("line")).select("doc_id", F.sha2(F.col("line").cast("binary"), 256).alias("sha"))
-    notices = lines.join(table, "sha").groupBy("doc_id").agg(F.count("*").alias("n_notices"), F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))
+    table = materialise(with_digests(licenses) if licenses is not None else known(spark))
+    small = table.count() <= BROADCAST
+    texts = doc_texts(docs)
+    notices = runs(texts, table.filter("not whole"), small).groupBy("doc_id").agg(F.sum("n").alias("n_notices"), F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))
     notices = notices.withColumnRenamed("doc_id", "of")
-    whole = forms.select("doc_id", digest(F.col("lines")).alias("sha")).join(table, "sha", "left")
+    hint = F.broadcast if small else lambda df: df
+    entire = table.filter("whole").select("sha", "license_id")
+    # An entire text whose wrapping meets the copyright lines or a version is known by its form as a run.
+    as_run = table.filter("not whole").select(F.col("sha").alias("run_sha"), F.col("license_id").alias("run_id"))
+    run_sha = F.when(F.col("text").rlike(r"(?i)copyright|\bv(er|ersion)?\.?[ \t]*\r?\n"), digest(run_lines(F.col("text"))))
+    whole = texts.select("doc_id", digest(canonical_lines(F.col("text"))).alias("sha"), run_sha.alias("run_sha"))
+    whole = whole.withColumn("run_sha", F.coalesce("run_sha", "sha"))
+    whole = whole.join(hint(entire), "sha", "left").join(hint(as_run), "run_sha", "left")
     out = whole.join(notices, F.col("doc_id").eqNullSafe(F.col("of")), "left")
-    return out.select("doc_id", F.col("sha").alias("canonical_sha256"), "license_id", F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("notices", F.lit("")).alias("notices"))
+    return out.select("doc_id", F.col("sha").alias("canonical_sha256"), F.coalesce("license_id", "run_id").alias("license_id"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("notices", F.lit("")).alias("notices"))
 
 
 def _text(s: str) -> str:

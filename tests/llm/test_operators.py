@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+import textwrap
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -319,6 +321,36 @@ def test_license_forms(spark, odd_docs, no_docs):
     assert rows(licenses.scan(spark.createDataFrame([(1, "LINE one.\nCopyright 1999 x\nline  two!")], "doc_id long, text string"), own))[0][2] == "X-1"
 
 
+def _license_text(name):
+    return (Path(licenses.__file__).parent / "known_licenses" / f"{name}.txt").read_text()
+
+
+def test_whole_licenses_and_wrapped_notices(spark):
+    mit, bsd, apache, gpl = map(_license_text, ("MIT", "BSD-3-Clause", "Apache-2.0", "GPL-3.0"))
+    header = apache[apache.index("Licensed under the Apache License, Version 2.0 (the"):]
+    texts = {
+        1: "The MIT License (MIT)\n\nCopyright (c) 2020 A\n\n" + mit,
+        2: "Some prose.\n" + "\n".join(textwrap.wrap(mit, 41)) + "\nmore prose",
+        3: "a\nReleased under the\nMIT License.\nb",
+        4: "Licensed under the Apache License, Version\n2.0.\nb",
+        5: apache,
+        6: "# x\n" + "".join(f"# {x.strip()}\n" for x in header.split("\n")) + "code = 1",
+        7: "BSD 3-Clause License\nCopyright 1999 B\nAll rights reserved.\n" + "\n".join(textwrap.wrap(bsd.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* "), 60)),
+        8: gpl,
+        9: mit + "\nReleased under the MIT License.\n" + mit,
+        10: mit.replace("free of charge", "for a fee"),
+        11: "we say " + mit,
+    }
+    got = {r[0]: r[2:] for r in rows(licenses.scan(spark.createDataFrame([*texts.items(), (9, texts[9])], "doc_id long, text string")))}
+    assert got[1] == ("MIT", 1, "MIT") and got[2] == (None, 1, "MIT")
+    assert got[3] == (None, 1, "MIT") and got[4] == (None, 1, "Apache-2.0")
+    assert got[5] == ("Apache-2.0", 1, "Apache-2.0") and got[6] == (None, 1, "Apache-2.0")
+    assert got[7] == ("BSD-3-Clause", 1, "BSD-3-Clause") and got[8] == ("GPL-3.0", 1, "GPL-3.0")
+    assert got[9] == (None, 6, "MIT") and got[10] == got[11] == (None, 0, "")
+    own = spark.createDataFrame([("X-1", "one\ntwo"), ("X-2", "one"), (None, "")], "license_id string, text string")
+    assert rows(licenses.scan(spark.createDataFrame([(1, "a\none\ntwo\nb\none two\none")], "doc_id long, text string"), own))[0][2:] == (None, 3, "X-1,X-2")
+
+
 # --- mixing
 
 
