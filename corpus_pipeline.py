@@ -39,8 +39,8 @@ def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by calibrated probabilities, so that sources, languages and topics have their target weights."""
-    rows, names = mixing.drawn(docs)
+    """Documents drawn by calibrated probabilities, so that a stated share of all tokens has its target weights of sources, languages and topics as far as they have the tokens."""
+    rows, names = mixing.drawn(docs, budget=mixing.BUDGET)
     return _same_columns(rows.filter(F.col(names["kept"])), docs)
 
 

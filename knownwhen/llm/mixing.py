@@ -2,8 +2,10 @@
 
 Tokens are summed by cell (source, language, topic). The cells' weights are raked to the target
 share of each source, then language, then topic, over and over. What a cell's weight has become
-against its tokens is how willingly its documents are drawn; the most willing cell is drawn
-whole, the others in proportion, so the drawn tokens have the raked mix.
+against its tokens is how willingly its documents are drawn. Without a budget, the most willing
+cell is drawn whole, the others in proportion, so the drawn tokens have the raked mix. With a
+budget, a share of all tokens, that share is raked: no cell gives more than it has, and what a
+full cell or value can't give is raked over the rest, so that small cells don't shrink the others.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ DIMENSIONS = ("source", "lang", "topic")
 #: The target share of a value is in proportion to this power of its tokens: 1 keeps the mix, 0 levels it.
 POWERS = {"source": 0.8, "lang": 0.9, "topic": 0.95}
 ROUNDS = 10
+#: The share of all tokens that the pipeline draws.
+BUDGET = 0.8
 #: A topic is the first of these kinds that a text's content shows, else prose.
 TOPICS = (("legal", "licen"), ("contact", "@"), ("table", " | "))
 
@@ -57,17 +61,59 @@ def tempered(cells: DataFrame, powers: dict[str, float] = POWERS) -> dict[str, D
     return out
 
 
-def drawn(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, topic: Column | None = None) -> tuple[DataFrame, dict[str, str]]:
-    """``docs`` with columns more: n_tokens, weight, probability, kept under the names returned."""
+def within(cells: DataFrame, targets: dict[str, DataFrame], budget: float) -> dict[str, DataFrame]:
+    """Target tokens (value, target) of each dimension: shares of the budget; what a value lacks falls to the others in proportion."""
+    held, most = {}, budget * (cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0])
+    for dim, target in targets.items():
+        held[dim] = materialise(cells.groupBy(dim).agg(F.sum("tokens").alias("n")).join(target, dim))
+        most = min(most, held[dim].agg(F.coalesce(F.sum(F.when(F.col("share") > 0, F.col("n"))), F.lit(0))).first()[0])
+    out = {}
+    for dim, values in held.items():
+        scale, full = most, None
+        while True:
+            is_full = F.col("share") * scale >= F.col("n")
+            n, count, rest = values.filter("share > 0").agg(F.coalesce(F.sum(F.when(is_full, F.col("n"))), F.lit(0)), F.count(F.when(is_full, True)), F.coalesce(F.sum(F.when(~is_full, F.col("share"))), F.lit(0.0))).first()
+            # Values that are full stay so, as the scale only grows.
+            if count == full or not rest:
+                break
+            scale, full = max(scale, (most - n) / rest), count
+        out[dim] = materialise(values.select(dim, F.when(F.col("share") > 0, F.least(F.col("share") * scale, F.col("n").cast("double"))).otherwise(0.0).alias("target")))
+    return out
+
+
+def rake_within(cells: DataFrame, targets: dict[str, DataFrame], budget: float, rounds: int = ROUNDS) -> DataFrame:
+    """``cells`` with weight, at most the tokens of a cell: raked to the targets (value, share) of the budget."""
+    out = cells.withColumn("weight", F.col("tokens") * F.lit(float(budget)))
+    bounds = within(cells, targets, budget)
+    for _ in range(rounds):
+        for dim, target in bounds.items():
+            is_full = F.col("weight") >= F.col("tokens")
+            sums = out.groupBy(dim).agg(F.sum("weight").alias("now"), F.coalesce(F.sum(F.when(is_full, F.col("weight"))), F.lit(0.0)).alias("full"), F.coalesce(F.sum(F.when(~is_full, F.col("weight"))), F.lit(0.0)).alias("open"))
+            sums = sums.join(target, dim)
+            # Too much: all cells give in proportion. Too little: the full ones can't give more, the others do.
+            factor = F.when(F.col("now") >= F.col("target"), F.when(F.col("now") > 0, F.col("target") / F.col("now")).otherwise(0.0))
+            factor = factor.when(F.col("open") > 0, (F.col("target") - F.col("full")) / F.col("open")).otherwise(1.0)
+            factor = sums.select(dim, factor.alias("factor"), (F.col("now") < F.col("target")).alias("more"))
+            given = F.when(F.col("more") & is_full, F.col("weight")).otherwise(F.least(F.col("weight") * F.col("factor"), F.col("tokens").cast("double")))
+            out = written(out.join(factor, dim).select(*DIMENSIONS, "tokens", given.alias("weight")))
+    return out
+
+
+def drawn(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, topic: Column | None = None, budget: float | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns more: n_tokens, weight, probability, kept under the names returned.
+
+    ``budget``: the share of all tokens to draw; None: as many as the most willing cell allows.
+    """
     prepare(docs.sparkSession)
     names = dict(zip(("n_tokens", "weight", "probability", "kept", *DIMENSIONS), unused(docs, "n_tokens", "weight", "probability", "kept", "cell_source", "cell_lang", "cell_topic"), strict=True))
     value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("")
     keyed = docs.withColumns({names["source"]: value("source"), names["lang"]: value("lang"), names["topic"]: topic_of(F.col("text")) if topic is None else topic, names["n_tokens"]: tokens_of(F.col("text"))})
     cells = keyed.groupBy(*[F.col(names[d]).alias(d) for d in DIMENSIONS]).agg(F.sum(names["n_tokens"]).alias("tokens"))
     cells = materialise(cells)
-    raked = rake(cells, targets or tempered(cells), rounds)
+    targets = targets or tempered(cells)
+    raked = rake(cells, targets, rounds) if budget is None else rake_within(cells, targets, budget, rounds)
     ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens"))
-    most = raked.agg(F.max(ratio)).first()[0] or 1.0
+    most = (raked.agg(F.max(ratio)).first()[0] or 1.0) if budget is None else 1.0
     # A cell without tokens changes no mix: it stays whole.
     chance = raked.select(*[F.col(d).alias(names[d]) for d in DIMENSIONS], F.round(F.coalesce(ratio, F.lit(1.0)), 6).alias(names["weight"]), F.round(F.coalesce(ratio / most, F.lit(1.0)), 6).alias(names["probability"]))
     # Some hundred cells for some hundred sources; joins of large cells are split by adaptive execution.
