@@ -42,12 +42,13 @@ _DAY = """select event_type as entity_id, cast(ts as date) as session, arg_min(v
     f"""select * from ({_DAY}) where session + 1 <= (select max(ts) - interval 1 hour from events)""",
 )
 def _(t):
-    """Days are emitted once the watermark (one hour behind the newest tick) has passed them."""
+    """Days are emitted once the watermark (one hour behind the newest tick) has passed them; late ticks restate them."""
     ticks = _events(t).select(
         F.col("event_type").alias("entity_id"), F.col("event_id").alias("tick_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.col("user_id").alias("size")
     )
     base = jobs.shared_folder(t.spark)
-    return jobs.drain(jobs.stream_bars(ticks, "1 hour"), f"{base}/out", f"{base}/cp")
+    jobs.land_bars(ticks, f"{base}/bars", f"{base}/cp", "1 hour").awaitTermination()
+    return jobs.bars(t.spark, f"{base}/bars", "1 hour")
 
 
 @query(

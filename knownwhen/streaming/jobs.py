@@ -66,7 +66,7 @@ def stream_append(stream: DataFrame, table: str, rejected: str, checkpoint: str)
 
 
 def stream_bars(ticks: DataFrame, delay: str, keys: tuple[str, ...] = ("entity_id",)) -> DataFrame:
-    """Daily bars from ticks (ts, price, size); ticks later than the processing delay are dropped.
+    """Daily bars from ticks (ts, price, size) as one stream; ticks later than the processing delay are dropped, land_bars() keeps them.
 
     Open and close are the first and last tick of the day. State is one row per key and
     open day.
@@ -79,6 +79,54 @@ def stream_bars(ticks: DataFrame, delay: str, keys: tuple[str, ...] = ("entity_i
     return g.select(*keys, F.col("window.start").cast("date").alias("session"), "open", "high", "low", "close", "volume", "n")
 
 
+def append_bars(batch: DataFrame, base: str, delay: str, keys: tuple[str, ...] = ("entity_id",), batch_id: int = 0) -> None:
+    """One micro-batch of the bars: a part of each day's bar, the batch's newest tick, and the ticks of days already closed.
+
+    All three are written below ``base`` in a folder of the batch, which a retried batch overwrites. A day
+    is closed once the newest tick of the batches before is more than the delay past its end.
+    """
+    batch = batch.persist()
+    day = F.window("ts", "1 day")
+    first = F.struct("ts", "tick_id", "price")
+    parts = batch.where("ts is not null").groupBy(*keys, day).agg(
+        F.min(first).alias("first"), F.max("price").alias("high"), F.min("price").alias("low"), F.max(first).alias("last"), F.sum("size").alias("volume"), F.count(F.lit(1)).alias("n"),
+    )
+    parts.select(*keys, F.col("window.start").alias("start"), F.col("window.end").alias("end"), "first", "high", "low", "last", "volume", "n").write.mode("overwrite").parquet(f"{base}/parts/batch={batch_id}")
+    closed = _newest(batch.sparkSession, base, delay, batch_id)
+    late = batch.withColumn("_day", day).where(F.col("_day.end").cast("timestamp") <= F.timestamp_micros(F.lit(closed).cast("long"))).drop("_day")
+    late.write.mode("overwrite").parquet(f"{base}/late/batch={batch_id}")
+    batch.agg(F.max("ts").cast("timestamp").alias("newest")).write.mode("overwrite").parquet(f"{base}/clock/batch={batch_id}")
+    batch.unpersist()
+
+
+def _newest(spark: SparkSession, base: str, delay: str, before: int | None = None) -> int | None:
+    """The watermark, in microseconds: the delay before the newest tick of all batches, or of those before one."""
+    try:
+        clock = spark.read.schema("newest timestamp, batch long").parquet(f"{base}/clock")
+    except Exception as e:  # the first batch finds no table
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+    clock = clock if before is None else clock.where(F.col("batch") < before)
+    return clock.agg(F.unix_micros(F.max("newest") - F.expr(f"interval {delay}"))).first()[0]
+
+
+def land_bars(ticks: DataFrame, base: str, checkpoint: str, delay: str, keys: tuple[str, ...] = ("entity_id",)):
+    """Start the bars job over what is there now; bars() reads its closed days, ``base``/late holds the late ticks."""
+    q = ticks.writeStream.foreachBatch(lambda df, n: append_bars(df, base, delay, keys, n))
+    return q.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def bars(spark: SparkSession, base: str, delay: str, keys: tuple[str, ...] = ("entity_id",)) -> DataFrame:
+    """Bars of the closed days, from all ticks that have landed: a late tick restates its bar."""
+    parts = spark.read.parquet(f"{base}/parts")
+    parts = parts.where(F.col("end").cast("timestamp") <= F.timestamp_micros(F.lit(_newest(spark, base, delay)).cast("long")))
+    g = parts.groupBy(*keys, "start").agg(
+        F.min("first").alias("first"), F.max("high").alias("high"), F.min("low").alias("low"), F.max("last").alias("last"), F.sum("volume").alias("volume"), F.sum("n").alias("n"),
+    )
+    return g.select(*keys, F.col("start").cast("date").alias("session"), F.col("first.price").alias("open"), "high", "low", F.col("last.price").alias("close"), "volume", "n")
+
+
 def stream_stale_alert(arrivals: DataFrame, limit: str, lateness: str) -> DataFrame:
     """Silences longer than a limit: a source's activity is a session window that ends with the gap.
 

@@ -386,3 +386,24 @@ def test_excerpts_may_name_amounts(spark):
     df = spark.createDataFrame(rows, "id int, text string, quoted boolean")
     got = {r["id"]: r["findings"] for r in controls.redaction_scan(df, excerpt=F.col("quoted")).collect()}
     assert got == {1: [], 2: ["CURRENCY_TOTAL"], 3: ["API_KEY"], 4: []}
+
+
+def test_late_ticks_restate_their_bar(spark, tmp_path):
+    from knownwhen.streaming import jobs
+
+    schema = "entity_id string, tick_id long, ts timestamp, price double, size long"
+    batches = [
+        [("A", 1, dt.datetime(2024, 3, 1, 10), 10.0, 1), ("A", 2, dt.datetime(2024, 3, 1, 15), 12.0, 2), ("A", 3, dt.datetime(2024, 3, 2, 9), 11.0, 1)],
+        [("A", 4, dt.datetime(2024, 3, 2, 10), 13.0, 1), ("A", 5, dt.datetime(2024, 3, 1, 9), 7.0, 5), ("A", 6, dt.datetime(2024, 3, 1, 16), 20.0, 3), ("A", 7, dt.datetime(2024, 3, 3, 2), 9.0, 1)],
+    ]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/ticks")
+        stream = jobs.read_table(spark, f"{tmp_path}/ticks")
+        jobs.land_bars(stream, f"{tmp_path}/bars", f"{tmp_path}/cp", "1 hour").awaitTermination()
+        got = [tuple(r)[1:] for r in jobs.bars(spark, f"{tmp_path}/bars", "1 hour").orderBy("session").collect()]
+        assert got[0] == [(D(2024, 3, 1), 10.0, 12.0, 10.0, 12.0, 3, 2), (D(2024, 3, 1), 7.0, 20.0, 7.0, 20.0, 11, 4)][i]
+        assert got[1:] == [[], [(D(2024, 3, 2), 11.0, 13.0, 11.0, 13.0, 2, 2)]][i]
+        assert sorted(r["tick_id"] for r in spark.read.parquet(f"{tmp_path}/bars/late").collect()) == [[], [5, 6]][i]
+    # A retried batch changes nothing.
+    jobs.append_bars(spark.createDataFrame(batches[1], schema), f"{tmp_path}/bars", "1 hour", batch_id=1)
+    assert jobs.bars(spark, f"{tmp_path}/bars", "1 hour").orderBy("session").first()["n"] == 4
