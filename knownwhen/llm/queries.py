@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knownwhen.llm import bpe, exact_dedup, licenses, mixing, near_dedup, pii, quality, sharding, top_k, toxicity
+from knownwhen.llm import bpe, centroids, exact_dedup, licenses, mixing, near_dedup, pii, quality, runs, sharding, top_k, toxicity
 from knownwhen.llm.tables import table
 
 
@@ -51,6 +51,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(table(spark, sf_dir, "documents")).drop("runs")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_quality": op2_quality,
@@ -62,6 +70,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
+    "op11_centroids": op11_centroids,
+    "op12_runs": op12_runs,
 }
 
 ORACLE: dict[str, str] = {
@@ -69,4 +79,5 @@ ORACLE: dict[str, str] = {
     "op5_top_k": top_k.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
     "op7_mixing": mixing.SQL,
+    "op11_centroids": centroids.SQL,
 }
