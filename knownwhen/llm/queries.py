@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knownwhen.llm import bpe, centroids, exact_dedup, licenses, mixing, near_dedup, pii, quality, runs, sharding, top_k, toxicity
+from knownwhen.llm import bpe, centroids, exact_dedup, licenses, mixing, near_dedup, pii, quality, runs, secrets, sharding, top_k, toxicity
 from knownwhen.llm.tables import table
 
 
@@ -59,6 +59,10 @@ def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.periodic_runs(table(spark, sf_dir, "documents")).drop("runs")
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_quality": op2_quality,
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_centroids": op11_centroids,
     "op12_runs": op12_runs,
+    "op13_secrets": op13_secrets,
 }
 
 ORACLE: dict[str, str] = {
