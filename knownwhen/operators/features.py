@@ -1,21 +1,26 @@
-"""Features per entity and decision, for all decisions in one job.
+"""Features per entity and decision, for all decisions in one job, from what each decision could see.
 
-Windows run once over each entity's daily series (bounded by the calendar); a decision
-then picks the row of the entity's last bar by an interval join. Nothing is recomputed
-per decision except the covariance window, which depends on who is eligible.
+Windows run once over each entity's final series (bounded by the calendar); a decision
+then picks the row of the entity's last bar by an interval join. That row is what the
+decision saw unless a version of a bar or action of its history became visible only
+later. Such touched (entity, decision) pairs, and no others, are worked out again on the
+versions that were visible to them, about 300 rows a pair.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from knownwhen.functions.columns import reasons
-from knownwhen.operators.market import by_entity, total_return
+from knownwhen.operators.market import ENDINGS, by_entity, total_return
+from knownwhen.operators.pit import win_intervals
 from knownwhen.operators.scan import interval_join
+from knownwhen.session import materialise
 
 SESSIONS_PER_YEAR = 252
 
@@ -63,8 +68,8 @@ def dollar_volume(price: Column, volume: Column, w, n: int) -> Column:
     return F.when(F.count(price).over(last) == n, F.avg(price * volume).over(last))
 
 
-def panel(bars: DataFrame, actions: DataFrame, p: FeatureParams) -> DataFrame:
-    """Every windowed feature at every bar, with the first session each one reads."""
+def series(bars: DataFrame, actions: DataFrame) -> DataFrame:
+    """Total-return levels and returns at every bar, without terminal points."""
     w = by_entity()
     step = F.col("tr_index") / F.nullif(F.lag("tr_index").over(w), F.lit(0.0))
     x = total_return(bars, actions, keep=["id", "close", "volume"]).where("not terminal")
@@ -73,14 +78,29 @@ def panel(bars: DataFrame, actions: DataFrame, p: FeatureParams) -> DataFrame:
         "session",
         "id",
         F.col("close").alias("px"),
+        "volume",
         "tr_index",
         "adj_close",
         F.lead("session").over(w).alias("next_session"),
         F.lag("session").over(w).alias("prev_session"),
         F.when(step > 0, F.ln(step)).alias("log_return"),
+    )
+
+
+def panel(bars: DataFrame, actions: DataFrame, p: FeatureParams) -> DataFrame:
+    """Every windowed feature at every bar, with the first session each one reads."""
+    w = by_entity()
+    return series(bars, actions).select(
+        "entity_id",
+        "session",
+        "id",
+        "px",
+        "next_session",
+        "prev_session",
+        "log_return",
         momentum(F.col("tr_index"), w, p).alias("mom"),
         trend(F.col("adj_close"), w, p.sma).alias("trend"),
-        dollar_volume(F.col("close"), F.col("volume"), w, p.adv).alias("adv"),
+        dollar_volume(F.col("px"), F.col("volume"), w, p.adv).alias("adv"),
         F.lag("session", p.lookback).over(w).alias("mom_from"),
         F.lag("session", p.sma - 1).over(w).alias("trend_from"),
         F.lag("session", p.adv - 1).over(w).alias("adv_from"),
@@ -88,11 +108,99 @@ def panel(bars: DataFrame, actions: DataFrame, p: FeatureParams) -> DataFrame:
     )
 
 
+def last_row(own: DataFrame, p: FeatureParams) -> DataFrame:
+    """The panel's columns at the last bar of each series: one aggregation by distance from the end."""
+    back = F.row_number().over(by_entity().orderBy(F.col("session").desc()))
+    k = F.col("_k")
+    at = lambda name, n: F.max(F.when(k == n, F.col(name)))
+    start = at("tr_index", p.lookback + 1)
+    mean = lambda x, n: F.when(F.count(F.when(k <= n, x)) == n, F.avg(F.when(k <= n, x)))
+    return own.withColumn("_k", back).groupBy("entity_id").agg(
+        at("session", 1).alias("session"),
+        at("px", 1).alias("px"),
+        at("session", 1).alias("px_from"),
+        F.when(start > 0, at("tr_index", p.skip + 1) / start - 1).alias("mom"),
+        (at("adj_close", 1) > mean(F.col("adj_close"), p.sma)).alias("trend"),
+        mean(F.col("px") * F.col("volume"), p.adv).alias("adv"),
+        at("session", p.lookback + 1).alias("mom_from"),
+        at("session", p.sma).alias("trend_from"),
+        at("session", p.adv).alias("adv_from"),
+    )
+
+
+BAR_KEY, ACTION_KEY, PAIR = ["entity_id", "session"], ["entity_id", "kind", "effective_date"], ["decision_session", "entity_id"]
+
+
+@dataclass(frozen=True)
+class PitPanel:
+    """Panel rows of the final series, the pairs that must not read them, those pairs' own series and last rows."""
+
+    final: DataFrame
+    touched: DataFrame
+    asof: DataFrame
+    asof_last: DataFrame
+
+    def kept(self) -> PitPanel:
+        """For readers of more than one part: cut from the versions once."""
+        return replace(self, final=materialise(self.final))
+
+
+def newest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The final version of each key."""
+    rest = F.struct(*[x for x in rows.columns if x not in keys])
+    return rows.groupBy(*keys).agg(F.max_by(rest, "ver").alias("_r")).select(*keys, "_r.*")
+
+
+def _months(lo: Column, hi: Column) -> Column:
+    return F.explode(F.sequence(F.trunc(lo, "month"), F.trunc(hi, "month"), F.expr("interval 1 month")))
+
+
+def _seen(versions: DataFrame, keys: list[str], day: str, pairs: DataFrame, kept: Column | None = None) -> DataFrame:
+    """The version of each key in a pair's load window that its decision saw; ``entity_id`` becomes the pair itself.
+
+    Entity and month are the join key. ``kept``: rows that count however old they are, few for an entity.
+    """
+    wins = win_intervals(versions, keys, ["ver"], F.lit(0))
+    wins = wins.withColumn("_month", F.trunc(day, "month"))
+    lo = F.col("_lo")
+    seen = (F.col("visible_at") <= F.col("decision_at")) & (F.col("visible_to").isNull() | (F.col("visible_to") > F.col("decision_at")))
+    upto = F.col(day) <= F.col("decision_session")
+    cut = pairs.withColumn("_month", _months(F.col("_lo"), F.col("decision_session")))
+    out = wins.join(cut, ["entity_id", "_month"]).where(seen & upto & (F.col(day) >= lo))
+    if kept is not None:
+        out = out.unionByName(wins.where(kept).join(pairs, "entity_id").where(seen & (F.col(day) < lo)))
+    pair = F.struct(*PAIR).alias("entity_id")
+    return out.select(pair, *[x for x in versions.columns if x != "entity_id"])
+
+
+def pit_panel(bars: DataFrame, actions: DataFrame, decisions: DataFrame, p: FeatureParams) -> PitPanel:
+    """``bars`` (entity_id, session, close, volume, id, ver, visible_at) and ``actions`` (entity_id, kind,
+    effective_date, amount, ratio, ver, visible_at) hold every version; ``decisions`` decision_session, decision_at.
+
+    The greatest ``ver`` that is visible counts. Both are read three times; a caller whose versions are
+    costly materialises them.
+    """
+    events = bars.select("entity_id", "session", "visible_at").unionByName(actions.select("entity_id", F.col("effective_date").alias("session"), "visible_at"))
+    touched = touched_by_revision(events, decisions, ["decision_session"])
+    touched = materialise(touched.withColumn("_lo", load_start(F.col("decision_session"), p)))
+    final = panel(newest(bars, BAR_KEY), newest(actions, ACTION_KEY), p)
+    own = series(_seen(bars, BAR_KEY, "session", touched), _seen(actions, ACTION_KEY, "effective_date", touched, F.col("kind").isin(*ENDINGS)))
+    own = materialise(own)
+    pair = lambda df: df.select("entity_id.*", *[x for x in df.columns if x != "entity_id"])
+    return PitPanel(final, touched.select(*PAIR), pair(own), pair(last_row(own, p)))
+
+
 def last_bars(pan: DataFrame, decisions: DataFrame, point: str = "decision_session") -> DataFrame:
     """Each entity's last bar at every decision."""
     return interval_join(pan, decisions, [], "session", "next_session", point, unit="month")
 
 
+def last_seen(pit: PitPanel, decisions: DataFrame, cols: list[str]) -> DataFrame:
+    """Each entity's last bar at every decision, as the decision saw it."""
+    final = last_bars(pit.final.select("entity_id", "session", "next_session", *cols), decisions.select("decision_session"))
+    return final.select(*PAIR, "session", *cols).join(pit.touched, PAIR, "left_anti").unionByName(pit.asof_last.select(*PAIR, "session", *cols))
+
+
 def anchor_sessions(last: DataFrame, decisions: DataFrame) -> DataFrame:
     """Newest session any member has at a decision, else the calendar session with a flag."""
     a = last.groupBy("decision_session").agg(F.max("session").alias("_a"))
@@ -104,15 +212,14 @@ def anchor_sessions(last: DataFrame, decisions: DataFrame) -> DataFrame:
     )
 
 
-def features(pan: DataFrame, decisions: DataFrame, members: DataFrame, p: FeatureParams) -> DataFrame:
+def features(pit: PitPanel, decisions: DataFrame, members: DataFrame, p: FeatureParams) -> DataFrame:
     """One row per member and decision, with reasons for whatever is missing.
 
     A member priced before the anchor keeps every feature empty; a window reaching back
-    before the load start counts as too short. The panel is read once.
+    before the load start counts as too short. The final panel is read once.
     """
     cols = [x for n in ("mom", "trend", "adv", "px") for x in (n, f"{n}_from")]
-    last = last_bars(pan.select("entity_id", "session", "next_session", *cols), decisions.select("decision_session"))
-    row = members.join(last.drop("next_session"), ["decision_session", "entity_id"], "left")
+    row = members.join(last_seen(pit, decisions, cols), PAIR, "left")
     newest = F.max("session").over(Window.partitionBy("decision_session"))
     row = row.withColumn("anchor_from_data", newest.isNotNull())
     row = row.withColumn("anchor_session", F.coalesce(newest, "decision_session"))
@@ -140,20 +247,23 @@ def eligible(feats: DataFrame) -> DataFrame:
     return ok.select("decision_session", "entity_id", "anchor_session")
 
 
-def window_rows(pan: DataFrame, members: DataFrame, p: FeatureParams, cols: list[str]) -> DataFrame:
-    """Each member's bars inside its decision's load window (about 300 rows each).
+def window_rows(pit: PitPanel, members: DataFrame, p: FeatureParams, cols: list[str]) -> DataFrame:
+    """Each member's bars inside its decision's load window as the decision saw them (about 300 rows each).
 
-    Entity and month are the join key, so the window condition is only a residual.
+    Entity and month are the join key, so the window condition is only a residual. Touched
+    pairs bring their own rows.
     """
     lo = load_start(F.col("decision_session"), p)
-    months = F.sequence(F.trunc(lo, "month"), F.trunc("anchor_session", "month"), F.expr("interval 1 month"))
-    m = members.withColumn("_lo", lo).withColumn("_m", F.explode(months))
-    r = pan.select("entity_id", "session", "prev_session", *cols, F.trunc("session", "month").alias("_m"))
-    hit = m.join(r, ["entity_id", "_m"])
-    return hit.where((F.col("session") <= F.col("anchor_session")) & (F.col("session") >= F.col("_lo"))).drop("_m")
+    m = members.withColumn("_lo", lo)
+    rest = m.join(pit.touched, PAIR, "left_anti").withColumn("_m", _months(F.col("_lo"), F.col("anchor_session")))
+    inside = (F.col("session") <= F.col("anchor_session")) & (F.col("session") >= F.col("_lo"))
+    r = pit.final.select("entity_id", "session", "prev_session", *cols, F.trunc("session", "month").alias("_m"))
+    hit = rest.join(r, ["entity_id", "_m"]).where(inside).drop("_m")
+    own = m.join(pit.asof.select(*PAIR, "session", "prev_session", *cols), PAIR).where(inside)
+    return hit.unionByName(own)
 
 
-def aligned_returns(pan: DataFrame, members: DataFrame, p: FeatureParams) -> DataFrame:
+def aligned_returns(pit: PitPanel, members: DataFrame, p: FeatureParams) -> DataFrame:
     """Returns on the last V sessions on which every eligible member of a decision has one.
 
     Decisions with fewer than V such sessions have no window. Members are counted by session
@@ -163,8 +273,8 @@ def aligned_returns(pan: DataFrame, members: DataFrame, p: FeatureParams) -> Dat
     by = Window.partitionBy("decision_session")
     n = members.groupBy("decision_session").agg(F.count(F.lit(1)).alias("n_members"))
     m = members.join(n, "decision_session").select("decision_session", "entity_id", "anchor_session", "n_members")
-    r = window_rows(pan.where(F.col("log_return").isNotNull()), m, p, ["log_return"])
-    r = r.where(F.col("prev_session") >= F.col("_lo"))
+    r = window_rows(pit, m, p, ["log_return"])
+    r = r.where(F.col("log_return").isNotNull() & (F.col("prev_session") >= F.col("_lo")))
     days = r.groupBy("decision_session", "session").agg(F.count(F.lit(1)).alias("_have"), F.first("n_members").alias("_all"))
     place = F.row_number().over(by.orderBy(F.col("session").desc()))
     top = days.where(F.col("_have") == F.col("_all")).withColumn("_place", place).where(F.col("_place") <= p.vol)
@@ -208,13 +318,13 @@ def portfolio_vol(weighted: DataFrame) -> DataFrame:
     return day.groupBy("decision_session").agg(F.sqrt(F.greatest(var, F.lit(0.0))).alias("portfolio_vol"))
 
 
-def feature_lineage(pan: DataFrame, members: DataFrame, p: FeatureParams) -> DataFrame:
+def feature_lineage(pit: PitPanel, members: DataFrame, p: FeatureParams) -> DataFrame:
     """Observation ids each decision's features were read from, per member."""
-    hit = window_rows(pan, members.select("decision_session", "entity_id", "anchor_session"), p, ["id"])
+    hit = window_rows(pit, members.select("decision_session", "entity_id", "anchor_session"), p, ["id"])
     return hit.groupBy("decision_session", "entity_id").agg(F.collect_set("id").alias("observation_ids"))
 
 
-def touched_by_revision(rows: DataFrame, decisions: DataFrame) -> DataFrame:
+def touched_by_revision(rows: DataFrame, decisions: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """(entity, decision) pairs whose series changed after the decision.
 
     ``rows`` carries ``session`` and ``visible_at`` per version. A row about a session at or
@@ -223,4 +333,4 @@ def touched_by_revision(rows: DataFrame, decisions: DataFrame) -> DataFrame:
     """
     late = rows.select("entity_id", F.col("session").cast("timestamp_ntz").alias("_from"), F.col("visible_at").alias("_to"))
     hit = interval_join(late, decisions, [], "_from", "_to", "decision_at", unit="month")
-    return hit.select("entity_id", "decision_at").distinct()
+    return hit.select("entity_id", "decision_at", *carry).distinct()

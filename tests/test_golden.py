@@ -407,3 +407,52 @@ def test_late_ticks_restate_their_bar(spark, tmp_path):
     # A retried batch changes nothing.
     jobs.append_bars(spark.createDataFrame(batches[1], schema), f"{tmp_path}/bars", "1 hour", batch_id=1)
     assert jobs.bars(spark, f"{tmp_path}/bars", "1 hour").orderBy("session").first()["n"] == 4
+
+
+def test_features_see_only_visible_versions(spark):
+    """A later correction, split or late bar changes no earlier decision; untouched pairs read the final series."""
+    import datetime as dt
+    import random
+
+    from knownwhen.operators import features as ft
+
+    rng = random.Random(5)
+    p = ft.FeatureParams(lookback=5, skip=1, sma=4, vol=3, adv=3)
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(40)]
+    evening = lambda d, n=0: dt.datetime.combine(d, dt.time(21)) + dt.timedelta(days=n)
+    bars, n = [], 0
+    for e in ("a", "b", "c"):
+        for d in days:
+            n += 1
+            bars.append((e, d, 100 + 10 * rng.random(), 1000 + n, n, 1, evening(d, 3 if rng.random() < 0.05 else 0)))
+            if rng.random() < 0.15:
+                bars.append((e, d, 100 + 10 * rng.random(), 1000 + n, -n, 2, evening(d, rng.randrange(1, 12))))
+    acts = [("a", "CASH_DIVIDEND", days[12], 4.0, None, 1, evening(days[11])), ("a", "CASH_DIVIDEND", days[12], 9.0, None, 2, evening(days[18]))]
+    acts += [("b", "SPLIT", days[20], None, 2.0, 1, evening(days[24])), ("c", "DELISTING", days[30], 50.0, None, 1, evening(days[33]))]
+    decisions = [(d, dt.datetime.combine(d, dt.time(22))) for d in days[8:]]
+    bar_schema = "entity_id string, session date, close double, volume long, id long, ver int, visible_at timestamp_ntz"
+    act_schema = "entity_id string, kind string, effective_date date, amount double, ratio double, ver int, visible_at timestamp_ntz"
+
+    def run(bars, acts, decisions):
+        dec = spark.createDataFrame(decisions, "decision_session date, decision_at timestamp_ntz")
+        who = spark.createDataFrame([(d, e) for d, _ in decisions for e in "abc"], "decision_session date, entity_id string")
+        pit = ft.pit_panel(spark.createDataFrame(bars, bar_schema), spark.createDataFrame(acts, act_schema), dec, p).kept()
+        feats = ft.features(pit, dec.select("decision_session"), who, p)
+        aligned = ft.aligned_returns(pit, ft.eligible(feats), p)
+        lineage = ft.feature_lineage(pit, feats.select("decision_session", "entity_id", "anchor_session"), p)
+        num = lambda x: round(x, 9) if isinstance(x, float) else x
+        rows = lambda df, *cols: sorted([tuple(map(num, r)) for r in df.select(*cols).collect()], key=repr)
+        return (
+            rows(feats, "decision_session", "entity_id", "session", "mom", "trend", "adv", "px", "reasons"),
+            rows(aligned, "decision_session", "entity_id", "session", "log_return"),
+            rows(lineage.selectExpr("decision_session", "entity_id", "array_sort(observation_ids) as ids"), "decision_session", "entity_id", "ids"),
+            pit.touched.count(),
+        )
+
+    feats, aligned, lineage, touched = run(bars, acts, decisions)
+    assert 10 < touched < 3 * len(decisions) - 10
+    for d, at in decisions[3::10]:
+        own = run([b for b in bars if b[-1] <= at], [a for a in acts if a[-1] <= at], [(d, at)])
+        assert own[3] == 0
+        for got, want in zip((feats, aligned, lineage), own, strict=False):
+            assert [r for r in got if r[0] == d] == want
