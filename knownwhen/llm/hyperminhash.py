@@ -8,6 +8,8 @@ small sets can be banded too.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 from knownwhen.llm import words
@@ -15,7 +17,8 @@ from knownwhen.llm import words
 BUCKET_BITS = 7
 BUCKETS = 1 << BUCKET_BITS
 MANTISSA_BITS = 10
-#: Registers in a band. With 32 bands, texts at a similarity of 0.8 share none with a chance of 5e-8.
+#: Registers in a band. With 32 bands, large sets at a similarity of 0.8 share none with a chance of 5e-8. Small sets
+#: borrow registers, which are not independent then; they are found by their rarest shingles besides.
 BAND = 4
 BANDS = BUCKETS // BAND
 _PAIR = np.uint64(0xA0761D6478BD642F)
@@ -23,25 +26,25 @@ _PAIR = np.uint64(0xA0761D6478BD642F)
 _ORDER = np.argsort(np.random.Generator(np.random.PCG64(5)).random((BUCKETS, BUCKETS)), axis=1).astype(np.int16)
 
 
-def shingle_sets(texts: list[bytes], width: int = 2, apart: np.ndarray = words.SPACE) -> list[np.ndarray]:
+class _Hashes(dict):
+    """The 64-bit digest of each word met: different words don't share one, however alike they are built."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = out = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return out
+
+
+def shingle_sets(texts: list[bytes], width: int = 2) -> list[np.ndarray]:
     """Of each text the sorted distinct hashes of its shingles: runs of ``width`` words, or all words if fewer; A-Z lower-cased."""
-    w = words.split(texts, apart)
-    h = words.hashes(w)
-    n = len(h)
-    run = np.full(max(n - width + 1, 0), np.uint64(width))
-    for j in range(width):
-        run = words.mix(run * _PAIR + h[j : n - width + 1 + j]) if len(run) else run
-    out = []
-    for a, b in zip(w.first[:-1], w.first[1:], strict=True):
-        if b - a >= width:
-            out.append(np.unique(run[a : b - width + 1]))
-        elif b > a:
-            short = np.full(1, np.uint64(b - a))
-            for j in range(a, b):
-                short = words.mix(short * _PAIR + h[j : j + 1])
-            out.append(short)
-        else:
-            out.append(np.zeros(0, np.uint64))
+    table, out = _Hashes(), []
+    for text in texts:
+        found = text.lower().split()  # of bytes: A-Z, and the six white-space characters
+        n = min(width, len(found))
+        h = np.fromiter(map(table.__getitem__, found), np.uint64, len(found))
+        run = np.full(len(found) - n + 1 if found else 0, np.uint64(n))
+        for j in range(n):
+            run = words.mix(run * _PAIR + h[j : len(h) - n + 1 + j])
+        out.append(np.unique(run))
     return out
 
 

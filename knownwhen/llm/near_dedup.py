@@ -5,7 +5,9 @@ band stand in one bucket. In each bucket the member that shares most buckets wit
 hub; all others are compared with it, which joins a group of any size by as many pairs as it has
 members. Only where a bucket still holds several components are all pairs across them compared,
 in blocks of bounded size inside tasks, so that no row is made for a pair. Each pair is looked at
-in the first band that it shares. Links are confirmed on full sets.
+in the first band that it shares. Small sets, whose registers are too few to be sure of a common
+band, also stand in the buckets of their rarest shingles, as many as two linked sets cannot all
+differ in. Links are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -15,41 +17,42 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knownwhen.llm import hyperminhash as H
 from knownwhen.llm import words
-from knownwhen.llm.tables import doc_texts, materialise, prepare, written
+from knownwhen.llm.tables import Rounds, doc_texts, materialise, prepare
 
 #: An estimate this far below the threshold rules a pair out: five standard deviations of 128 registers.
 MARGIN = 0.18
-#: Sets up to this size are compared without an estimate.
+#: Sets up to this size are compared without an estimate, and found by their rarest shingles too.
 SMALL = 64
 #: Bytes of full sets in one block of a bucket; larger buckets are compared block by block.
 BLOCK_BYTES = 4 << 20
 
 
 def _signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, d1, d2 (128 bits of a digest of the set), regs (registers, four to a long)."""
+    """doc_id, n, d1, d2 (128 bits of a digest of the set), regs (registers, four to a long), small (the set, if it is small)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, d1, d2, regs = [], [], [], []
+            n, d1, d2, regs, small = [], [], [], [], []
             for texts in words.pieces(batch.column("text")):
                 sets = H.shingle_sets(texts, width)
                 digest = np.frombuffer(b"".join(hashlib.sha256(s.tobytes()).digest()[:16] for s in sets), "<i8").reshape(-1, 2)
                 n += map(len, sets)
+                small += [s.view("<i8") if 0 < len(s) <= SMALL else None for s in sets]
                 d1.append(digest[:, 0])
                 d2.append(digest[:, 1])
                 regs.append(H.bands(H.registers(sets)))
             flat = np.concatenate(regs).ravel() if regs else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * H.BANDS), pa.array(flat))
             join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), join(d1), join(d2), lists], names=["doc_id", "n", "d1", "d2", "regs"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), join(d1), join(d2), lists, pa.array(small, pa.list_(pa.int64()))], names=["doc_id", "n", "d1", "d2", "regs", "small"])
 
     texts = doc_texts(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, regs array<long>")
+    return texts.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, regs array<long>, small array<long>")
 
 
 #: Up to so many ids are broadcast to pick their texts; beyond it the texts are shuffled.
@@ -178,25 +181,42 @@ def components(links: DataFrame) -> DataFrame:
     end when no label falls any more.
     """
     both = materialise(links.union(links.select("b", "a")).toDF("id", "other").distinct())
-    labels = written(both.groupBy("id").agg(F.least(F.min("other"), F.col("id")).alias("comp")))
+    tables = Rounds(links.sparkSession)
+    labels = tables.write(both.groupBy("id").agg(F.least(F.min("other"), F.col("id")).alias("comp")))
     while True:
         near = both.join(labels.select(F.col("id").alias("other"), F.col("comp").alias("theirs")), "other").groupBy("id").agg(F.min("theirs").alias("theirs"))
         hooked = labels.join(near, "id").select("id", F.col("comp").alias("was"), F.least("comp", "theirs").alias("step"))
         jumped = hooked.join(labels.select(F.col("id").alias("step"), F.col("comp").alias("beyond")), "step")
-        after = written(jumped.select("id", "was", F.least("step", "beyond").alias("comp")))
+        after = tables.write(jumped.select("id", "was", F.least("step", "beyond").alias("comp")))
         if after.filter(F.col("comp") < F.col("was")).isEmpty():
             return after.select("id", "comp")
         labels = after.select("id", "comp")
 
 
+def rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """id, shingle: of each set (id, n, small) so many of its rarest shingles that linked sets share one of them.
+
+    A set linked with one of n shingles lacks n - ceil(n * percent / 100) of them at most. Shingles are ordered by
+    how many sets hold them, then by value; those of one set alone lead nowhere and are left out.
+    """
+    each = sets.filter("small is not null").select("id", "n", F.explode("small").alias("shingle"))
+    held = each.groupBy("shingle").agg(F.count("*").alias("sets")).filter("sets > 1")
+    order = Window.partitionBy("id").orderBy(F.coalesce("sets", F.lit(1)), "shingle")
+    first = F.row_number().over(order) <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    return each.join(held, "shingle", "left").withColumn("first", first).filter("first and sets > 1").select("id", "n", "shingle")
+
+
 def near_components(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Signatures of all rows, representatives (d1, d2, n, rep), and rep, component where a representative is linked."""
     signed = materialise(_signatures(docs, width))
     alike = ["d1", "d2", "n"]
     reps = materialise(signed.filter((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy(*alike).agg(F.min("doc_id").alias("rep")))
     # One row for each representative, with its registers.
-    one = signed.withColumnRenamed("doc_id", "rep").join(reps, [*alike, "rep"]).select(F.col("rep").alias("id"), "n", "regs")
+    one = signed.withColumnRenamed("doc_id", "rep").join(reps, [*alike, "rep"]).select(F.col("rep").alias("id"), "n", "regs", "small")
     banded = one.select("id", "n", F.posexplode("regs").alias("band", "key")).select(F.xxhash64("band", "key").alias("key"), "id", "n", "band")
+    # Beyond the bands: a pair that shares one of them has been looked at there.
+    rare = rarest(one, percent).select(F.xxhash64(F.lit("rare"), "shingle").alias("key"), "id", "n", F.lit(H.BANDS).alias("band"))
+    banded = banded.unionByName(rare)
     counts = banded.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     shared = materialise(banded.join(counts, "key"))
     popular = shared.groupBy("id").agg(F.sum("members").alias("popular"))

@@ -70,4 +70,21 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-__all__ = ["doc_texts", "held_out", "keep_rows", "materialise", "prepare", "table", "unused", "written"]
+class Rounds:
+    """Tables written one after the other in the shared folder, each from the one before, which is deleted then."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, None
+
+    def write(self, df: DataFrame) -> DataFrame:
+        before, self.path = self.path, f"{shared_folder(self.spark)}/table-{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        out = self.spark.read.schema(df.schema).parquet(self.path)
+        if before:
+            sc = self.spark.sparkContext
+            folder = sc._jvm.org.apache.hadoop.fs.Path(before)
+            folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+        return out
+
+
+__all__ = ["Rounds", "doc_texts", "held_out", "keep_rows", "materialise", "prepare", "table", "unused", "written"]

@@ -420,3 +420,41 @@ def test_kept_rows_have_all_columns(odd_docs):
     assert keep_rows(odd_docs, kept).count() == 5
     one = keep_rows(odd_docs, kept, single=True)
     assert one.count() == 3 and one.columns == odd_docs.columns
+
+
+def test_mix_keeps_rows_that_no_target_names(spark):
+    docs = spark.createDataFrame([(i, "some words here", f"s{i % 3}", "en") for i in range(30)], "doc_id long, text string, source string, lang string")
+    share = lambda rows: spark.createDataFrame(rows, "value string, share double")
+    targets = {"source": share([("s0", 0.5), ("s1", 0.5)]).withColumnRenamed("value", "source"), "lang": share([("en", 1.0)]).withColumnRenamed("value", "lang"), "topic": share([("prose", 1.0)]).withColumnRenamed("value", "topic")}
+    for budget in (mixing.BUDGET, None):
+        got = {r[0]: r for r in rows(mixing.mix(docs, targets, budget=budget))}
+        assert len(got) == 30
+        assert all((got[i][4], got[i][5]) == (0.0, False) for i in range(2, 30, 3))
+        assert all(got[i][4] > 0.9 for i in range(0, 30, 3))
+
+
+def test_words_built_alike_differ(spark):
+    """Alternating words and their mirror, which a polynomial hash modulo a power of two takes for equal."""
+    a = "a"
+    while len(a) < 2048:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    sets = H.shingle_sets([a.encode(), b.encode(), a.upper().encode()])
+    assert sets[0][0] != sets[1][0] and sets[0][0] == sets[2][0]
+    tail = " one two three four"
+    docs = spark.createDataFrame([(1, a + tail), (2, b + tail)], "doc_id long, text string")
+    assert [r[2] for r in sorted(rows(near_dedup.near_dedup(docs, 5)))] == [1, 2]
+
+
+def test_small_sets_share_a_rare_shingle(spark):
+    """Every linked pair of small sets meets by its rarest shingles alone, hot shingles or not."""
+    rng = random.Random(8)
+    sets = [rng.sample(range(200), rng.randrange(1, 65)) for _ in range(60)]
+    sets += [[x for x in s if rng.random() > 0.08] or s for s in sets for _ in range(3)] + [[1, 2, 3, 4], [1, 2, 3, 4, 5], [0] + list(range(300, 340))]
+    table = spark.createDataFrame([(i, len(set(s)), sorted(set(s))) for i, s in enumerate(sets)], "id long, n long, small array<long>")
+    met = {}
+    for i, _, shingle in rows(near_dedup.rarest(table, 80)):
+        met.setdefault(shingle, set()).add(i)
+    found = {(a, b) for ids in met.values() for a in ids for b in ids if a < b}
+    links = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 100 * len(set(sets[a]) & set(sets[b])) >= 80 * len(set(sets[a]) | set(sets[b]))}
+    assert len(links) > 50 and links <= found
