@@ -17,6 +17,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 
 from knownwhen.llm.tables import doc_texts, prepare
 
-TOKENIZERS = "/opt/tokenizers"
+#: The vocabulary that is read unless another path is given.
+TOKENIZER = "byte_bpe_50k.json"
 #: Fixed value: how byte-level vocabularies cut text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct words kept by a worker; beyond it, or beyond eight times as many tokens, the store is emptied.
@@ -269,13 +271,15 @@ def _pieces(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[tuple[list,
         yield doc_ids, texts
 
 
-def encode(docs: DataFrame, path: str = f"{TOKENIZERS}/byte_bpe_50k.json", tokens: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, tokens: bool = False) -> DataFrame:
     """Returns doc_id, n_tokens long, ids_sha256, decoded_sha256 and, with ``tokens``, ids array<int> and decoded text.
 
     A row for each row of ``docs``, repeated rows and null ids too; null text is encoded as an empty one (no
     tokens). A special token's text in a document is that token. Bytes that are no UTF-8 count as U+FFFD.
-    Other columns are not looked at; an empty table gives an empty result. No shuffle.
+    Other columns are not looked at; an empty table gives an empty result. No shuffle. ``path``: a tokenizer file,
+    by default public_tokenizers.path("byte_bpe_50k.json").
     """
+    path = path or public_tokenizers.path(TOKENIZER)
     spark = prepare(docs.sparkSession)
     vocabulary = spark.sparkContext.broadcast(load(spark, path))
 

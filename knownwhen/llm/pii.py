@@ -1,9 +1,11 @@
 """Personal data by proposed spans and boosted trees, in DataFrame and SQL functions.
 
 Strict patterns with checks give base spans, which always stay. Looser patterns propose more and
-overlapping ones. Boosted trees score a proposal by its format and its surroundings; they learn
-which proposals coincide with a checked base span. All proposals of the corpus are counted by
-their binned features in one aggregation; the trees are grown from these counts, whose number is
+overlapping ones. Boosted trees score a proposal by its format and its surroundings. They learn from
+proposals that coincide with a checked base span against those that fail their kind's check; a
+proposal that only a loose form finds and whose check passes is neither, and is scored by trees that
+have not seen it. No feature tells the strict from the loose way of writing. All proposals of the corpus
+are counted by their binned features in one aggregation; the trees are grown from these counts, whose number is
 bounded by the product of the bins, and run as one SQL expression. A threshold for each kind,
 calibrated for precision, selects what else is redacted.
 """
@@ -38,9 +40,9 @@ LOOSE = {
 }
 LOOSE_QUICK = {"email": r"@|[\[(]at[\])]", "ip": r"[0-9] ?\. ?[0-9]{1,3} ?\. ?[0-9]", "card": r"[0-9](?:[\x20.-]{0,2}[0-9]){12}", "phone": r"[0-9][\x20()./0-9-]{6}"}
 CONTEXT = {"email": "mail|contact|write", "ip": r"\bip\b|host|server|addr", "card": "card|visa|credit|account|pay", "phone": "phone|tel|call|fax|mobile|contact"}
-#: Bins of a proposal's digits: the least count of each.
+#: Bins of a proposal's digits (without a leading 00): the least count of each.
 DIGITS = (0, 1, 7, 9, 13, 16, 17, 20)
-FEATURES = ("kind", "digits", "marks", "before", "after", "passes", "context")
+FEATURES = ("kind", "digits", "before", "after", "passes", "context")
 ROUNDS, SHRINK, LEAST = 24, 0.4, 1.0
 PRECISION = 0.95
 
@@ -52,7 +54,7 @@ def _quoted(pattern: str) -> str:
 def _passes(kind: str, m: str) -> str:
     """SQL: whether a match passes its kind's check."""
     if kind == "ip":
-        return f"forall(split(translate({m}, ' ', ''), '[.]'), o -> char_length(trim(leading '0' from o)) <= 3 and coalesce(try_cast(trim(leading '0' from o) as int), 0) <= 255)"
+        return f"forall(split(translate({m}, ' ', ''), '[.]'), o -> char_length(trim(leading '0' from o)) <= 3 and coalesce(try_cast(trim(leading '0' from o) as int), 0) <= 255) and not {m} rlike '[0-9][.] | [.][0-9]'"
     if kind == "card":
         digits = f"translate({m}, ' -.', '')"
         digit = "cast(substring(c, i, 1) as int)"
@@ -60,8 +62,9 @@ def _passes(kind: str, m: str) -> str:
         luhn = f"exists(array(reverse({digits})), c -> {total} % 10 = 0)"
         return f"case when char_length({digits}) between 13 and 19 then {luhn} else false end"
     if kind == "phone":
-        return f"char_length(regexp_replace({m}, '[^0-9]', '')) between 9 and 15"
-    return f"({m} rlike '[.\\\\])][ ]?[A-Za-z][A-Za-z0-9-]*$')"
+        # A number written without + is one only if it says so: with 00 or an area code in brackets.
+        return f"char_length(regexp_replace({m}, '^00|[^0-9]', '')) between 9 and 15 and {m} rlike '^(?:[+]|00[1-9]|[(](?:0[0-9]+|[2-9][0-9][0-9])[)])'"
+    return f"({m} rlike '[.\\\\])][ ]?[A-Za-z][A-Za-z0-9-]*$' and not {m} rlike '[.] ')"
 
 
 def _matches(kind: str, pattern: str, quick: str, name: str) -> list[Column]:
@@ -93,11 +96,10 @@ def proposals(docs: DataFrame) -> DataFrame:
     for n, k in enumerate(KINDS):
         checked = "true" if k == "email" else _passes(k, "s.m")
         base.append(f"transform(filter(transform(b_{k}_m, (m, i) -> struct(m, b_{k}_e[i] as e)), s -> {checked}), s -> struct({n} as kind, s.e - char_length(s.m) as start, s.e as end))")
-        digits = "char_length(regexp_replace(m, '[^0-9]', ''))"
+        digits = "char_length(regexp_replace(m, '^00|[^0-9]', ''))"
         binned = " + ".join(f"int({digits} >= {d})" for d in DIGITS[1:])
-        marks = f"int(m rlike ' ') + int(m rlike '[.]') + int(m rlike '[-()/\\\\[]')"
         proposed.append(
-            f"transform(l_{k}_m, (m, i) -> struct({n} as kind, l_{k}_e[i] - char_length(m) as start, l_{k}_e[i] as end, {binned} as digits, {marks} as marks, "
+            f"transform(l_{k}_m, (m, i) -> struct({n} as kind, l_{k}_e[i] - char_length(m) as start, l_{k}_e[i] as end, {binned} as digits, "
             f"{_side(f'right(l_{k}_p[i], 1)')} as before, {_side(f'left(l_{k}_p[i + 1], 1)')} as after, int({_passes(k, 'm')}) as passes, "
             f"int(lower(right(l_{k}_p[i], 24)) rlike {_quoted(CONTEXT[k])}) as context))"
         )
@@ -105,12 +107,14 @@ def proposals(docs: DataFrame) -> DataFrame:
 
 
 def counted(rows: DataFrame) -> list[dict]:
-    """Proposals by features, and how many of them coincide with a base span of their kind. At most 4 * 8 * 4 * 5 * 5 * 2 * 2 rows."""
+    """Proposals by features: all of them, those that coincide with a base span of their kind (hits), and those that say anything (n:
+    hits, and proposals that fail their check). At most 4 * 8 * 5 * 5 * 2 * 2 rows."""
     key = lambda s: f"(cast({s}.start as bigint) * 536870912 + {s}.end) * 4 + {s}.kind"
     held = rows.select("proposed", F.expr(f"transform(base, b -> {key('b')})").alias("keys"))
     fields = ", ".join(f"p.{f} as {f}" for f in FEATURES)
     cells = held.select(F.expr(f"inline(transform(proposed, p -> struct({fields}, int(array_contains(keys, {key('p')})) as hit)))"))
-    cells = cells.groupBy(*FEATURES).agg(F.count("*").alias("n"), F.sum("hit").alias("hits"))
+    said = F.when((F.col("hit") == 1) | (F.col("passes") == 0), 1).otherwise(0)
+    cells = cells.groupBy(*FEATURES).agg(F.count("*").alias("all"), F.sum(said).alias("n"), F.sum("hit").alias("hits"))
     return sorted((r.asDict() for r in cells.collect()), key=lambda r: [r[f] for f in FEATURES])
 
 
@@ -145,7 +149,7 @@ def _value(tree, cell: dict) -> float:
 
 
 def boost(cells: list[dict], rounds: int = ROUNDS, depth: int = 3) -> list:
-    """Gradient boosting of the logistic loss over counted cells: every proposal has its say."""
+    """Gradient boosting of the logistic loss over counted cells; each cell is given its score."""
     trees = []
     for c in cells:
         c["f"] = 0.0
@@ -173,7 +177,7 @@ def thresholds(cells: list[dict], precision: float = PRECISION) -> list[float]:
                 both[1] += c["n"]
         for score in sorted(by_score, reverse=True):
             hits, n = hits + by_score[score][0], n + by_score[score][1]
-            if hits >= precision * n:
+            if n and hits >= precision * n:
                 best = score
         out.append(best)
     return out
@@ -192,7 +196,8 @@ def pii(docs: DataFrame) -> DataFrame:
     spans holds kind:start:end of base and added spans by kind as listed, then start; positions are code points,
     the end exclusive. Added spans overlap neither base spans nor each other: from left to right, of two that
     overlap the one of the higher score stays, else the earlier. min_score is the least score of an added span
-    (null without). Columns other than doc_id and text are not looked at.
+    (null without). A kind without base spans in the table gains none. Ties in score go to the earlier span. Columns
+    other than doc_id and text are not looked at; an empty table gives an empty result.
     """
     prepare(docs.sparkSession)
     rows = materialise(proposals(docs))

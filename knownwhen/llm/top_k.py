@@ -4,22 +4,27 @@ Vectors of a range of ids form a block: a forward index (their integer vectors)
 and least value of every term. For a query, a block cannot score above the sum over terms of the
 query's value times the block's extreme on that side. Blocks are taken in falling order of this
 bound, scored through the forward index, and left as soon as the bound is below the kth score.
+
+Each block belongs to one shard and is moved once. Only the queries are copied, to every shard; a
+task holds a shard's blocks and lets the queries stream past.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knownwhen.llm.tables import materialise, prepare
 
-#: Ids in a block's range, blocks scored together in one task, queries scored together.
-BLOCK_IDS = 512
-SHARD_ROWS = 8192
+#: Rows of a block, rows of a shard (what a task holds), queries scored together.
+BLOCK_ROWS = 512
+SHARD_ROWS = 1 << 16
 CHUNK_QUERIES = 256
 SCALE = 1024.0
 #: Integers up to 2**53 are exact in double precision.
@@ -34,7 +39,8 @@ def integer_vectors(vectors: DataFrame, scale: float = SCALE) -> DataFrame:
     return own.select("vec_id", F.transform("embedding", lambda x: F.floor(F.lit(scale) * x).cast("long")).alias("v"))
 
 
-def _matrix(lists: list[np.ndarray], width: int) -> np.ndarray:
+def _matrix(lists: list[list[int]], width: int) -> np.ndarray:
+    """Vectors as rows; what a shorter one lacks is zero."""
     out = np.zeros((len(lists), width), np.int64)
     for i, x in enumerate(lists):
         out[i, : len(x)] = x
@@ -74,6 +80,64 @@ def search(query_ids: np.ndarray, queries: np.ndarray, blocks: list[tuple[np.nda
     return out, scored
 
 
+_BLOCK = "shard int, kind int, at long, ids array<long>, v array<long>, sizes array<int>"
+
+
+def blocks(held: DataFrame, shards: int) -> DataFrame:
+    """shard, kind 0, at, ids, v (components one after the other), sizes: blocks of BLOCK_ROWS rows that follow each other by id.
+
+    Rows are ranked by range, with their place in the table to part rows of one id, so that neither sparse ids nor
+    an id of many rows changes a block's size.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for start in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(start, BLOCK_ROWS)
+                ids, v = part.column("vec_id").to_pylist(), part.column("v")
+                columns = [[(at * 0x9E3779B97F4A7C15 >> 32) % shards], [0], [at], [ids], [v.flatten().to_pylist()], [v.value_lengths().to_pylist()]]
+                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["shard", "kind", "at", "ids", "v", "sizes"])
+                at += 1
+
+    placed = held.withColumn("place", F.monotonically_increasing_id())
+    return placed.repartitionByRange(shards, "vec_id", "place").sortWithinPartitions("vec_id", "place").select("vec_id", "v").mapInArrow(run, _BLOCK)
+
+
+def _searched(width: int, k: int):
+    """Shard by shard: the blocks are held, then each chunk of queries is searched in them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, forward, ids, asked = None, [], [], []
+
+        def found() -> pa.RecordBatch:
+            out = search(np.array(ids, np.int64), _matrix(asked, width), forward, k)[0] if forward and ids else []
+            ids.clear()
+            asked.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.int64()) for j in range(3)], names=["query_id", "vec_id", "score"])
+
+        for batch in batches:
+            lists, sizes = batch.column("v"), batch.column("sizes")
+            for i, (own, kind, members) in enumerate(zip(batch.column("shard").to_pylist(), batch.column("kind").to_pylist(), batch.column("ids").to_pylist(), strict=True)):
+                if own != shard:
+                    yield found()
+                    shard, forward = own, []
+                values = lists[i].values.to_numpy(zero_copy_only=False)
+                if kind == 0:
+                    rows = np.zeros((len(members), width), np.int64)
+                    rows[np.arange(width) < sizes[i].values.to_numpy()[:, None]] = values
+                    forward.append((np.array(members, np.int64), rows))
+                else:
+                    ids.append(members[0])
+                    asked.append(values.tolist())
+                    if len(ids) >= CHUNK_QUERIES:
+                        yield found()
+        yield found()
+
+    return run
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = SCALE) -> DataFrame:
     """Returns query_id long, rank int (from 1), vec_id long, score long: each query's k best, ties to smaller ids.
 
@@ -87,25 +151,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = SCAL
     held = materialise(integer_vectors(vectors, scale))
     asked = held.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
     rows, width = held.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    chunks, shards = max(1, math.ceil(asked.count() / CHUNK_QUERIES)), max(1, math.ceil(rows / SHARD_ROWS))
-    block = F.floor(F.col("vec_id") / BLOCK_IDS)
-    # A block holds BLOCK_IDS rows at most, but for repeated ids: those are cut into further blocks.
-    twice = held.groupBy("vec_id").agg(F.count("*").alias("n")).filter(F.col("n") > 8).select("vec_id", F.lit(True).alias("often"))
-    forward = held.withColumn("block", block).join(twice, "vec_id", "left").withColumn("cut", F.when(F.col("often"), F.pmod(F.monotonically_increasing_id(), F.lit(64))).otherwise(F.lit(-1)))
-    blocks = forward.groupBy("block", "cut").agg(F.collect_list("vec_id").alias("ids"), F.collect_list("v").alias("rows"))
-    blocks = blocks.withColumn("shard", F.pmod(F.xxhash64("block", "cut"), F.lit(shards)).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    queries = asked.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = []
-        if left.num_rows and right.num_rows:
-            ids = [np.array(x, np.int64) for x in left.column("ids").to_pylist()]
-            forward = [(i, _matrix([np.array(v, np.int64) for v in m], width)) for i, m in zip(ids, left.column("rows").to_pylist(), strict=True)]
-            asking = right.column("vec_id").to_numpy()
-            found, _ = search(asking, _matrix([np.array(v, np.int64) for v in right.column("v").to_pylist()], width), forward, k)
-        return pa.table([pa.array([x[j] for x in found], pa.int64()) for j in range(3)], names=["query_id", "vec_id", "score"])
-
-    near = blocks.groupBy("chunk", "shard").cogroup(queries.groupBy("chunk", "shard")).applyInArrow(run, "query_id long, vec_id long, score long")
+    shards = max(1, math.ceil(rows / SHARD_ROWS), min(spark.sparkContext.defaultParallelism, math.ceil(rows / BLOCK_ROWS)))
+    forward = materialise(blocks(held, shards))
+    copies = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), F.col("vec_id").alias("at"), F.array("vec_id").alias("ids"), "v", F.array(F.size("v")).alias("sizes"))
+    # A shard's blocks come first, then the queries.
+    met = forward.unionByName(copies).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "at")
+    near = met.mapInArrow(_searched(width, k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
