@@ -132,43 +132,71 @@ def known(spark: SparkSession, notices: Sequence[tuple[str, str]] | None = None)
 
 
 def with_digests(licenses: DataFrame) -> DataFrame:
-    """sha, license_id (of several of a form the least), whole, and for runs anchor, n_words, n_chars; from a table (license_id, text) of any size."""
+    """sha, license_id (of several of a form the least), whole, and for runs anchor, n_chars; from a table (license_id, text) of any size."""
     text = F.coalesce(F.col("text"), F.lit(""))
     own = licenses.select("license_id", F.explode(F.array(F.struct(canonical_lines(text).alias("lines"), F.lit(True).alias("whole")), F.struct(run_lines(text).alias("lines"), F.lit(False).alias("whole")))).alias("x"))
     own = own.select("license_id", "x.whole", F.array_join("x.lines", " ").alias("form")).filter("form <> ''")
     own = own.groupBy("whole", F.sha2(F.col("form").cast("binary"), 256).alias("sha")).agg(
-        F.min("license_id").alias("license_id"), F.min(F.substring_index("form", " ", ANCHOR)).alias("anchor"), F.min(F.size(F.split("form", " "))).alias("n_words"), F.min(F.char_length("form")).alias("n_chars"))
+        F.min("license_id").alias("license_id"), F.min(F.substring_index("form", " ", ANCHOR)).alias("anchor"), F.min(F.substring_index("form", " ", -ANCHOR)).alias("tail"), F.min(F.char_length("form")).alias("n_chars"))
     return own
 
 
+_CHUNK = 512
+
+
+def _running(sizes: Column) -> Column:
+    """Running sums of an array, chunk by chunk, so that long arrays are not copied for each of their members."""
+    add = lambda acc, x: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x)
+    none = F.array().cast("array<int>")
+    count = F.ceil(F.size(sizes) / _CHUNK).cast("int")
+    chunks = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda c: F.aggregate(F.slice(sizes, (c - 1) * _CHUNK + 1, F.lit(_CHUNK)), none, add))
+    base = F.aggregate(chunks, F.array(F.lit(0)), lambda acc, xs: F.array_append(acc, F.element_at(acc, -1) + F.coalesce(F.try_element_at(xs, F.lit(-1)), F.lit(0))))
+    return F.flatten(F.zip_with(chunks, F.slice(base, 1, F.size(base) - 1), lambda xs, b: F.transform(xs, lambda x: x + b)))
+
+
 def runs(docs: DataFrame, table: DataFrame, small: bool) -> DataFrame:
-    """doc_id, license_id, n: runs of lines that are a known form and lie in no longer such run, counted."""
+    """doc_id, license_id, n: runs of lines that are a known form and lie in no longer such run, counted.
+
+    A place where a run may begin meets the known forms with that beginning, and then, by the number of its
+    characters, the line at which such a form would end, and its last words. Only what has both ends is cut from
+    the text and digested; the rows of places hold numbers, so a text's cost is in proportion to its places and to the
+    length of the forms that fit there.
+    """
     hint = F.broadcast if small else lambda df: df
-    starts = hint(table.select("anchor", "n_words", "n_chars").distinct())
+    starts = hint(table.select("anchor", "n_chars", "tail").distinct())
     anchors = [r[0] for r in table.select("anchor").distinct().limit(LISTED + 1).collect()]
-    own = docs.select("doc_id", run_lines(F.col("text")).alias("lines"))
-    heads = own.withColumn("heads", F.transform("lines", lambda x: F.substring_index(x, " ", ANCHOR)))
-    first = lambda i, n: F.substring_index(F.array_join(F.slice(F.col("heads"), i + 1, n), " "), " ", n)
-    begin = lambda x, i: first(i, ANCHOR)
-    if len(anchors) <= LISTED:
-        words = sorted({a.split(" ")[0] for a in anchors})
-        begin = lambda x, i: F.when(F.substring_index(x, " ", 1).isin(words), first(i, ANCHOR))
-    at = heads.withColumn("begins", F.transform("heads", lambda x, i: F.struct((i + 1).alias("at"), begin(x, i).alias("anchor"))))
     short = sorted({len(a.split(" ")) for a in anchors} - {ANCHOR}) if len(anchors) <= LISTED else list(range(1, ANCHOR))
-    # Forms of fewer words are told by all of their words.
-    fits = F.explode(F.filter("begins", lambda b: b["anchor"].isin(anchors) if len(anchors) <= LISTED and not short else b["anchor"].isNotNull()))
-    at = at.select("doc_id", "lines", fits.alias("b")).select("doc_id", "lines", "b.at", F.explode(F.array_distinct(F.array(F.col("b.anchor"), *[F.substring_index("b.anchor", " ", n) for n in short]))).alias("anchor"))
-    if len(anchors) <= LISTED:
-        at = at.filter(F.col("anchor").isin(anchors))
-    text = F.array_join(F.slice("lines", F.col("at"), F.col("n_words")), "\n")
-    found = at.join(starts, "anchor").withColumn("run", text)
-    found = found.filter(F.substring("run", F.col("n_chars") + 1, F.lit(1)).isin("", "\n") & (F.char_length("run") >= F.col("n_chars")))
-    found = found.withColumn("sha", F.sha2(F.translate(F.substring("run", F.lit(1), F.col("n_chars")), "\n", " ").cast("binary"), 256))
-    # Columns of one line are kept apart by the document's own digest, as several rows may share a doc_id.
-    found = found.join(hint(table.select("sha", "license_id")), "sha").select("doc_id", digest(F.col("lines")).alias("of"), "license_id", "at", (F.col("at") + F.size(F.split(F.substring("run", F.lit(1), F.col("n_chars")), "\n"))).alias("end"))
-    found = found.groupBy("doc_id", "of", "license_id", "at", "end").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("doc_id", "of").orderBy("at", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
-    return found.withColumn("reached", F.max("end").over(before)).filter("reached is null or reached < end").select("doc_id", "license_id", "n")
+    words = sorted({a.split(" ")[0] for a in anchors})
+
+    def begins(lines: Column) -> Column:
+        # Neighbours by place: a slice would copy the whole array at every line.
+        heads = F.array(F.transform(lines, lambda x: F.substring_index(x, " ", ANCHOR)))
+        first = lambda h, i: F.substring_index(F.concat_ws(" ", *[F.get(h, i + j) for j in range(ANCHOR)]), " ", ANCHOR)
+        anchor = lambda h, x, i: F.when(F.substring_index(x, " ", 1).isin(words), first(h, i)) if len(anchors) <= LISTED else first(h, i)
+        out = F.transform(heads, lambda h: F.transform(h, lambda x, i: F.struct((i + 1).alias("at"), anchor(h, x, i).alias("anchor"))))[0]
+        # Forms of fewer words are told by all of their words.
+        return F.filter(out, lambda b: b["anchor"].isin(anchors) if len(anchors) <= LISTED and not short else b["anchor"].isNotNull())
+
+    # An array of one, so that the lines are worked out once for all that look at them.
+    own = docs.select("doc_id", F.transform(F.array(run_lines(F.col("text"))), lambda ls: F.struct(ls.alias("lines"), begins(ls).alias("begins")))[0].alias("x"))
+    at = own.filter(F.size("x.begins") > 0).select("doc_id", "x.*")
+    # Texts with a place where a run may begin, numbered once they are written; a line counts its characters and a space.
+    held = materialise(at.select("doc_id", "lines", "begins", F.transform("lines", lambda x: F.char_length(x) + 1).alias("sizes"))).withColumn("row", F.monotonically_increasing_id())
+    tail = F.transform("lines", lambda x, i: F.substring_index(F.concat_ws(" ", *[F.when(i >= j, F.get(F.col("lines"), i - j)) for j in reversed(range(ANCHOR))]), " ", -ANCHOR))
+    ends = held.select("row", F.posexplode(F.arrays_zip(_running(F.col("sizes")).alias("reached"), tail.alias("tail"))).alias("line", "e"))
+    ends = materialise(ends.select("row", (F.col("line") + 1).alias("line"), "e.reached", "e.tail"))
+    places = held.select("row", F.explode("begins").alias("b")).select("row", "b.at", F.explode(F.array_distinct(F.array(F.col("b.anchor"), *[F.substring_index("b.anchor", " ", n) for n in short]))).alias("anchor"))
+    places = places.join(starts, "anchor").select("row", "at", "n_chars", F.col("tail").alias("form_tail")).distinct()
+    # What is reached before a place: the end of the line before it.
+    before = ends.select("row", (F.col("line") + 1).alias("at"), F.col("reached").alias("passed"))
+    places = places.join(before, ["row", "at"], "left").select("row", "at", "form_tail", (F.coalesce("passed", F.lit(0)) + F.col("n_chars") + 1).alias("reached"))
+    same_tail = F.expr("substring_index(tail, ' ', -size(split(form_tail, ' '))) = form_tail")
+    spans = places.join(ends, ["row", "reached"]).filter(same_tail).groupBy("row").agg(F.collect_set(F.struct("at", F.col("line").alias("last"))).alias("spans"))
+    cut = spans.join(held.select("row", "doc_id", "lines"), "row")
+    cut = cut.select("row", "doc_id", F.explode(F.transform("spans", lambda s: F.struct(s["at"].alias("at"), (s["last"] + 1).alias("end"), digest(F.slice(F.col("lines"), s["at"], s["last"] - s["at"] + 1)).alias("sha")))).alias("s"))
+    found = cut.select("row", "doc_id", "s.*").join(hint(table.select("sha", "license_id")), "sha")
+    inside = Window.partitionBy("row").orderBy("at", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    return found.withColumn("before", F.max("end").over(inside)).filter("before is null or before < end").select("doc_id", "license_id", F.lit(1).alias("n"))
 
 
 def scan(docs: DataFrame, licenses: DataFrame | None = None) -> DataFrame:
@@ -177,8 +205,9 @@ def scan(docs: DataFrame, licenses: DataFrame | None = None) -> DataFrame:
     A row for each row of ``docs``. A null text is an empty one; texts without canonical lines have no licence.
     n_notices counts the runs of whole lines that are a known form, notices their distinct ids; a run within a
     longer one does not count again. Rows of one doc_id
-    (null is one too) share their notices, counted over all of them. Columns other than doc_id and text are
-    not looked at; an empty table gives an empty result.
+    (null is one too) share their notices, counted over all of them. A text's cost grows with its length, however
+    often a known form begins in it. Columns other than doc_id and text are not looked at; an empty table gives an
+    empty result.
     """
     spark = prepare(docs.sparkSession)
     table = materialise(with_digests(licenses) if licenses is not None else known(spark))

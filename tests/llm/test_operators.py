@@ -498,3 +498,16 @@ def test_blocks_are_moved_once(spark, monkeypatch):
     assert sorted(i for _, ids, _ in found for i in ids) == sorted(i for i, _ in vecs)
     assert all(len(ids) <= 16 and size == 2 * len(ids) and 0 <= shard < 5 for shard, ids, size in found)
     assert len(found) <= 600 / 16 + 5 and len({s for s, *_ in found}) > 1
+
+
+def test_license_cost_is_linear(spark):
+    """A known form that begins on every line: twice the lines take about twice the time."""
+    import time
+
+    took = []
+    for n in (4000, 4000, 16000):
+        start = time.monotonic()
+        docs = spark.createDataFrame([(1, "Everyone is permitted to copy\n" * n)], "doc_id long, text string")
+        assert rows(licenses.scan(docs))[0][3] == 0
+        took.append(time.monotonic() - start)
+    assert took[2] < 4 * took[1] + 20
