@@ -147,8 +147,11 @@ def falsifiers(
 ) -> DataFrame:
     """Predicates F1 to F6 per trial, the decision minimum, and the decisive rejection.
 
-    The last is null where the second comparator was not measured: absence is not failure.
+    The last is null where the second comparator was not measured: absence is not failure. Any
+    other number that is missing is: the trial is UNEVALUATED and does not pass.
     """
+    numbers = ("estimate", "lower", "upper", "strategy_drawdown", "benchmark_drawdown", "adverse", "delayed", "without_best", "decisions")
+    missing = F.array_contains(F.array(*[F.col(n).isNull() for n in numbers]), True)
     est = F.col("estimate")
     excludes = ((F.col("lower") > 0) & (F.col("upper") > 0)) | ((F.col("lower") < 0) & (F.col("upper") < 0))
     f1 = (est < threshold) | ~excludes
@@ -160,6 +163,7 @@ def falsifiers(
         (_sign(F.col("without_best")) != _sign(est), "F4"),
         (F.col("agreement") < min_agreement, "F5"),
         (F.col("decisions") < min_decisions, "MINIMUM_DECISIONS"),
+        (missing, "UNEVALUATED"),
     )
     beats = (est >= threshold) & ~f1
     decisive = F.when(F.col("secondary").isNotNull(), ~beats & ~(F.col("secondary") > 0))

@@ -67,7 +67,7 @@ SQL_VIEWS["fund_lines"] = """
 select p_brand as fund, p_partkey as line, concat(' ', p_name, ' ') as symbol, p_partkey as entity_id, p_retailprice / sum(p_retailprice) over (partition by p_brand) as weight from part"""
 SQL_VIEWS["line_themes"] = """
 select fund, line, concat('T', length(p_name) % 4) as theme from fund_lines join part on p_partkey = line
-union select fund, line, concat('T-', p_type) from fund_lines join part on p_partkey = line where p_size > 40"""
+union select fund, line, concat('T-', p_type) from fund_lines join part on p_partkey = line"""
 
 
 def fund_lines(t):
@@ -80,7 +80,7 @@ def fund_lines(t):
 
 def line_themes(t):
     names = t.part.select(F.col("p_name").alias("symbol"), F.concat(F.lit("T"), F.length("p_name") % 4).alias("theme")).distinct()
-    ents = t.part.where("p_size > 40").select(F.col("p_partkey").alias("entity_id"), F.concat(F.lit("T-"), "p_type").alias("theme"))
+    ents = t.part.select(F.col("p_partkey").alias("entity_id"), F.concat(F.lit("T-"), "p_type").alias("theme"))
     return ct.theme_match(fund_lines(t), names, ents)
 
 
@@ -166,7 +166,10 @@ select trial, decision, entity_id, (shares - 2) / 120.0 as weight, n % 7 / 20.0
 from cand_rows where held"""
 SQL_VIEWS["book_heads"] = """
 select trial, decision, 1 - sum(greatest(weight, 0)) as cash_weight, case when decision % 5 = 0 then 'HOLD_ONLY' else 'NORMAL' end as halt_state from book_lines group by 1, 2"""
-SQL_VIEWS["line_sectors"] = "select distinct p_brand as entity_id, concat('sector_', p_type) as sector from part where p_size > 46"
+# A brand has the sector of its largest part; one sector is left unclassified.
+SQL_VIEWS["line_sectors"] = """
+select * from (select p_brand as entity_id, nullif(concat('sector_', arg_max(p_type, struct_pack(a := p_size, b := -p_partkey))), 'sector_ECONOMY') as sector from part group by 1)
+where sector is not null"""
 SQL_VIEWS["risk_rows"] = """
 select trial, decision, unnest(list_filter([case when cast(weight as decimal(20, 12)) < 0 then 'NEGATIVE_WEIGHT' end, case when cast(weight as decimal(20, 12)) > 0.3 then 'SINGLE_LINE_WEIGHT' end], lambda x: x is not null)) as code, entity_id as subject from book_lines
 union all select trial, decision, unnest(list_filter([case when n > 9 then 'MAX_OPEN_POSITIONS' end, case when g > 1.2 then 'GROSS_EXPOSURE' end, case when g > 1.1 then 'NET_EXPOSURE' end,
@@ -203,7 +206,8 @@ def book_heads(lines):
 
 def risk_rows(t, lines):
     ents = t.part.select(F.col("p_brand").alias("entity_id")).distinct()
-    sectors = t.part.where("p_size > 46").select(F.col("p_brand").alias("entity_id"), F.concat(F.lit("sector_"), "p_type").alias("sector")).distinct()
+    largest = F.max_by("p_type", F.struct("p_size", -F.col("p_partkey")))
+    sectors = t.part.groupBy(F.col("p_brand").alias("entity_id")).agg(F.nullif(F.concat(F.lit("sector_"), largest), F.lit("sector_ECONOMY")).alias("sector")).where("sector is not null")
     return ct.risk_limits(
         lines, book_heads(lines), ents.where(brand_no("entity_id") % 9 != 0), sectors, clusters(t), max_line=0.3, max_positions=9, max_gross=1.2,
         max_net=1.1, min_cash=0.02, max_sector=0.6, max_cluster=0.5,

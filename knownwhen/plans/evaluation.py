@@ -126,8 +126,8 @@ def _(t):
 
 
 SQL_VIEWS["metric_rows"] = """
-select o_custkey as experiment, (k % 2001 - 1000) / 1000.0 as estimate, (k % 2001 - 1000) / 1000.0 - 0.3 as lower, (k % 2001 - 1000) / 1000.0 + 0.1 + (k % 3) as upper,
-  -(k % 50) / 100.0 as strategy_drawdown, -(k % 41) / 100.0 as benchmark_drawdown, (k % 2001 - 1000) / 1000.0 - (k % 7) / 10.0 as adverse,
+select o_custkey as experiment, (k % 2001 - 1000) / 1000.0 as estimate, case when k % 23 <> 0 then (k % 2001 - 1000) / 1000.0 - 0.3 end as lower, (k % 2001 - 1000) / 1000.0 + 0.1 + (k % 3) as upper,
+  -(k % 50) / 100.0 as strategy_drawdown, -(k % 41) / 100.0 as benchmark_drawdown, case when k % 29 <> 0 then (k % 2001 - 1000) / 1000.0 - (k % 7) / 10.0 end as adverse,
   (k % 2001 - 1000) / 1000.0 - (k % 5) / 10.0 as delayed, (k % 2001 - 1000) / 1000.0 - (k % 11) / 10.0 as without_best, n * 10 as decisions,
   case when o_custkey % 4 <> 0 then (k % 9 - 4) / 10.0 end as secondary, k, n
 from (select o_custkey, sum(cast(round(o_totalprice * 100) as bigint)) as k, count(*) as n from orders group by 1)"""
@@ -143,8 +143,8 @@ def metric_rows(t):
     k = F.col("k")
     est = (k % 2001 - 1000) / 1000.0
     return g.select(
-        "experiment", est.alias("estimate"), (est - 0.3).alias("lower"), (est + 0.1 + k % 3).alias("upper"),
-        (-(k % 50) / 100.0).alias("strategy_drawdown"), (-(k % 41) / 100.0).alias("benchmark_drawdown"), (est - k % 7 / 10.0).alias("adverse"),
+        "experiment", est.alias("estimate"), F.when(k % 23 != 0, est - 0.3).alias("lower"), (est + 0.1 + k % 3).alias("upper"),
+        (-(k % 50) / 100.0).alias("strategy_drawdown"), (-(k % 41) / 100.0).alias("benchmark_drawdown"), F.when(k % 29 != 0, est - k % 7 / 10.0).alias("adverse"),
         (est - k % 5 / 10.0).alias("delayed"), (est - k % 11 / 10.0).alias("without_best"), (F.col("n") * 10).alias("decisions"),
         F.when(F.col("experiment") % 4 != 0, (k % 9 - 4) / 10.0).alias("secondary"), "k", "n",
     )
@@ -156,7 +156,7 @@ def metric_rows(t):
          from metric_rows m join metric_agreement using (experiment)),
        y as (select *, concat_ws(',', case when f1 then 'F1' end, case when abs(strategy_drawdown) > abs(benchmark_drawdown) * 0.75 then 'F2' end,
          case when sign(adverse) <> sign(estimate) or sign(delayed) <> sign(estimate) then 'F3' end, case when sign(without_best) <> sign(estimate) then 'F4' end,
-         case when agreement < 0.4 then 'F5' end, case when decisions < 60 then 'MINIMUM_DECISIONS' end) as failed from x)
+         case when agreement < 0.4 then 'F5' end, case when decisions < 60 then 'MINIMUM_DECISIONS' end, case when lower is null or adverse is null then 'UNEVALUATED' end) as failed from x)
        select experiment, failed, agreement, failed = '' as passes, case when secondary is not null then f1 and not secondary > 0 end as decisive_rejection from y""",
 )
 def _(t):

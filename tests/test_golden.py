@@ -456,3 +456,14 @@ def test_features_see_only_visible_versions(spark):
         assert own[3] == 0
         for got, want in zip((feats, aligned, lineage), own, strict=False):
             assert [r for r in got if r[0] == d] == want
+
+
+def test_trials_without_numbers_do_not_pass(spark):
+    names = "estimate lower upper strategy_drawdown benchmark_drawdown adverse delayed without_best".split()
+    good = [0.5, 0.2, 0.9, -0.1, -0.4, 0.4, 0.4, 0.3]
+    rows = [("good", *good), ("none", *[None] * 8), *[(n, *[None if n == m else x for m, x in zip(names, good)]) for n in names]]
+    m = spark.createDataFrame([(*r, 100, 0.1, 9, 10) for r in rows], "trial string, " + ", ".join(f"{n} double" for n in names) + ", decisions long, secondary double, agreeing long, grid_size long")
+    out = evaluation.falsifiers(m, threshold=0.1, drawdown_ratio=0.75, min_agreement=0.4, min_decisions=60)
+    got = {r["trial"]: (r["passes"], r["failed"]) for r in out.collect()}
+    assert got.pop("good") == (True, [])
+    assert all(not passes and "UNEVALUATED" in failed for passes, failed in got.values())
