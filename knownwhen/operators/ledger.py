@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from knownwhen.functions.columns import reasons
 from knownwhen.operators.scan import running
+from knownwhen.session import materialise
 
 # Order states a state may move to.
 TRANSITIONS = {
@@ -85,13 +86,119 @@ def daily_seals(events: DataFrame) -> DataFrame:
 
     The root is one hash over the whole date, which is sequential by definition. Only the
     hashes are shuffled, Spark sorts them with spilling, and each date is streamed through
-    the digest batch by batch: no date is ever held in memory.
+    the digest batch by batch: no date is ever held in memory. A date is bound to one core;
+    ``merkle_seals`` spreads it.
     """
     rows = events.select(F.col("at").cast("date").alias("day"), "seq", "hash")
     rows = rows.repartition("day").sortWithinPartitions("day", "seq")
     return rows.mapInPandas(_seal_days, "day date, root string, first_seq bigint, last_seq bigint, events bigint")
 
 
+#: Children of a node of the seal tree (a power of two), and its levels: 64**6 sequence numbers before the topmost node of a date is wider.
+FANOUT, DEPTH = 64, 6
+
+
+def _leaf(seq: Column, digest: Column) -> Column:
+    return F.sha2(F.concat_ws("|", F.lit("0"), seq.cast("string"), F.coalesce(digest, F.lit(""))), 256)
+
+
+def _node(children: Column) -> Column:
+    """Hash over a node's children in order; an only child stands for itself, so the root does not depend on the depth."""
+    text = F.array_join(F.transform(children, lambda x: F.concat(x["block"].cast("string"), F.lit(":"), x["node"])), ",")
+    return F.when(F.size(children) == 1, children[0]["node"]).otherwise(F.sha2(F.concat(F.lit("1"), text), 256))
+
+
+def _level(below: DataFrame, level: int) -> DataFrame:
+    """Nodes of one level. A group holds ``FANOUT`` children at most, however many events a date has."""
+    block = F.lit(0).cast("bigint") if level == DEPTH else F.shiftright("block", FANOUT.bit_length() - 1)
+    kids = below.select("day", block.alias("_up"), F.struct("block", "node").alias("_kid"), "first_seq", "last_seq", "events")
+    out = kids.groupBy("day", F.col("_up").alias("block")).agg(
+        F.array_sort(F.collect_list("_kid")).alias("children"),
+        F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq"), F.sum("events").alias("events"),
+    )
+    return out.withColumn("node", _node(F.col("children")))
+
+
+def _leaves(events: DataFrame) -> DataFrame:
+    return events.select(
+        F.col("at").cast("date").alias("day"), F.col("seq").alias("block"), _leaf(F.col("seq"), F.col("hash")).alias("node"),
+        F.col("seq").alias("first_seq"), F.col("seq").alias("last_seq"), F.lit(1).cast("bigint").alias("events"),
+    )
+
+
+def merkle_seals(events: DataFrame) -> DataFrame:
+    """Root of a hash tree over each UTC date, with its first and last sequence number.
+
+    Unlike ``daily_seals``, whose root is one hash over the date and so bound to one core, the blocks of a date are hashed
+    by many tasks; each level is a grouping of a 64th of the rows below. ``seq`` is unique. Neither the order of the rows
+    nor their partitions matter. No events, no seals; a missing hash is an empty one.
+    """
+    below = _leaves(events)
+    for level in range(1, DEPTH + 1):
+        below = _level(below, level)
+    return below.select("day", F.col("node").alias("root"), "first_seq", "last_seq", "events")
+
+
+def merkle_nodes(events: DataFrame) -> DataFrame:
+    """All nodes of the trees: day, level (1 above the events), block, node, children, first_seq, last_seq, events.
+
+    The lowest level holds every event's leaf and is written once; those above are built from its nodes alone.
+    """
+    low = materialise(_level(_leaves(events), 1))
+    levels, below = [low.withColumn("level", F.lit(1))], low
+    for level in range(2, DEPTH + 1):
+        below = _level(below, level)
+        levels.append(below.withColumn("level", F.lit(level)))
+    out = levels[0]
+    for x in levels[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def inclusion_proofs(nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """For each asked (day, seq) the children on its way to the root, lowest level first; no row for an event the tree lacks.
+
+    A step names the child (``child``) that the level below must hash to. A proof holds ``FANOUT`` hashes a level, not the date.
+    """
+    at = [F.shiftright("seq", k * (FANOUT.bit_length() - 1)) for k in range(DEPTH)] + [F.lit(0).cast("bigint")]
+    steps = F.array(*[F.struct(F.lit(k).alias("level"), at[k].alias("block"), at[k - 1].alias("child")) for k in range(1, DEPTH + 1)])
+    path = asked.select("day", "seq").distinct().select("day", "seq", F.inline(steps))
+    hit = path.join(nodes.select("day", "level", "block", "children"), ["day", "level", "block"])
+    out = hit.groupBy("day", "seq").agg(F.array_sort(F.collect_list(F.struct("level", "child", "children"))).alias("path"))
+    first = F.col("path")[0]["children"]
+    return out.where((F.size("path") == DEPTH) & F.exists(first, lambda x: x["block"] == F.col("seq")))
+
+
+def verify_proofs(proofs: DataFrame, events: DataFrame, roots: DataFrame) -> DataFrame:
+    """Whether each proof leads from the event's own hash to the root of its date: day, seq, path, valid.
+
+    Every step must hold the hash that the step below came to; the last must come to the root. A date
+    without a root, or an event that is no longer held, is not valid.
+    """
+    own = events.select("seq", F.col("at").cast("date").alias("day"), _leaf(F.col("seq"), F.col("hash")).alias("_leaf"))
+    x = proofs.join(own, ["day", "seq"], "left").join(roots.select("day", F.col("root").alias("_root")), "day", "left")
+
+    def step(acc, p):
+        return F.when(F.exists(p["children"], lambda k: (k["block"] == p["child"]) & (k["node"] == acc)), _node(p["children"]))
+
+    reached = F.aggregate("path", F.col("_leaf"), step)
+    return x.withColumn("valid", F.coalesce(reached == F.col("_root"), F.lit(False))).drop("_leaf", "_root")
+
+
+def damaged_blocks(nodes: DataFrame, stored: DataFrame) -> DataFrame:
+    """Lowest blocks of sequence numbers whose hash differs from the stored tree's: CHANGED, MISSING (stored alone) or ADDED.
+
+    Only hashes of blocks meet, a 64th of the events; intact blocks leave no row.
+    """
+    cols = ["day", "block", "node", "first_seq", "last_seq"]
+    a, b = (x.where("level = 1").select(*cols) for x in (nodes, stored))
+    both = a.alias("a").join(b.alias("b"), F.col("a.day").eqNullSafe(F.col("b.day")) & (F.col("a.block") == F.col("b.block")), "full")
+    status = F.when(F.col("a.node").isNull(), "MISSING").when(F.col("b.node").isNull(), "ADDED").when(F.col("a.node") != F.col("b.node"), "CHANGED")
+    pick = [F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in ("day", "block")]
+    span = [F.least("a.first_seq", "b.first_seq").alias("first_seq"), F.greatest("a.last_seq", "b.last_seq").alias("last_seq")]
+    return both.select(*pick, *span, status.alias("status")).where("status is not null")
+
+
 def seal_mismatch(seals: DataFrame, stored: DataFrame) -> DataFrame:
     """Dates whose recomputed seal differs from the stored one or has no stored one."""
     s = stored.select("day", F.col("root").alias("_root"), F.col("last_seq").alias("_last"))

@@ -3,7 +3,7 @@
 import importlib
 
 FAMILIES = (
-    "store landed dates series identity agreement feature_tables selection execution measures evaluation controls feeds"
+    "store landed dates series identity agreement feature_tables selection execution measures evaluation controls insiders feeds"
 ).split()
 
 

@@ -608,6 +608,58 @@ def _(t):
     return lg.unsealed_dates(lg.daily_seals(ledger_events(t)), stored_seals(t), F.lit("2024-01-26").cast("date"))
 
 
+def tree_views(name, rows):
+    """SQL views of the hash tree over ``rows`` (day, seq, hash), one for each level."""
+    SQL_VIEWS[f"{name}0"] = f"""
+select day, seq as block, seq as first_seq, seq as last_seq, 1 as events, 1 as n, sha256(concat_ws('|', '0', seq, hash)) as node from ({rows})"""
+    for k in range(1, lg.DEPTH + 1):
+        up = "0" if k == lg.DEPTH else f"block // {lg.FANOUT}"
+        SQL_VIEWS[f"{name}{k}"] = f"""
+select day, {up} as block, min(first_seq) as first_seq, max(last_seq) as last_seq, sum(events) as events, count(*) as n,
+  case when count(*) = 1 then min(node) else sha256(concat('1', string_agg(concat(block, ':', node), ',' order by block))) end as node
+from {name}{k - 1} group by 1, 2"""
+
+
+tree_views("tree", "select cast(ts as date) as day, event_id as seq, sha256(concat('h', event_id)) as hash from events")
+tree_views("kept_tree", "select cast(ts as date) as day, event_id as seq, case when event_id % 997 = 7 then 'y' else sha256(concat('h', event_id)) end as hash from events where event_id // 64 % 89 <> 5")
+
+
+@query("merkle_seals", "day:d root:s first_seq:i last_seq:i events:i", f"select day, node as root, first_seq, last_seq, events from tree{lg.DEPTH}")
+def _(t):
+    return lg.merkle_seals(ledger_events(t))
+
+
+@query(
+    "merkle_damage", "day:d block:i first_seq:i last_seq:i status:s",
+    """select coalesce(a.day, b.day) as day, coalesce(a.block, b.block) as block, least(a.first_seq, b.first_seq) as first_seq, greatest(a.last_seq, b.last_seq) as last_seq,
+         case when a.node is null then 'MISSING' when b.node is null then 'ADDED' else 'CHANGED' end as status
+       from kept_tree1 a full join (select * from tree1 where block % 97 <> 3) b on a.day = b.day and a.block = b.block where a.node is distinct from b.node""",
+)
+def _(t):
+    """Against the stored tree: some hashes were altered later, some blocks lost, some never stored."""
+    n, e = F.col("seq"), ledger_events(t)
+    now = e.where(F.floor(n / 64) % 89 != 5).withColumn("hash", F.when(n % 997 == 7, "y").otherwise(F.col("hash")))
+    return lg.damaged_blocks(lg.merkle_nodes(now), lg.merkle_nodes(e).where("block % 97 != 3"))
+
+
+@query(
+    "merkle_proofs", "day:d seq:i widths:s nodes:s valid:b",
+    f"""with a as (select day, unnest([min(seq), max(seq)]) as seq from (select cast(ts as date) as day, event_id as seq from events) group by 1),
+         p as (select distinct day, seq from a)
+       select p.day, p.seq, concat_ws(',', {", ".join(f"t{k}.n" for k in range(1, lg.DEPTH + 1))}) as widths, concat_ws(',', {", ".join(f"t{k}.node" for k in range(1, lg.DEPTH + 1))}) as nodes, day(p.day) % 7 <> 1 as valid
+       from p {" ".join(f"join tree{k} t{k} on t{k}.day = p.day and t{k}.block = {'0' if k == lg.DEPTH else f'p.seq // {lg.FANOUT**k}'}" for k in range(1, lg.DEPTH + 1))}""",
+)
+def _(t):
+    """The first and last event of each date, proved against stored roots of which one in seven was altered."""
+    e = ledger_events(t)
+    nodes = lg.merkle_nodes(e)
+    roots = nodes.where(F.col("level") == lg.DEPTH).select("day", "first_seq", "last_seq", F.when(F.dayofmonth("day") % 7 == 1, F.reverse("node")).otherwise(F.col("node")).alias("root"))
+    asked = roots.select("day", F.explode(F.array("first_seq", "last_seq")).alias("seq"))
+    out = lg.verify_proofs(lg.inclusion_proofs(nodes, asked), e, roots)
+    widths = F.transform("path", lambda p: F.size(p["children"]).cast("string"))
+    return out.select("day", "seq", F.array_join(widths, ",").alias("widths"), F.array_join(F.transform("path", lambda p: lg._node(p["children"])), ",").alias("nodes"), "valid")
+
+
 _STATES = ("SUBMITTING", "ACKNOWLEDGED", "PARTIALLY_FILLED", "FILLED", "UNKNOWN", "CLOSED")
 SQL_VIEWS["order_log"] = f"""
 select user_id as order_id, event_id as seq, case when event_id % 19 = 0 then concat('d', event_id // 38) else concat('e', event_id) end as event_id,

@@ -25,12 +25,18 @@ select *, coalesce((select product(ratio) from actions a where a.entity_id = f.e
 from fills f"""
 SQL_VIEWS["lots"] = """
 select *, sum(qty / f) over (partition by account, entity_id, side order by session, fill_id rows unbounded preceding) as until from fills_f"""
+SQL_VIEWS["lot_marks"] = """
+select account, entity_id, pos, lead(pos) over (partition by account, entity_id order by pos) as next_pos
+from (select distinct account, entity_id, until - qty / f as pos from lots)"""
+SQL_VIEWS["bought"] = "select *, until - qty / f as start from lots where side = 'BUY'"
+SQL_VIEWS["sold"] = "select *, until - qty / f as start from lots where side = 'SELL'"
 SQL_VIEWS["fifo"] = """
-select b.account, b.entity_id, b.fill_id as buy_id, s.fill_id as sell_id, b.session as opened, s.session as closed,
-  least(b.until, s.until) - greatest(b.until - b.qty / b.f, s.until - s.qty / s.f) as units,
+select m.account, m.entity_id, b.fill_id as buy_id, s.fill_id as sell_id, b.session as opened, s.session as closed,
+  least(b.until, s.until, coalesce(next_pos, b.until)) - pos as units,
   (b.price * b.qty + b.fee) / (b.qty / b.f) as unit_cost, (s.price * s.qty - s.fee) / (s.qty / s.f) as unit_net
-from lots b join lots s on b.account = s.account and b.entity_id = s.entity_id and b.side = 'BUY' and s.side = 'SELL'
-  and least(b.until, s.until) > greatest(b.until - b.qty / b.f, s.until - s.qty / s.f)"""
+from lot_marks m asof join bought b on b.account = m.account and b.entity_id = m.entity_id and b.start <= m.pos
+  asof join sold s on s.account = m.account and s.entity_id = m.entity_id and s.start <= m.pos
+where least(b.until, s.until) > pos"""
 SQL_VIEWS["position_rows"] = """
 select account, entity_id, session, case when ended then 0 else q * f end as quantity,
   lead(session) over (partition by account, entity_id order by session) as next_session from (
