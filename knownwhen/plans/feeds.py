@@ -6,7 +6,7 @@ from knownwhen.plans.catalog import query
 from knownwhen.plans.controls import _LEGAL, fault_rows, order_log
 from knownwhen.plans.store import stored
 from knownwhen.plans.views import SQL_VIEWS
-from knownwhen.streaming import jobs
+from knownwhen.streaming import jobs, keyed
 
 
 def _events(t):
@@ -73,6 +73,22 @@ def _(t):
     return jobs.drain(jobs.stream_halt(stream), f"{base}/out", f"{base}/cp")
 
 
+@query(
+    "stream_silence", "source_id:s kind:s told_at:t last_seen:t",
+    """with g as (select user_id, ts, case when ts - lag(ts) over w < interval 12 hour then 0 else 1 end as new from events window w as (partition by user_id order by ts)),
+         s as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as k from g),
+         z as (select cast(user_id as varchar) as source_id, min(ts) as first_seen, max(ts) as last_seen from s group by user_id, k),
+         b as (select *, lag(last_seen) over (partition by source_id order by first_seen) as before from z),
+         m as (select date_trunc('milliseconds', max(ts) - interval 1 hour) as mark from events)
+       select source_id, 'SILENT' as kind, last_seen + interval 12 hour as told_at, last_seen from b, m where last_seen + interval 12 hour <= mark
+       union all select source_id, 'BACK', first_seen, before from b, m where before is not null and first_seen <= mark""",
+)
+def _(t):
+    a = _events(t).select(F.col("user_id").alias("source_id"), "ts")
+    base = jobs.shared_folder(t.spark)
+    return jobs.drain(keyed.stream_silence(a, "12 hours", "1 hour"), f"{base}/out", f"{base}/cp")
+
+
 @query(
     "stream_order_audit", "seq:i from_state:s issues:s",
     f"""with x as (select *, lag(state) over w as from_state, max(cum_qty) over (w rows between unbounded preceding and 1 preceding) as mx from order_log window w as (partition by order_id order by seq)),
@@ -80,14 +96,16 @@ def _(t):
        select * from (select seq, from_state, concat_ws(',', case when from_state is not null and not ok then 'ILLEGAL_TRANSITION' end,
          case when ok and from_state = 'UNKNOWN' and not starts_with(reason, 'reconciliation:') then 'RECONCILE_ONLY' end,
          case when ok and from_state = 'FILLED' and state = 'CLOSED' and side <> 'SELL' then 'EXIT_ONLY' end,
-         case when state in ('PARTIALLY_FILLED', 'FILLED') and mx > 0 and cum_qty <= mx then 'STALE_FILL' end) as issues from y) where issues <> ''""",
+         case when state in ('PARTIALLY_FILLED', 'FILLED') and mx > 0 and cum_qty <= mx then 'STALE_FILL' end) as issues from y
+         union all select seq, state, 'DUPLICATE_EVENT' from order_log where seq % 19 = 0)
+       where issues <> '' and seq + 600 <= (select max(seq) from order_log)""",
 )
 def _(t):
-    """Every nineteenth event is delivered twice, as brokers do; the repeat must not count."""
+    """Every nineteenth event is delivered twice, as brokers do, and labelled; events wait for the watermark, ten minutes behind."""
     log = order_log(type("S", (), {"events": _events(t)}))
     n = F.col("seq")
     twice = F.when(n % 19 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
     log = log.withColumn("event_id", F.concat(F.lit("e"), n)).withColumn("copy", F.explode(twice)).drop("copy")
     base = jobs.shared_folder(t.spark)
-    audit = jobs.stream_order_audit(log.withColumn("at", F.timestamp_seconds(n + 86400)), "30 days")
+    audit = keyed.stream_order_audit(log.withColumn("at", F.timestamp_seconds(n + 86400)), "10 minutes")
     return jobs.drain(audit, f"{base}/out", f"{base}/cp")

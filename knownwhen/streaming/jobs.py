@@ -16,7 +16,6 @@ from pyspark.sql.streaming.state import GroupState
 
 from knownwhen import session
 from knownwhen.operators import pit
-from knownwhen.operators.ledger import TRANSITIONS
 
 
 def read_table(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -158,38 +157,6 @@ def stream_halt(faults: DataFrame) -> DataFrame:
     return rows.groupBy("arm").applyInPandasWithState(_halt_step, schema, "rank int", "append", "NoTimeout")
 
 
-def _order_step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Issues of one order's arriving events; keeps its last state and greatest cumulative fill."""
-    last, cum = state.get if state.exists else (None, 0)
-    out = []
-    for r in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
-        why = []
-        if last is not None and r.state not in TRANSITIONS.get(last, ()):
-            why.append("ILLEGAL_TRANSITION")
-        elif last == "UNKNOWN" and not str(r.reason).startswith("reconciliation:"):
-            why.append("RECONCILE_ONLY")
-        elif last == "FILLED" and r.state == "CLOSED" and r.side != "SELL":
-            why.append("EXIT_ONLY")
-        if r.state in ("PARTIALLY_FILLED", "FILLED") and cum > 0 and r.cum_qty <= cum:
-            why.append("STALE_FILL")
-        if why:
-            out.append((int(r.seq), last, ",".join(why)))
-        last, cum = r.state, max(cum, int(r.cum_qty))
-    state.update((last, int(cum)))
-    yield pd.DataFrame(out, columns=["seq", "from_state", "issues"])
-
-
-def stream_order_audit(events: DataFrame, lateness: str) -> DataFrame:
-    """The order-log audit on arriving events; repeated broker events are dropped within the watermark.
-
-    Events of one order must arrive in order across batches, as the broker sends them.
-    """
-    once = events.withWatermark("at", lateness).dropDuplicatesWithinWatermark(["event_id"])
-    rows = once.select("order_id", "seq", "state", "side", "reason", "cum_qty")
-    schema = "seq bigint, from_state string, issues string"
-    return rows.groupBy("order_id").applyInPandasWithState(_order_step, schema, "state string, cum bigint", "append", "NoTimeout")
-
-
 def shared_folder(spark: SparkSession) -> str:
     """A new folder for stream output and checkpoints below the one that all executors see."""
     return f"{session.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
