@@ -10,11 +10,14 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from knownwhen import session
+from knownwhen.functions.columns import key_text
 from knownwhen.operators import pit
 
 
@@ -35,27 +38,48 @@ def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") ->
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
-def append_batch(batch: DataFrame, table: str, rejected: str, batch_id: int = 0) -> None:
+STORE_PARTS = 64
+
+
+def _part(parts: int):
+    return F.pmod(F.xxhash64(key_text(*pit.IDENTITY)), F.lit(parts)).cast("int").alias("part")
+
+
+def append_batch(batch: DataFrame, table: str, rejected: str, batch_id: int = 0, parts: int = STORE_PARTS) -> None:
     """One micro-batch of the append rules: refuse, deduplicate, flag conflicts, append.
 
-    Only identities of the batch are looked up in the table, by semi join. A retried batch
-    finds its own rows and appends nothing; its refused rows replace those of the first try.
-    The batch is read several times, so it is kept for the length of the call.
+    The store is partitioned by a hash of the identity, ``part``; only the parts that the batch's identities fall
+    into are listed and read, and of them the identities of the batch, by semi join. ``parts`` stays the same for the
+    life of a store. A retried batch finds its own rows and appends nothing; its refused rows replace those of the
+    first try. The batch is read several times, so it is kept for the length of the call.
     """
     spark = batch.sparkSession
     batch = batch.persist()
-    checked = pit.rejections(batch.withColumn("value_hash", pit.value_hash(F.col("value"), F.col("raw_content_hash"), F.col("quality_flags"))))
-    good, bad = checked.where(F.size("rejected") == 0).drop("rejected"), checked.where(F.size("rejected") > 0)
     try:
-        stored = spark.read.parquet(table)
-    except Exception as e:  # the first batch finds no table
-        if "PATH_NOT_FOUND" not in str(e):
+        checked = pit.rejections(batch.withColumn("value_hash", pit.value_hash(F.col("value"), F.col("raw_content_hash"), F.col("quality_flags"))))
+        good, bad = checked.where(F.size("rejected") == 0).drop("rejected"), checked.where(F.size("rejected") > 0)
+        touched = [r["part"] for r in good.select(_part(parts)).distinct().collect()]  # at most ``parts`` numbers
+        stored = open_store(spark, table, good.schema).where(F.col("part").isin(touched)).drop("part")
+        out = pit.append_outcome(good, stored).where(F.col("outcome") != "deduplicated").drop("outcome")
+        out.select(*good.columns, _part(parts)).hint("rebalance", "part").write.mode("append").partitionBy("part").parquet(table)
+        bad.write.mode("overwrite").parquet(f"{rejected}/batch={batch_id}")
+    finally:
+        batch.unpersist()
+
+
+def open_store(spark: SparkSession, table: str, schema: StructType) -> DataFrame:
+    """The store that append_batch writes, without opening files for their schema.
+
+    Before the first batch it is laid out as an empty part, -1, so that a store without rows can be read too.
+    """
+    whole = StructType([*schema, StructField("part", IntegerType())])
+    try:
+        return spark.read.schema(whole).parquet(table)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        stored = spark.createDataFrame([], good.schema)
-    out = pit.append_outcome(good, stored).where(F.col("outcome") != "deduplicated").drop("outcome")
-    out.select(*good.columns).write.mode("append").parquet(table)
-    bad.write.mode("overwrite").parquet(f"{rejected}/batch={batch_id}")
-    batch.unpersist()
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{table}/part=-1")
+        return spark.read.schema(whole).parquet(table)
 
 
 def stream_append(stream: DataFrame, table: str, rejected: str, checkpoint: str):

@@ -102,3 +102,22 @@ def test_silent_sources_alert_by_timer(spark, tmp_path):
 def test_no_events_no_rows(spark, tmp_path):
     empty = run(spark, tmp_path, [[]], LOG, lambda s: keyed.stream_order_audit(s, "1 hour"))
     assert empty.collect() == [] and empty.columns == ["seq", "from_state", "issues"]
+
+
+def test_an_append_opens_only_the_parts_of_its_identities(spark, tmp_path):
+    """All other parts of a growing store are unreadable here, and the append neither fails nor changes its answer."""
+    columns = "id long, entity_id string, source_id string, source_locator string, effective_at timestamp, vintage_at timestamp, observed_at timestamp, available_at timestamp, value string, quality_flags array<string>, raw_content_hash string, parser_version string"
+    fact = lambda i, value, e: (i, f"e{e}", "s", f"loc{e}", at(0), None, at(0), at(10), value, [], "sha256:" + "a" * 64, "p1")
+    append = lambda rows, n: jobs.append_batch(spark.createDataFrame(rows, columns), f"{tmp_path}/store", f"{tmp_path}/rejected", n, parts=8)
+    for n in range(3):
+        append([fact(100 * n + e, f"v{n}", e) for e in range(40)], n)
+    mine = spark.createDataFrame([fact(900, "v0", 7), fact(901, "v9", 7)], columns)
+    part = mine.select(jobs._part(8)).first()["part"]
+    folders = sorted((tmp_path / "store").glob("part=[0-9]*"))
+    assert len(folders) == 8 and spark.read.parquet(f"{tmp_path}/store").count() == 120
+    for folder in folders:
+        if folder.name != f"part={part}":
+            (folder / "part-broken.snappy.parquet").write_bytes(b"not a table")
+    append(mine.collect(), 3)
+    kept = spark.read.parquet(f"{tmp_path}/store/part={part}").where("entity_id = 'e7'").orderBy("id").collect()
+    assert [(r["id"], r["quality_flags"]) for r in kept] == [(7, []), (107, ["CORRECTED"]), (207, ["CORRECTED"]), (901, ["CORRECTED"])]
