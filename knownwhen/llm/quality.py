@@ -1,13 +1,17 @@
 """Document quality by Bradley-Terry ranking.
 
-A document's strength is linear in features of its text. From pairs of labelled documents, one
+A document's strength is linear in features of its text. From all pairs of labelled documents, one
 preferred to the other, the weights are learnt by logistic loss on the difference of the two
-feature vectors. A threshold at a quantile of the strengths of labelled documents then turns
+feature vectors. A threshold at a quantile of the strengths of all labelled documents then turns
 the ranking into a decision.
+
+No row is drawn: labelled rows are grouped into cells of like strength, of which sums are taken in Spark, and
+the loss of all pairs of rows follows from all pairs of cells.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,14 +20,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knownwhen.llm import words
-from knownwhen.llm.labelled import sample
-from knownwhen.llm.tables import held_out, prepare
+from knownwhen.llm.labelled import learnable
+from knownwhen.llm.tables import held_out, prepare, written
 
-#: Labelled rows of each class that are learnt from, at most, and the preference pairs drawn of them.
-SAMPLE = 2500
-PAIRS = 20_000
-STEPS = 300
+#: Cells of strengths: for the loss of all pairs, and as cuts.
+CELLS = 128
+CUTS = 1 << 14
+STEPS = 15
 DECAY = 1e-3
+#: Features are learnt from in steps of this size, so that sums are exact in any order.
+GRAIN = 2.0**-10
 
 _BYTES = np.arange(256)
 
@@ -97,64 +103,143 @@ class Model:
     weights: np.ndarray
     threshold: float = 0.0
 
+    def standard(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -8, 8)
+
     def strength(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights
+        return self.standard(x) @ self.weights
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """The chance to be preferred to a document that stands at the threshold."""
-        margin = self.strength(features(texts)) - self.threshold
+        return self.chance(features(texts))
+
+    def chance(self, x: np.ndarray) -> np.ndarray:
+        margin = self.strength(x) - self.threshold
         return np.round(1 / (1 + np.exp(-np.clip(margin, -30, 30))), 6)
 
 
-def train(x: np.ndarray, labels: np.ndarray, pairs: int = PAIRS, steps: int = STEPS, seed: int = 11) -> Model:
-    """Pairs of one document of either label, drawn at random; Newton-like steps on the mean logistic loss."""
-    width = x.shape[1] if x.size else len(NAMES)
-    good, bad = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
-    if not len(good) or not len(bad):
+Part = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def _cell(strength: np.ndarray, reach: float, cells: int) -> np.ndarray:
+    """Cells of equal width from -reach to reach; the outer ones hold what is beyond."""
+    return np.clip(np.floor((strength / reach + 1) * cells / 2), 0, cells - 1).astype(np.int64)
+
+
+def _moments(x: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Rows of each class, sums and sums of squares of the features."""
+    return np.concatenate([[(labels == 0).sum(), (labels == 1).sum()], x.sum(axis=0), (x * x).sum(axis=0)])
+
+
+def _cell_sums(model: Model, reach: float) -> Part:
+    """Of each class and cell: rows, sums of the features and of their products."""
+
+    def part(x: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        z, width = model.standard(x), x.shape[1]
+        out = np.zeros((2 * CELLS, 1 + width + width * width))
+        where = labels.astype(np.int64) * CELLS + _cell(z @ model.weights, reach, CELLS)
+        z = np.round(z / GRAIN) * GRAIN
+        for k in np.unique(where):
+            here = z[where == k]
+            out[k] = np.concatenate([[len(here)], here.sum(axis=0), (here.T @ here).ravel()])
+        return out
+
+    return part
+
+
+def _counts(model: Model, reach: float) -> Part:
+    """Rows of each class by fine cells of strength."""
+
+    def part(x: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        return np.bincount(labels.astype(np.int64) * CUTS + _cell(model.strength(x), reach, CUTS), minlength=2 * CUTS).astype(np.float64)
+
+    return part
+
+
+def learn(total: Callable[[Part], np.ndarray], width: int = len(NAMES)) -> Model:
+    """Newton's steps on the mean logistic loss of all pairs of a good and a bad row; ``total`` adds up a function of parts of the rows."""
+    moments = total(_moments)
+    bad, good = moments[:2]
+    if not bad or not good:
         return Model(np.zeros(width), np.ones(width), np.zeros(width))
-    rng = np.random.default_rng(seed)
-    spread = x.std(axis=0)
-    model = Model(x.mean(axis=0), np.where(spread > 1e-9, spread, 1.0), np.zeros(width))
-    z = np.clip((x - model.mean) / model.scale, -8, 8)
-    gap = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
-    total = np.full(width, 1e-6)
-    for _ in range(steps):
-        lost = 1 / (1 + np.exp(np.clip(gap @ model.weights, -30, 30)))
-        grad = DECAY * model.weights - gap.T @ lost / pairs
-        total += grad * grad
-        model.weights -= 0.3 * grad / np.sqrt(total)
-    model.threshold = quantile_threshold(z @ model.weights, labels)
+    rows = bad + good
+    # Rounded, so that the order of adding does not show.
+    mean = np.array([float(f"{v:.9g}") for v in moments[2 : 2 + width] / rows])
+    spread = np.array([float(f"{v:.6g}") for v in np.sqrt(np.maximum(moments[2 + width :] / rows - mean * mean, 0))])
+    model = Model(mean, np.where(spread > 1e-6, spread, 1.0), np.zeros(width))
+    square, reach = None, 1.0
+    for _ in range(STEPS):
+        sums = total(_cell_sums(model, reach)).reshape(2, CELLS, -1)
+        n, first, second = sums[:, :, 0], sums[:, :, 1 : 1 + width], sums[:, :, 1 + width :].reshape(2, CELLS, width, width)
+        square = second.sum(axis=(0, 1)) / rows
+        middle = first @ model.weights / np.maximum(n, 1)
+        # Of each pair of cells, good by bad: the chance that the bad one is preferred.
+        lost = 1 / (1 + np.exp(np.clip(middle[1][:, None] - middle[0][None], -30, 30)))
+        bend = lost * (1 - lost)
+        grad = DECAY * model.weights - ((lost @ n[0]) @ first[1] - (lost.T @ n[1]) @ first[0]) / (good * bad)
+        cross = first[1].T @ bend @ first[0]
+        curve = np.tensordot(bend @ n[0], second[1], 1) + np.tensordot(bend.T @ n[1], second[0], 1) - cross - cross.T
+        step = np.linalg.solve(curve / (good * bad) + DECAY * np.eye(width), grad)
+        model.weights = model.weights - step * min(1.0, 4 / max(np.linalg.norm(step), 1e-12))
+        reach = max(6 * float(np.sqrt(model.weights @ square @ model.weights)), 1e-6)
+        if np.linalg.norm(step) < 1e-2:
+            break
+    model.threshold = threshold(total(_counts(model, reach)).reshape(2, CUTS), reach)
     return model
 
 
-def quantile_threshold(strength: np.ndarray, labels: np.ndarray) -> float:
-    """Of the quantiles 0, 1/400, 2/400 ... of the strengths the one whose cut has the highest balanced accuracy; of equals the middle one."""
-    cuts = np.quantile(strength, np.arange(401) / 400)
-    good, bad = np.sort(strength[labels == 1]), np.sort(strength[labels == 0])
-    accuracy = (1 - np.searchsorted(good, cuts) / len(good) + np.searchsorted(bad, cuts) / len(bad)) / 2
+def threshold(counts: np.ndarray, reach: float) -> float:
+    """Of the borders of the cells the one whose cut has the highest balanced accuracy; of equals the middle one."""
+    below = np.cumsum(counts, axis=1)[:, :-1] / counts.sum(axis=1, keepdims=True)
+    accuracy = (1 - below[1] + below[0]) / 2
     best = np.flatnonzero(accuracy >= accuracy.max() - 1e-12)
-    cut = cuts[best[len(best) // 2]]
-    below, above = strength[strength < cut], strength[strength >= cut]
-    return float((below.max() + above.min()) / 2) if len(below) and len(above) else float(cut)
+    return float((2 * (best[len(best) // 2] + 1) / CUTS - 1) * reach)
+
+
+def train(x: np.ndarray, labels: np.ndarray) -> Model:
+    """The model of rows that are at hand."""
+    x = x if x.size else np.zeros((0, len(NAMES)))
+    return learn(lambda part: part(x, np.asarray(labels)), x.shape[1])
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """doc_id and features of the whole text of each row, written once: what is learnt from and what is scored."""
+
+    @F.arrow_udf("array<double>")
+    def numbers(texts: pa.Array) -> pa.Array:
+        return pa.array([r for part in words.pieces(texts) for r in features(part)], pa.list_(pa.float64()))
+
+    return written(docs.select("doc_id", numbers(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("x")))
+
+
+def _matrix(x: pa.Array) -> np.ndarray:
+    return x.flatten().to_numpy().reshape(len(x), len(NAMES))
+
+
+def fit(rows: DataFrame, labels: DataFrame) -> Model:
+    """Learns from all labelled rows of ``counted`` that are not held out; only sums reach the driver."""
+    rows = written(learnable(rows, labels, "quality").select("label", "x"))
+
+    def total(part: Part) -> np.ndarray:
+        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = sum(part(_matrix(b["x"]), b["label"].to_numpy()) for b in batches)
+            if isinstance(out, np.ndarray):
+                yield pa.RecordBatch.from_pydict({"sums": [out.ravel().tobytes()]})
 
+        sums = rows.mapInArrow(added, "sums binary").rdd.map(lambda r: np.frombuffer(r["sums"]))
+        nothing = part(np.zeros((0, len(NAMES))), np.zeros(0, np.int64)).ravel()
+        return sums.treeAggregate(nothing, np.add, np.add)
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
-    """Learns from at most ``most`` labelled rows of each class, none of them held out."""
-    prepare(docs.sparkSession)
-    rows = sample(docs, labels, "quality", most).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    x = [features([bytes(r["text"]) for r in rows[i : i + 200]]) for i in range(0, len(rows), 200)]
-    return train(np.concatenate(x) if x else np.zeros((0, len(NAMES))), np.array([r["label"] for r in rows]))
+    return learn(total)
 
 
 def scorer(spark: SparkSession, model: Model):
-    """A vectorised function from a text's bytes to its score."""
+    """A vectorised function from features to the score."""
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
-    def quality(texts: pa.Array) -> pa.Array:
-        scores = [shared.value.score(part) for part in words.pieces(texts)]
-        return pa.array(np.concatenate(scores) if scores else [], pa.float64())
+    def quality(x: pa.Array) -> pa.Array:
+        return pa.array(shared.value.chance(_matrix(x)), pa.float64())
 
     return quality
 
@@ -164,9 +249,10 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     A row for each row of ``docs``, repeated rows and null ids too (those are not held out); null and empty
     texts have the score of a text without words. Without labelled rows of both kinds every score is 0.5.
-    Columns other than doc_id and text are not looked at. No shuffle but for drawing the sample.
+    Columns other than doc_id and text are not looked at. Texts stay where they are: features, 18 numbers a
+    row, meet the labels.
     """
     spark = prepare(docs.sparkSession)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = own.withColumn("score", scorer(spark, fit(own, labels))(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    rows = counted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    out = rows.withColumn("score", scorer(spark, fit(rows, labels))("x"))
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
