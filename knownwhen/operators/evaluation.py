@@ -12,7 +12,7 @@ from knownwhen.functions.columns import ratio, reasons, text_array
 from knownwhen.operators.metrics import block_bootstrap
 from knownwhen.operators.pit import PROMOTION_BARRED
 from knownwhen.operators.scan import interval_join, running
-from knownwhen.session import materialise
+from knownwhen.session import written
 
 
 def walk_forward_splits(ranges: DataFrame, *, window_years: int = 3, step_months: int = 12, purge: int = 21, embargo: int = 5) -> DataFrame:
@@ -286,54 +286,62 @@ def citability(splits: DataFrame, complete: DataFrame, keys: Sequence[str]) -> D
     return out.withColumn("why", why).withColumn("citable", F.size("why") == 0)
 
 
+def _open_and_places(x: DataFrame) -> tuple[int, int]:
+    """Chains that have not ended, and the number of places they stand at."""
+    r = x.agg(F.count("parent").alias("open"), F.count_distinct("parent").alias("places")).first()
+    return r["open"], r["places"]
+
+
+def _doubled(x: DataFrame) -> DataFrame:
+    """Every open chain stands at its parent's parent and has its total; those that have ended are not joined.
+
+    Written as a table: a checkpoint keeps its plan's estimate, whose digits would double with every join.
+    """
+    up = x.select(F.col("experiment").alias("parent"), F.col("parent").alias("_next"), F.col("total").alias("_more"))
+    on = x.where(F.col("parent").isNotNull()).join(up, "parent", "left").select(
+        "experiment", F.col("_next").alias("parent"), (F.col("total") + F.coalesce("_more", F.lit(0))).alias("total")
+    )
+    return written(on.unionByName(x.where(F.col("parent").isNull()).select(on.columns)))
+
+
 def trial_chain_count(experiments: DataFrame, trials: DataFrame) -> DataFrame:
     """Trials over each experiment's whole parent chain, by pointer doubling.
 
     Every round doubles the distance covered, so a chain of depth d needs log2(d) joins; each
-    round is cut through the shared checkpoint folder. A parent that is not registered ends
-    its chain. A chain that is still open when the distance exceeds the number of experiments
-    runs into a cycle: ``state`` says CYCLE, and each of its experiments counts once. The members
-    of a cycle are told by following it from one of them; what leads into it adds its own path.
+    round is a table in the shared checkpoint folder. A parent that is not registered ends
+    its chain. A round in which no chain ends leaves only chains that run into a cycle: ``state``
+    says CYCLE, and each of its experiments counts once. The members of a cycle are told by
+    following it from one of them; what leads into it adds its own path.
     """
     n = trials.groupBy("experiment").agg(F.count(F.lit(1)).alias("n"))
     base = experiments.select("experiment", "parent").join(n, "experiment", "left")
-    base = materialise(base.select("experiment", "parent", F.coalesce("n", F.lit(0)).cast("bigint").alias("total")))
-    rounds = max(1, base.count()).bit_length()
-    x = base
-    for _ in range(rounds):
-        if x.where(F.col("parent").isNotNull()).isEmpty():
-            break
-        up = x.select(F.col("experiment").alias("parent"), F.col("parent").alias("_next"), F.col("total").alias("_more"))
-        x = x.join(up, "parent", "left").select(
-            "experiment", F.col("_next").alias("parent"), (F.col("total") + F.coalesce("_more", F.lit(0))).alias("total")
-        )
-        x = materialise(x)
-    done = x.where(F.col("parent").isNull()).select("experiment", F.col("total").alias("chain_trials"), F.lit("ROOTED").alias("state"))
-    looped = materialise(x.where(F.col("parent").isNotNull()).select("experiment", F.col("parent").alias("_at")))
-    if looped.isEmpty():
+    base = written(base.select("experiment", "parent", F.coalesce("n", F.lit(0)).cast("bigint").alias("total")))
+    is_open = F.col("parent").isNotNull()
+    x, before, left = base, None, _open_and_places(base)
+    # A chain that goes on has an ancestor that ends in this round, so without an end all that is open runs into cycles;
+    # places that are no fewer after a round are mapped onto themselves, so they are the members of the cycles.
+    while left[0] and left != before:
+        x = _doubled(x)
+        before, left = left, _open_and_places(x)
+    done = x.where(~is_open).select("experiment", F.col("total").alias("chain_trials"), F.lit("ROOTED").alias("state"))
+    if not left[0]:
         return done
-    # After so many steps every open chain stands on its cycle; those positions are all of the cycles' members.
+    looped = written(x.where(is_open).select("experiment", F.col("parent").alias("_at")))
     ring = looped.select(F.col("_at").alias("experiment")).distinct()
-    edges = materialise(base.join(ring, "experiment", "left_semi").select("experiment", "parent", "total"))
+    edges = written(base.join(ring, "experiment", "left_semi").select("experiment", "parent", "total"))
     # Minimum over the 1, 2, 4 ... next members names the cycle.
     walk = edges.select("experiment", F.col("parent").alias("_next"), F.least("experiment", "parent").alias("_name"))
-    for _ in range(rounds):
+    for _ in range(edges.count().bit_length()):
         ahead = walk.select(F.col("experiment").alias("_next"), F.col("_next").alias("_far"), F.col("_name").alias("_theirs"))
-        walk = materialise(walk.join(ahead, "_next").select("experiment", F.col("_far").alias("_next"), F.least("_name", "_theirs").alias("_name")))
-    named = materialise(walk.select("experiment", "_name").join(edges.select("experiment", "total"), "experiment"))
+        walk = written(walk.join(ahead, "_next").select("experiment", F.col("_far").alias("_next"), F.least("_name", "_theirs").alias("_name")))
+    named = written(walk.select("experiment", "_name").join(edges.select("experiment", "total"), "experiment"))
     sums = named.groupBy("_name").agg(F.sum("total").alias("_ring"))
     rings = named.join(sums, "_name").select("experiment", F.col("_ring").alias("chain_trials"))
     # Tails: the same doubling, where a cycle's member is a root that stands for its whole cycle.
     tail = base.join(looped.select("experiment"), "experiment", "left_semi").join(rings, "experiment", "left")
-    tail = materialise(tail.select("experiment", F.when(F.col("chain_trials").isNull(), F.col("parent")).alias("parent"), F.coalesce("chain_trials", "total").alias("total")))
-    for _ in range(rounds):
-        if tail.where(F.col("parent").isNotNull()).isEmpty():
-            break
-        up = tail.select(F.col("experiment").alias("parent"), F.col("parent").alias("_next"), F.col("total").alias("_more"))
-        tail = tail.join(up, "parent", "left").select(
-            "experiment", F.col("_next").alias("parent"), (F.col("total") + F.coalesce("_more", F.lit(0))).alias("total")
-        )
-        tail = materialise(tail)
+    tail = written(tail.select("experiment", F.when(F.col("chain_trials").isNull(), F.col("parent")).alias("parent"), F.coalesce("chain_trials", "total").alias("total")))
+    while _open_and_places(tail)[0]:
+        tail = _doubled(tail)
     return done.unionByName(tail.select("experiment", F.col("total").alias("chain_trials"), F.lit("CYCLE").alias("state")))
 
 
