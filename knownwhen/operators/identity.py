@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from knownwhen.functions.columns import minutes_after
 from knownwhen.operators.pit import win_intervals, with_visibility
 from knownwhen.operators.scan import interval_join, running
+from knownwhen.session import materialise
 
 RANGE_FLOOR = "1800-01-01"
 
@@ -21,11 +22,23 @@ def _open_at(date: Column, known: Column) -> Column:
 def resolve_symbol(requests: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
     """Entity a symbol denoted on ``on_date`` as known at ``known_at``; null if none or ambiguous.
 
-    Ambiguity is min = max over the matches, so no list of candidates is built.
+    Ambiguity is min = max over the matches, so no list of candidates is built. Equal questions are asked once, and
+    ranges that differ in their entity alone are one with its least and greatest entity, so that both sides grow with
+    the dates and not with the rows of a symbol. A range matches in either of two ways, each an interval join: the
+    date lies within it, or the request falls between its opening and its close becoming known.
     """
-    r = ranges.select("symbol", "entity_id", "effective_from", "effective_to", "known_from", "close_known_from")
-    hit = requests.join(r, (requests["symbol"] == r["symbol"]) & _open_at(F.col("on_date"), F.col("known_at")), "left")
-    found = hit.groupBy(key).agg(F.min("entity_id").alias("_lo"), F.max("entity_id").alias("_hi"))
+    span = ["symbol", "effective_from", "effective_to", "known_from", "close_known_from"]
+    r = materialise(ranges.groupBy(*span).agg(F.min("entity_id").alias("_lo"), F.max("entity_id").alias("_hi")))
+    ask = ["symbol", "on_date", "known_at"]
+    q = materialise(requests.where("symbol is not null and on_date is not null and known_at is not null").select(*ask).distinct())
+    dated = interval_join(r, q, ["symbol"], "effective_from", "effective_to", "on_date", unit="month", closed=True)
+    dated = dated.where(F.col("known_from") <= F.col("known_at"))
+    unclosed = r.where("effective_to is not null and close_known_from is not null")
+    unclosed = interval_join(unclosed, q, ["symbol"], "known_from", "close_known_from", "known_at", unit="month")
+    unclosed = unclosed.where((F.col("effective_from") <= F.col("on_date")) & (F.col("effective_to") < F.col("on_date")))
+    hits = dated.select(*ask, "_lo", "_hi").unionByName(unclosed.select(*ask, "_lo", "_hi"))
+    hits = hits.groupBy(*ask).agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    found = requests.select(key, *ask).join(hits, ask, "left").groupBy(key).agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
     return found.select(key, F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).alias("entity_id"))
 
 

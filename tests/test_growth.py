@@ -1,7 +1,11 @@
 """Work that must grow no faster than the input."""
 
 
+import datetime as dt
+import random
+
 from knownwhen.operators import evaluation
+from knownwhen.operators import identity as ident
 
 
 def test_estimates_of_chains_do_not_multiply(spark):
@@ -14,3 +18,25 @@ def test_estimates_of_chains_do_not_multiply(spark):
     want = {i: (i + 1, "ROOTED") for i in range(200)} | {i: (3, "CYCLE") for i in (300, 301, 302)} | {i: (3 + i - 399, "CYCLE") for i in range(400, 500)}
     assert got == want
     assert out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bitLength() < 40
+
+
+def test_symbols_are_resolved_by_dates(spark):
+    """Against every pair of a request and a range; the ranges meet requests on calendar buckets, not on the symbol alone."""
+    rnd, day = random.Random(5), lambda n: dt.date(2020, 1, 1) + dt.timedelta(n)
+    at = lambda n: dt.datetime(2020, 1, 1) + dt.timedelta(n, 3600)
+    ranges = []
+    for i in range(150):
+        a = rnd.randrange(300)
+        to = rnd.choice([None, a + rnd.randrange(-1, 90)])
+        ranges.append((rnd.choice("xyz"), i % 40, day(a), None if to is None else day(to), at(a + rnd.randrange(5)), None if to is None or i % 9 == 0 else at(to + rnd.randrange(40))))
+    asks = [(i, rnd.choice(["x", "y", "z", "none", None]), day(rnd.randrange(400)), at(rnd.randrange(420))) for i in range(300)]
+    r = spark.createDataFrame(ranges, "symbol string, entity_id long, effective_from date, effective_to date, known_from timestamp_ntz, close_known_from timestamp_ntz")
+    q = spark.createDataFrame(asks, "k long, symbol string, on_date date, known_at timestamp_ntz")
+    out = ident.resolve_symbol(q, r, "k")
+
+    def entity(symbol, on, known):
+        hit = {e for s, e, a, b, k, c in ranges if s == symbol and a <= on and k <= known and (b is None or b >= on or c is not None and c > known)}
+        return hit.pop() if len(hit) == 1 else None
+
+    assert {x["k"]: x["entity_id"] for x in out.collect()} == {k: entity(s, o, n) for k, s, o, n in asks}
+    assert "_bucket" in out._jdf.queryExecution().toString()
