@@ -4,7 +4,9 @@
 import datetime as dt
 import random
 
-from knownwhen.operators import evaluation
+from pyspark.sql import functions as F
+
+from knownwhen.operators import evaluation, executions
 from knownwhen.operators import identity as ident
 
 
@@ -17,7 +19,7 @@ def test_estimates_of_chains_do_not_multiply(spark):
     got = {r[0]: (r["chain_trials"], r["state"]) for r in out.collect()}
     want = {i: (i + 1, "ROOTED") for i in range(200)} | {i: (3, "CYCLE") for i in (300, 301, 302)} | {i: (3 + i - 399, "CYCLE") for i in range(400, 500)}
     assert got == want
-    assert out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bitLength() < 40
+    assert float(str(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1e12
 
 
 def test_symbols_are_resolved_by_dates(spark):
@@ -40,3 +42,21 @@ def test_symbols_are_resolved_by_dates(spark):
 
     assert {x["k"]: x["entity_id"] for x in out.collect()} == {k: entity(s, o, n) for k, s, o, n in asks}
     assert "_bucket" in out._jdf.queryExecution().toString()
+
+
+def shuffled(spark) -> int:
+    executors = spark._jsparkSession.sparkContext().statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_a_lot_moves_once(spark, tmp_path):
+    n = F.col("id")
+    fills = spark.range(20_000).select(
+        F.sha2(n.cast("string"), 256).alias("fill_id"), (n % 2).alias("account"), F.lit("A").alias("entity_id"), F.when(n % 4 < 2, "BUY").otherwise("SELL").alias("side"),
+        (n % 7 + 1).alias("qty"), (n % 11 + 10.0).alias("price"), F.date_add(F.lit("2024-01-01").cast("date"), (n / 50).cast("int")).alias("session"), F.lit(0.0).alias("fee"),
+    )
+    fills.write.parquet(f"{tmp_path}/fills")
+    splits = spark.createDataFrame([], "entity_id string, effective_date date, ratio double")
+    before = shuffled(spark)
+    executions.lot_match_fifo(spark.read.parquet(f"{tmp_path}/fills"), splits).write.parquet(f"{tmp_path}/out")
+    assert (shuffled(spark) - before) / 20_000 < 230
