@@ -42,13 +42,17 @@ def _wake(handle: StatefulProcessorHandle, us: int) -> None:
     handle.registerTimer(-(-us // 1000))
 
 
+def _plain(x: pd.Series) -> list:
+    """Python values; whole numbers with gaps come as floats and are whole again."""
+    if x.dtype.kind in "iu":
+        return x.tolist()
+    if x.dtype.kind == "f":
+        return [None if v != v else int(v) for v in x.tolist()]
+    return [None if v is None or v is pd.NA or v != v else v for v in x.tolist()]
+
+
 def _rows(batches: Iterator[pd.DataFrame], columns: list[str]) -> list[tuple]:
-    """Plain tuples of the rows; columns that are whole numbers with gaps come as floats and are whole again."""
-    out = []
-    for b in batches:
-        lists = [b[c].astype("Int64" if b[c].dtype.kind in "iuf" else object) for c in columns]
-        out += zip(*[[None if pd.isna(v) else v for v in x.tolist()] for x in lists])
-    return out
+    return [row for b in batches for row in zip(*[_plain(b[c]) for c in columns])]
 
 
 class OrderAudit(StatefulProcessor):
@@ -58,56 +62,85 @@ class OrderAudit(StatefulProcessor):
     number; a timer stands at the earliest such moment. ``seen`` holds the ids of the events taken,
     ``last`` the state, the greatest cumulative fill, the newest number and its time. All three are
     deleted ``keep_us`` after a terminal state; an event beyond that starts anew, in whatever batch it comes.
+
+    Every call to the state is a message to the JVM, so there are a few of them a batch and not some for each event: waiting
+    events are rows of arrays, ``CHUNK`` events long, and ``seen`` is a list that is read and extended whole. Only an
+    order with more than ``LISTED`` ids, of which a batch brings less than one in ``FEW``, has its ids moved to
+    ``index`` and looked up one by one. ``listed`` is the length of the list, -1 once it has moved.
     """
 
     FIELDS = "seq bigint, event_id string, state string, side string, reason string, cum_qty bigint, at_us bigint"
     COLUMNS = [f.split()[0] for f in FIELDS.split(", ")]
+    CHUNKS = ", ".join("{} array<{}>".format(*f.split()) for f in FIELDS.split(", "))
     OUT = "seq bigint, from_state string, issues string"
+    CHUNK, LISTED, FEW = 1024, 1024, 40
 
     def __init__(self, keep_us: int):
         self.keep_us = keep_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", self.FIELDS)
-        self.seen = handle.getMapState("seen", "event_id string", "seq bigint")
-        self.last = handle.getValueState("last", "state string, cum bigint, seq bigint, at_us bigint")
+        self.pending = handle.getListState("pending", self.CHUNKS)
+        self.seen = handle.getListState("seen", "event_id string")
+        self.index = handle.getMapState("index", "event_id string", "here boolean")
+        self.last = handle.getValueState("last", "state string, cum bigint, seq bigint, at_us bigint, listed bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        yield self._advance(_rows(rows, self.COLUMNS), _now(timerValues))
+        return self._advance(_rows(rows, self.COLUMNS), _now(timerValues))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._advance([], _now(timerValues))
+        return self._advance([], _now(timerValues))
 
     def close(self) -> None:
         pass
 
-    def _advance(self, new: list[tuple], now: int) -> pd.DataFrame:
-        waiting = sorted([*self.pending.get(), *new], key=lambda e: (e[0], e[6]))
+    def _advance(self, new: list[tuple], now: int) -> Iterator[pd.DataFrame]:
+        old = [e for chunk in self.pending.get() for e in zip(*chunk)]
+        waiting = sorted([*old, *new], key=lambda e: (e[0], e[6]))
         due = next((i for i, e in enumerate(waiting) if e[6] > now), len(waiting))
         out = self._take(waiting[:due])
-        if waiting[due:]:
-            self.pending.put(waiting[due:])
-            _wake(self.handle, waiting[due][6])
+        left = waiting[due:]
+        if left:
+            self.pending.put([tuple(list(x) for x in zip(*left[i : i + self.CHUNK])) for i in range(0, len(left), self.CHUNK)])
+            _wake(self.handle, left[0][6])
         else:
-            self.pending.clear()
+            if old:
+                self.pending.clear()
             self._evict(now)
-        return pd.DataFrame(out, columns=["seq", "from_state", "issues"])
+        if out:
+            yield pd.DataFrame(out, columns=["seq", "from_state", "issues"])
+
+    def _seen_of(self, ids: set[str], listed: int) -> tuple[set[str], int]:
+        """Which ids were taken before, among them all of ``ids`` that were, and the length of the list."""
+        if listed > self.LISTED and len(ids) * self.FEW < listed:
+            for e in list(self.seen.get()):
+                self.index.updateValue(e, (True,))
+            self.seen.clear()
+            listed = -1
+        if listed < 0:
+            return {i for i in ids if self.index.containsKey((i,))}, listed
+        return {e[0] for e in self.seen.get()} if listed else set(), listed
+
+    def _forget(self, listed: int) -> None:
+        (self.index if listed < 0 else self.seen).clear()
 
     def _take(self, events: list[tuple]) -> list[tuple]:
         if not events:
             return []
-        state, cum, newest, at = self.last.get() if self.last.exists() else (None, None, None, None)
-        out = []
+        state, cum, newest, at, listed = self.last.get() if self.last.exists() else (None, None, None, None, 0)
+        seen, listed = self._seen_of({e[1] for e in events if e[1] is not None}, listed)
+        out, fresh = [], []
         for seq, event_id, to, side, reason, qty, at_us in events:
             if state in TERMINAL and at_us > at + self.keep_us:
                 state = cum = newest = at = None
-                self.seen.clear()
-            if event_id is not None and self.seen.containsKey((event_id,)):
+                self._forget(listed)
+                seen, fresh, listed = set(), [], 0
+            if event_id is not None and event_id in seen:
                 out.append((seq, state, "DUPLICATE_EVENT"))
                 continue
             if event_id is not None:
-                self.seen.updateValue((event_id,), (seq,))
+                seen.add(event_id)
+                fresh.append((event_id,))
             if newest is not None and seq < newest:
                 out.append((seq, state, "LATE_EVENT"))
                 continue
@@ -116,16 +149,22 @@ class OrderAudit(StatefulProcessor):
                 out.append((seq, state, ",".join(why)))
             state, newest, at = to or state, seq, at_us if at is None else max(at, at_us)
             cum = qty if cum is None else cum if qty is None else max(cum, qty)
-        self.last.update((state, cum, newest, at))
+        if listed < 0:
+            for e in fresh:
+                self.index.updateValue(e, (True,))
+        elif fresh:
+            self.seen.appendList(fresh)
+            listed += len(fresh)
+        self.last.update((state, cum, newest, at, listed))
         return out
 
     def _evict(self, now: int) -> None:
         if not self.last.exists():
             return
-        state, _, _, at = self.last.get()
+        state, _, _, at, listed = self.last.get()
         if state in TERMINAL:
             if at + self.keep_us <= now:
-                self.seen.clear()
+                self._forget(listed)
                 self.last.clear()
             else:
                 _wake(self.handle, at + self.keep_us)

@@ -121,3 +121,64 @@ def test_an_append_opens_only_the_parts_of_its_identities(spark, tmp_path):
     append(mine.collect(), 3)
     kept = spark.read.parquet(f"{tmp_path}/store/part={part}").where("entity_id = 'e7'").orderBy("id").collect()
     assert [(r["id"], r["quality_flags"]) for r in kept] == [(7, []), (107, ["CORRECTED"]), (207, ["CORRECTED"]), (901, ["CORRECTED"])]
+
+
+class Memory:
+    """The state of one key in memory, with the number of messages that a real one would take."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, []
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+    def _variable(self, empty, **methods):
+        class Variable:
+            value = empty()
+
+        v = Variable()
+
+        def counted(f):
+            def call(*args):
+                self.calls += 1
+                return f(v, *args)
+
+            return call
+
+        for name, f in methods.items():
+            setattr(v, name, counted(f))
+        v.clear = counted(lambda v: setattr(v, "value", empty()))
+        return v
+
+    def getListState(self, *_):
+        return self._variable(list, get=lambda v: iter(v.value), put=lambda v, x: setattr(v, "value", list(x)), appendList=lambda v, x: v.value.extend(x))
+
+    def getMapState(self, *_):
+        return self._variable(dict, containsKey=lambda v, k: k in v.value, updateValue=lambda v, k, x: v.value.update({k: x}))
+
+    def getValueState(self, *_):
+        return self._variable(tuple, exists=lambda v: bool(v.value), get=lambda v: v.value, update=lambda v, x: setattr(v, "value", x))
+
+
+def audited(rows, step, listed=1024):
+    """One order's events in batches of ``step``, the watermark at each batch's end; the issues and the messages."""
+    import pandas as pd
+
+    p, memory, out = keyed.OrderAudit(10**15), Memory(), []
+    p.LISTED = listed
+    p.init(memory)
+    columns = ["seq", "event_id", "state", "side", "reason", "cum_qty", "at_us"]
+    for i in range(0, len(rows), step):
+        part = [(r[2], r[1], *r[3:7], r[2]) for r in rows[i : i + step]]
+        mark = type("T", (), {"getCurrentWatermarkInMs": lambda self, n=part[-1][0]: n})()
+        out += p.handleInputRows((1,), iter([pd.DataFrame(part, columns=columns)]), mark)
+    return [tuple(r) for x in out for r in x.itertuples(index=False)], memory.calls, p
+
+
+def test_messages_to_the_state_are_for_batches_not_events():
+    rows = order_rows(3000, 1, 6)
+    got, calls, _ = audited(rows, 1000)
+    assert calls < 60 and any("DUPLICATE_EVENT" in g[2] for g in got)
+    # Ids that moved to the index, because of small batches, give the same.
+    few, _, p = audited(rows, 5, listed=300)
+    assert few == got and p.index.value and not p.seen.value
