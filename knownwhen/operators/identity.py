@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from knownwhen.functions.columns import minutes_after
 from knownwhen.operators.pit import win_intervals, with_visibility
@@ -74,29 +75,32 @@ def range_conflicts(ranges: DataFrame) -> DataFrame:
 
     A later start inside a closed range conflicts; an open earlier range is closed
     instead, unless both start on the same day. Only conflicting pairs are emitted.
+
+    The pairs may be far more than the ranges. Two entities with one range each meet once, so their pairs leave the join
+    as they are; only those of an entity with several ranges of the symbol are grouped.
     """
-    a = ranges.where(F.col("effective_to").isNotNull()).select(
-        "symbol", F.col("entity_id").alias("holder"), F.col("effective_from").alias("held_from"), F.col("effective_to").alias("held_to")
-    )
-    b = ranges.select("symbol", "entity_id", "effective_from")
-    inside = interval_join(a, b, ["symbol"], "held_from", "held_to", "effective_from", unit="month", closed=True)
-    inside = inside.where(
-        (F.col("holder") != F.col("entity_id"))
-        & ((F.col("held_from") < F.col("effective_from")) | (F.col("holder") < F.col("entity_id")))
-    )
-    o = ranges.where(F.col("effective_to").isNull()).select(
-        "symbol", F.col("entity_id").alias("holder"), F.col("effective_from").alias("held_from"), F.lit(None).cast("date").alias("held_to")
-    )
-    b2 = ranges.select("symbol", "entity_id", "effective_from", F.col("effective_to").isNull().alias("_open"))
-    same = o.join(b2, (o["symbol"] == b2["symbol"]) & (o["held_from"] == b2["effective_from"])).drop(b2["symbol"])
-    same = same.where((F.col("holder") < F.col("entity_id")) | (~F.col("_open") & (F.col("holder") > F.col("entity_id"))))
-    cols = ["symbol", "entity_id", "effective_from", "holder", "held_from", "held_to"]
-    same = same.select(*cols)
-    # A closed range that starts on the same day as an open one is already in the first part.
-    closed_first = inside.select(*cols)
-    return closed_first.unionByName(same).groupBy("symbol", "effective_from", F.least("entity_id", "holder").alias("entity_a"), F.greatest("entity_id", "holder").alias("entity_b")).agg(
-        F.min("held_from").alias("held_from"), F.max("held_to").alias("held_to")
-    )
+    several = F.count(F.lit(1)).over(Window.partitionBy("symbol", "entity_id")) > 1
+    r = materialise(ranges.select("symbol", "entity_id", "effective_from", "effective_to", several.alias("_several")))
+    once, more = r.where("not _several"), r.where("_several")
+    grouped = _conflicting_pairs(more, r).unionByName(_conflicting_pairs(once, more))
+    grouped = grouped.groupBy("symbol", "effective_from", "entity_a", "entity_b").agg(F.min("held_from").alias("held_from"), F.max("held_to").alias("held_to"))
+    return _conflicting_pairs(once, once).unionByName(grouped)
+
+
+def _conflicting_pairs(holders: DataFrame, starts: DataFrame) -> DataFrame:
+    """Each range of ``starts`` with each of ``holders`` that holds its first day, one row for two ranges."""
+    held = [F.col("entity_id").alias("holder"), F.col("effective_from").alias("held_from"), F.col("effective_to").alias("held_to")]
+    closed = holders.where(F.col("effective_to").isNotNull()).select("symbol", *held)
+    b = starts.select("symbol", "entity_id", "effective_from", "effective_to")
+    # Of two that start on one day the smaller holds, unless it ends before it starts and so holds nothing.
+    first = (F.col("holder") < F.col("entity_id")) | ((F.col("effective_to") < F.col("effective_from")) & (F.col("holder") > F.col("entity_id")))
+    inside = interval_join(closed, b, ["symbol"], "held_from", "held_to", "effective_from", unit="month", closed=True)
+    inside = inside.where((F.col("holder") != F.col("entity_id")) & ((F.col("held_from") < F.col("effective_from")) | first))
+    o = holders.where(F.col("effective_to").isNull()).select(F.col("symbol").alias("_symbol"), *held)
+    same = b.join(o, (F.col("symbol") == F.col("_symbol")) & (F.col("effective_from") == F.col("held_from"))).where(first)
+    a, z = F.least("entity_id", "holder").alias("entity_a"), F.greatest("entity_id", "holder").alias("entity_b")
+    cols = ["symbol", "effective_from", a, z, "held_from", "held_to"]
+    return inside.select(*cols).unionByName(same.select(*cols))
 
 
 def build_ranges(actions: DataFrame, delay: Column) -> DataFrame:

@@ -60,3 +60,28 @@ def test_a_lot_moves_once(spark, tmp_path):
     before = shuffled(spark)
     executions.lot_match_fifo(spark.read.parquet(f"{tmp_path}/fills"), splits).write.parquet(f"{tmp_path}/out")
     assert (shuffled(spark) - before) / 20_000 < 230
+
+
+def test_conflicting_pairs_are_not_moved_again(spark, tmp_path):
+    """Against every pair, with several ranges of an entity, empty ranges and starts on one day; the pairs of single ranges stay in their join."""
+    rnd, day = random.Random(7), lambda n: None if n is None else dt.date(2020, 1, 1) + dt.timedelta(n)
+    ranges = []
+    for i in range(260):
+        a = rnd.randrange(60)
+        ranges.append((rnd.choice("xyz"), rnd.randrange(90), day(a), day(rnd.choice([None, a + rnd.randrange(-2, 25)]))))
+    schema = "symbol string, entity_id long, effective_from date, effective_to date"
+    want = {}
+    for s, e, a, b in ranges:
+        for s2, e2, a2, b2 in ranges:
+            if s == s2 and e != e2 and (a < a2 and b is not None and b >= a2 or a == a2 and (b is None or b >= a2)):
+                want.setdefault((s, a2, min(e, e2), max(e, e2)), set()).add(a)
+    got = ident.range_conflicts(spark.createDataFrame(ranges, schema)).collect()
+    assert len(got) == len(want) and {(r[0], r[1], r[2], r[3]): r["held_from"] for r in got} == {k: min(v) for k, v in want.items()}
+
+    n = F.col("id")
+    day0 = F.lit("2020-01-01").cast("date")
+    spark.range(1400).select(F.lit("x").alias("symbol"), n.alias("entity_id"), F.date_add(day0, n.cast("int")).alias("effective_from"), F.date_add(day0, 1400).alias("effective_to")).write.parquet(f"{tmp_path}/r")
+    before = shuffled(spark)
+    ident.range_conflicts(spark.read.parquet(f"{tmp_path}/r")).write.parquet(f"{tmp_path}/pairs")
+    assert spark.read.parquet(f"{tmp_path}/pairs").count() == 1400 * 1399 // 2
+    assert shuffled(spark) - before < 2_000_000
