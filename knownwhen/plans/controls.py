@@ -487,8 +487,8 @@ def _(t):
 )
 def _(t):
     text = F.col("value").cast("decimal(18,2)").cast("string")
-    facts = pit.asof_latest(t.obs, t.decisions, delay()).withColumns({"raw_content_hash": F.sha2(text, 256), "value": text})
-    return ct.evidence_packets(facts).withColumn("n", F.size("facts"))
+    facts = pit.asof_latest(t.obs, t.decisions, delay(), by=["entity_id"]).withColumns({"raw_content_hash": F.sha2(text, 256), "value": text})
+    return ct.evidence_packets(facts, ["decision_at", "decision_month", "entity_id"]).withColumn("n", F.size("facts"))
 
 
 EXTRA = {"TOKEN": r'token\s*=\s*"[0-9a-f]+"', "CARD_NUMBER": r"\b\d{16}\b"}

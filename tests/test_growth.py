@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from knownwhen.operators import evaluation, executions
+from knownwhen.operators import controls, evaluation, executions, pit
 from knownwhen.operators import identity as ident
 
 
@@ -85,3 +85,30 @@ def test_conflicting_pairs_are_not_moved_again(spark, tmp_path):
     ident.range_conflicts(spark.read.parquet(f"{tmp_path}/r")).write.parquet(f"{tmp_path}/pairs")
     assert spark.read.parquet(f"{tmp_path}/pairs").count() == 1400 * 1399 // 2
     assert shuffled(spark) - before < 2_000_000
+
+
+def test_facts_of_packets_move_once_a_month_not_once_a_decision(spark, tmp_path):
+    n, start = F.col("id"), F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
+    at = start + F.make_dt_interval(F.lit(0), F.lit(0), (n % 40_000).cast("int"))
+    obs = spark.range(20_000).select(
+        "id", F.concat(F.lit("s"), n % 3).alias("source_id"), F.concat(F.lit("l"), n % 5).alias("source_locator"), (n % 700).cast("string").alias("entity_id"),
+        F.date_add(F.lit("2023-01-01").cast("date"), (n % 97).cast("int")).cast("timestamp_ntz").alias("effective_at"), at.alias("available_at"), F.when(n % 2 == 0, at).alias("vintage_at"),
+        (n * 7919 % 1000).alias("value"), F.when(n % 31 == 0, F.array(F.lit("ARTIFACT_MISSING"))).otherwise(F.array().cast("array<string>")).alias("quality_flags"),
+    )
+    obs.write.parquet(f"{tmp_path}/obs")
+    obs = spark.read.parquet(f"{tmp_path}/obs")
+    days = spark.range(40).select((start + F.make_dt_interval(n.cast("int"))).alias("decision_at"))
+
+    def packets(name, by, keys):
+        before = shuffled(spark)
+        facts = pit.asof_latest(obs, days, F.lit(60), by=by) if by else pit.asof_latest(obs, days, F.lit(60))
+        out = controls.evidence_packets(facts.withColumn("raw_content_hash", F.sha2(F.col("value").cast("string"), 256)), keys)
+        out.select("decision_at", "entity_id", "packet_hash").write.parquet(f"{tmp_path}/{name}")
+        return {tuple(r) for r in spark.read.parquet(f"{tmp_path}/{name}").collect()}, shuffled(spark) - before
+
+    got, moved = packets("dealt", ["entity_id"], ["decision_at", "decision_month", "entity_id"])
+    want, spread = packets("plain", None, ["decision_at", "entity_id"])
+    assert got == want and len(got) > 20_000
+    assert moved * 3 < spread
+    empty = pit.asof_latest(obs, days.where("false"), F.lit(60), by=["entity_id"])
+    assert empty.count() == 0
