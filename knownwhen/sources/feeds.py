@@ -272,6 +272,16 @@ def _flag(x: Column) -> Column:
     return F.when(t.isin("1", "true"), True).when(t.isin("0", "false"), False)
 
 
+def _form4_problem(x: Column) -> Column:
+    side = x["transactionAmounts"]["transactionAcquiredDisposedCode"]["value"]
+    return F.when(x.isNotNull(), first_true(
+        (F.try_to_date(x["transactionDate"]["value"]).isNull(), "missing transactionDate"),
+        (x["transactionCoding"]["transactionCode"].isNull(), "missing transactionCode"),
+        (x["transactionAmounts"]["transactionShares"]["value"].isNull(), "missing transactionShares"),
+        (~F.coalesce(side.isin("A", "D"), F.lit(False)), "acquiredDisposed must be A or D"),
+    ))
+
+
 def form4_xml(payloads: DataFrame, days: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One row per non-derivative transaction of an ownership document; of joint owners the first counts.
 
@@ -279,23 +289,21 @@ def form4_xml(payloads: DataFrame, days: DataFrame) -> tuple[DataFrame, DataFram
     the document's.
     """
     doc = payloads.withColumn("d", F.from_xml("content", FORM4, {"ignoreSurroundingSpaces": "true"}))
-    rows = doc.select(
+    doc = doc.select(
         "path", "raw_content_hash", "accession", "accepted", "form", F.col("d.issuer.issuerCik").alias("cik"),
         F.lpad(F.get("d.reportingOwner", F.lit(0))["reportingOwnerId"]["rptOwnerCik"], 10, "0").alias("owner"), _flag(F.col("d.aff10b5One")).alias("_doc_plan"),
-        F.posexplode_outer("d.nonDerivativeTable.nonDerivativeTransaction").alias("pos", "x"),
+        F.col("d.nonDerivativeTable.nonDerivativeTransaction").alias("_rows"),
     )
-    rows = rows.withColumn("traded", F.try_to_date("x.transactionDate.value"))
+    # A document says of itself whether it is whole, so no text is read again to leave out the rows of others.
+    none = F.array().cast("array<string>")
+    headless = F.when(F.col("cik").isNull() | F.col("owner").isNull(), "missing issuer or owner")
+    found = F.concat(F.array(headless), F.when(headless.isNull(), F.coalesce(F.transform("_rows", _form4_problem), none)).otherwise(none))
+    doc = doc.withColumn("problems", F.array_sort(F.array_distinct(F.array_compact(found))))
+    bad = doc.where(F.size("problems") > 0).select("path", "problems", F.lit("SCHEMA_DRIFT").alias("code"))
+    rows = doc.select(*[x for x in doc.columns if x not in ("_rows", "problems")], F.posexplode(F.when(F.size("problems") == 0, F.col("_rows"))).alias("pos", "x"))
+    good = rows.where(F.col("x").isNotNull()).withColumn("traded", F.try_to_date("x.transactionDate.value"))
     side = F.col("x.transactionAmounts.transactionAcquiredDisposedCode.value")
-    has = F.col("x").isNotNull()
-    problem = first_true(
-        (F.col("cik").isNull() | F.col("owner").isNull(), "missing issuer or owner"),
-        (has & F.col("traded").isNull(), "missing transactionDate"),
-        (has & F.col("x.transactionCoding.transactionCode").isNull(), "missing transactionCode"),
-        (has & F.col("x.transactionAmounts.transactionShares.value").isNull(), "missing transactionShares"),
-        (has & ~F.coalesce(side.isin("A", "D"), F.lit(False)), "acquiredDisposed must be A or D"),
-    )
-    good, bad = drifted(rows, problem)
-    good = cal.insider_lag(good.where(has), "traded", "accepted", days)
+    good = cal.insider_lag(good, "traded", "accepted", days)
     value = F.to_json(
         F.struct(
             side.alias("acquiredDisposed"), F.col("x.transactionCoding.transactionCode").alias("code"),

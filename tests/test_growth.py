@@ -6,8 +6,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from knownwhen.operators import controls, evaluation, executions, pit
+from knownwhen.operators import calendars, controls, evaluation, executions, pit
 from knownwhen.operators import identity as ident
+from knownwhen.sources import feeds
 
 
 def test_estimates_of_chains_do_not_multiply(spark):
@@ -146,3 +147,28 @@ def test_versions_of_an_append_move_few_bytes(spark, tmp_path, monkeypatch):
     before = shuffled(spark)
     pit.append_outcome(many, many.where("false")).select("id", "outcome").write.parquet(f"{tmp_path}/out")
     assert (shuffled(spark) - before) / 20_000 < 260
+
+
+def test_form4_documents_are_read_once(spark):
+    """Rows of whole documents, the problems of others, and one reading of each text."""
+    amount = lambda side: f"<transactionAmounts><transactionShares><value>5</value></transactionShares><transactionAcquiredDisposedCode><value>{side}</value></transactionAcquiredDisposedCode></transactionAmounts>"
+    tx = lambda date, side="A": f"<nonDerivativeTransaction>{date and f'<transactionDate><value>{date}</value></transactionDate>'}<transactionCoding><transactionCode>P</transactionCode></transactionCoding>{amount(side)}</nonDerivativeTransaction>"
+    who = "<reportingOwner><reportingOwnerId><rptOwnerCik>7</rptOwnerCik></reportingOwnerId></reportingOwner>"
+    doc = lambda body, owner=who: f"<ownershipDocument><issuer><issuerCik>9</issuerCik></issuer>{owner}<nonDerivativeTable>{body}</nonDerivativeTable></ownershipDocument>"
+    docs = {
+        "a": doc(tx("2024-01-03") + tx("2024-01-04", "D")), "b": doc(tx("2024-01-03") + tx("") + tx("2024-01-03", "X")), "c": doc(tx("2024-01-03"), ""), "d": doc(""), "e": doc(tx("2024-01-05")),
+    }
+    read = spark.sparkContext.accumulator(0)
+
+    def content(path):
+        read.add(1)
+        return docs[path]
+
+    rows = spark.createDataFrame([(k, f"A{k}", dt.datetime(2024, 1, 5, 12), "4") for k in docs], "path string, accession string, accepted timestamp_ntz, form string").repartition(1)
+    rows = rows.withColumn("content", F.udf(content, "string")("path")).withColumn("raw_content_hash", F.lit("h"))
+    days = calendars.day_table(spark.range(1).select(F.lit("2023-12-01").cast("date").alias("first"), F.lit("2024-03-01").cast("date").alias("last")))
+    good, bad = feeds.form4_xml(rows, days)
+    assert sorted(r[0] for r in good.select("source_locator").collect()) == [f"A{x}" for x in ("a/nonDerivativeTransaction/1", "a/nonDerivativeTransaction/2", "e/nonDerivativeTransaction/1")]
+    assert read.value == len(docs)
+    want = [("b", ["acquiredDisposed must be A or D", "missing transactionDate"], "SCHEMA_DRIFT"), ("c", ["missing issuer or owner"], "SCHEMA_DRIFT")]
+    assert sorted(tuple(r) for r in bad.select("path", "problems", "code").collect()) == want
