@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from knownwhen.session import materialise
+from knownwhen.session import materialise, written
 
 # A cluster's trailing days, spacing, owners and amounts, and the oldest trade a filing may report.
 WINDOW_DAYS, SPACING_DAYS, STALE_DAYS = 30, 90, 10
@@ -81,6 +81,8 @@ def insider_cluster(purchases: DataFrame, sales: DataFrame) -> DataFrame:
     Events within one interval of equal state follow from arithmetic; an issuer's intervals, at most one per
     day, are folded once.
     """
+    # Trades are read four times; what they come from is worked out once.
+    purchases, sales = written(purchases.select("issuer", "owner", "traded", "accepted", "value")), written(sales.select("issuer", "traded", "accepted"))
     enough = (F.col("owners") >= MIN_OWNERS) & (F.col("value") >= MIN_CLUSTER) & (F.col("sold") == 0)
     met = materialise(cluster_states(purchases, sales).where(enough))
     spans = met.groupBy("issuer").agg(F.array_sort(F.collect_list(F.struct("day", "until", "owners", "value"))).alias("spans"))

@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from knownwhen.operators import calendars, controls, evaluation, executions, pit
+from knownwhen.operators import calendars, controls, evaluation, executions, insiders, pit
 from knownwhen.operators import identity as ident
 from knownwhen.sources import feeds
 
@@ -172,3 +172,18 @@ def test_form4_documents_are_read_once(spark):
     assert read.value == len(docs)
     want = [("b", ["acquiredDisposed must be A or D", "missing transactionDate"], "SCHEMA_DRIFT"), ("c", ["missing issuer or owner"], "SCHEMA_DRIFT")]
     assert sorted(tuple(r) for r in bad.select("path", "problems", "code").collect()) == want
+
+
+def test_trades_of_clusters_are_worked_out_once(spark):
+    day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(n)
+    rows = [("i", o, day(t), day(t + 2)) for o in "ab" for t in (0, 5, 40, 130)]
+    read = spark.sparkContext.accumulator(0)
+
+    def value(owner):
+        read.add(1)
+        return 60_000
+
+    p = spark.createDataFrame(rows, "issuer string, owner string, traded date, accepted date").repartition(1).withColumn("value", F.udf(value, "long")("owner"))
+    out = insiders.insider_cluster(p, p.where("false")).collect()
+    assert sorted((r["day"], r["owners"], r["value"], r["reinforcing"]) for r in out) == [(day(2), 2, 120_000, 4), (day(132), 2, 120_000, 0)]
+    assert read.value == len(rows)
